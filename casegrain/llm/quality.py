@@ -133,26 +133,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     hold = np.arange(len(rows)) % 4 == 3
     if len(set(y[~hold])) < 2 or len(set(y[hold])) < 2:
         hold[:] = False
-    used = ~hold[at]
-    weights, _ = fit_sparse(at[used], columns[used], shares[used], np.where(hold, 0.0, y), 1 << BITS) if not hold.any() else _fit_part(at, columns, shares, y, hold)
+    new, used = np.cumsum(~hold) - 1, ~hold[at]
+    weights, _ = fit_sparse(new[at[used]], columns[used], shares[used], y[~hold], 1 << BITS)
     z = np.bincount(at, weights=weights[columns] * shares, minlength=len(rows))
     judge = hold if hold.any() else ~hold
     return weights.astype(np.float32), *platt(z[judge], y[judge])
 
 
-def _fit_part(at, columns, shares, y, hold):
-    new = np.cumsum(~hold) - 1
-    used = ~hold[at]
-    return fit_sparse(new[at[used]], columns[used], shares[used], y[~hold], 1 << BITS)
+def _judge(block: Block, model) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(counts, whether the base rules fail, probability of good quality)."""
+    c = block.counts()
+    failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
+    return c, failed, np.ones(len(failed)) if model is None else sigmoid(model[1] * block.means(model[0]) + model[2])
 
 
 def _score(model):
     def run(batches):
         for batch in sized_slices(batches, "text"):
-            block = Block(batch.column("text"))
-            c = block.counts()
-            failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
-            p = np.ones(batch.num_rows) if model is None else sigmoid(model[1] * block.means(model[0]) + model[2])
+            c, failed, p = _judge(Block(batch.column("text")), model)
             out = {"doc_id": batch.column("doc_id")} | {k: pa.array(v, pa.int64()) for k, v in c.items()}
             out |= {"base_failed": pa.array(failed), "kept": pa.array(~failed & (p >= KEEP)), "p_good": pa.array(p)}
             yield pa.RecordBatch.from_pydict(out)
@@ -174,9 +172,15 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the quality rules keep, with all their columns."""
-    kept = quality(docs, labels).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The rows that the quality rules keep, with all their columns."""
+    model = fit(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), labels)
+
+    def run(batches):
+        for batch in sized_slices(batches, "text"):
+            _, failed, p = _judge(Block(batch.column("text")), model)
+            yield batch.filter(pa.array(~failed & (p >= KEEP)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .quality import op5_quality_rules
+from .simhash import op6_simhash_near_dedup
 from .token_counts import op8_token_counts
+from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
