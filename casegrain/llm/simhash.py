@@ -180,5 +180,16 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     return all_fps.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of one document of each group of near-duplicates, that of the least doc_id.
+
+    Repeated rows of that document stay a single row.
+    """
+    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_id")).distinct()
+    kept = docs.join(first, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
+    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    return kept if rows == ids else kept.dropDuplicates(["doc_id"])
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
