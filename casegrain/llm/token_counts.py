@@ -20,18 +20,19 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, sized_slices, stage
 
 _BLOCK_SCHEMA = (
-    "block string, bucket int, words array<string>, doc_ids array<bigint>, sizes array<bigint>, "
+    "block string, bucket int, words binary, doc_ids array<bigint>, sizes array<bigint>, "
     "ends array<bigint>, codes binary, counts binary"
 )
 #: Distinct pre-tokens are dealt to one bucket for so many blocks of text.
 BLOCKS_PER_BUCKET = 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -55,6 +56,34 @@ def check_model(model: str) -> None:
         raise ValueError(f"{model} has pieces across pre-tokens, such as id {bad[0]}")
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Integers as zstandard-compressed 32-bit words, the bytes of one weight together."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel().astype(np.int64)
+
+
+def _sorted(vocabulary: list[str]) -> tuple[list[str], np.ndarray]:
+    """The vocabulary in order, which compresses better, and where each word went."""
+    order = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
+    back = np.empty(len(order), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    return [vocabulary[k] for k in order], back
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    lengths = pack(np.array([len(w) for w in words]))
+    return len(lengths).to_bytes(4, "little") + lengths + zstandard.compress(b"".join(words), 3)
+
+
+def _unpack_words(data: bytes) -> pa.Array:
+    cut = 4 + int.from_bytes(data[:4], "little")
+    ends = np.concatenate(([0], np.cumsum(unpack(data[4:cut])))).astype("<i4")
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(zstandard.decompress(data[cut:])))
+
+
 def _block_rows(n_buckets: int, block_bytes: int):
     def rows(batches):
         from pyspark import TaskContext
@@ -79,6 +108,8 @@ def _block_rows(n_buckets: int, block_bytes: int):
                 vocabulary = list(at)
                 doc = np.concatenate((doc, np.array([x[0] for x in extra], dtype=np.int64)))
                 codes = np.concatenate((codes, np.array([x[1] for x in extra], dtype=np.int64)))
+            vocabulary, back = _sorted(vocabulary)
+            codes = back[codes]
             bucket = np.array([zlib.crc32(w.encode()) % n_buckets for w in vocabulary], dtype=np.int64)
             order = np.argsort(bucket, kind="stable")
             place = np.empty(len(order), dtype=np.int64)
@@ -89,35 +120,37 @@ def _block_rows(n_buckets: int, block_bytes: int):
             block = f"{part}-{seq}"
             seq += 1
             sizes = pc.binary_length(texts).to_pylist()
-            out = [(block, None, None, batch.column("doc_id").to_pylist(), sizes, ends.tolist(), codes.astype("<u4").tobytes(), counts.astype("<u4").tobytes())]
+            steps = np.diff(codes, prepend=0)  # codes ascend in a document, so steps are small
+            out = [(block, None, None, batch.column("doc_id").to_pylist(), sizes, ends.tolist(), pack(steps), pack(counts))]
             cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             for b in range(n_buckets):
                 if cuts[b] < cuts[b + 1]:
-                    out.append((block, b, [vocabulary[k] for k in order[cuts[b] : cuts[b + 1]]], *[None] * 5))
+                    some = [vocabulary[k].encode() for k in order[cuts[b] : cuts[b + 1]]]
+                    out.append((block, b, _pack_words(some), *[None] * 5))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ARROW.types)], schema=_ARROW)
 
     return rows
 
 
 _ARROW = pa.schema(
-    [("block", pa.string()), ("bucket", pa.int32()), ("words", pa.list_(pa.string())), ("doc_ids", pa.list_(pa.int64())),
+    [("block", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
      ("sizes", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("codes", pa.binary()), ("counts", pa.binary())]
 )
 
 
 def _answers(model: str):
     def answers(table: pa.Table) -> pa.Table:
-        words = table.column("words").combine_chunks()
-        coded = words.flatten().dictionary_encode()
+        lists = [_unpack_words(w) for w in table.column("words").to_pylist()]
+        words = pa.concat_arrays(lists)
+        coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         sp, pieces = _load(model), np.zeros(len(distinct), dtype=np.int32)
         for at in range(0, len(distinct), 10_000):
             some = distinct[at : at + 10_000]
             pieces[at : at + len(some)] = [len(x) if w else 1 for w, x in zip(some, sp.encode(some, num_threads=1))]
         counts = pieces[coded.indices.to_numpy(zero_copy_only=False)]
-        lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
-        ends = np.concatenate(([0], np.cumsum(lengths)))
-        packed = [counts[ends[i] : ends[i + 1]].astype("<u4").tobytes() for i in range(len(words))]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        packed = [pack(counts[ends[i] : ends[i + 1]]) for i in range(len(lists))]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "pieces": pa.array(packed, pa.binary())})
 
     return answers
@@ -127,8 +160,8 @@ def _sums(batches):
     for batch in batches:
         for row in batch.to_pylist():
             parts = sorted(row["answers"] or [], key=lambda x: x["bucket"])
-            pieces = np.frombuffer(b"".join(x["pieces"] for x in parts), dtype="<u4").astype(np.int64)
-            codes, counts = np.frombuffer(row["codes"], dtype="<u4"), np.frombuffer(row["counts"], dtype="<u4")
+            pieces = np.concatenate([np.zeros(0, np.int64), *(unpack(x["pieces"]) for x in parts)])
+            codes, counts = np.cumsum(unpack(row["codes"])), unpack(row["counts"])
             run = np.concatenate(([0], np.cumsum(pieces[codes] * counts)))
             ends = np.array([0, *row["ends"]], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
