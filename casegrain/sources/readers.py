@@ -135,5 +135,10 @@ def episode_facts(cases: DataFrame, key: str = "case_id", column: str = "examina
 
 def episode_records(cases: DataFrame, sections: list[str], key: str = "case_id") -> DataFrame:
     """One row for each study of the cases' JSON columns, with its place ``rid`` in the case."""
-    arrays = [F.coalesce(F.transform(F.from_json(F.col(s), f"array<{ITEM}>"), lambda x, s=s: x.withField("section", F.lit(s))), F.array().cast("array<struct<test_name:string,modality:string,findings:string,image_id:string,panel_id:string,section:string>>")) for s in sections]
+    empty = F.array().cast("array<struct<test_name:string,modality:string,findings:string,image_id:string,panel_id:string,section:string>>")
+
+    def items(section: str):
+        return F.coalesce(F.transform(F.from_json(F.col(section), f"array<{ITEM}>"), lambda x: x.withField("section", F.lit(section))), empty)
+
+    arrays = [items(s) for s in sections]
     return cases.select(key, F.posexplode(F.concat(*arrays)).alias("rid", "item")).select(key, "rid", "item.*")
