@@ -37,7 +37,7 @@ INDEX_BYTES = 32 << 20
 
 
 def normal(word: str) -> str:
-    return "".join(c for c in word.lower() if c.isalnum())
+    return "".join(c for c in word.casefold() if c.isalnum())
 
 
 def item_words(text: str | None) -> list[str]:

@@ -168,6 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     toxic, clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
     at = sums.column("bucket").to_numpy()
     toxic[at], clean[at] = sums.column("toxic").to_numpy(), sums.column("clean").to_numpy()
+    if not toxic.sum() or not clean.sum():
+        return None
     scores = log_odds(toxic, clean)
     lam = karlin(scores, clean + min(toxic.sum(), clean.sum()) * (toxic + clean) / (toxic + clean).sum())
     best = texts.select("doc_id", "text", "y").mapInArrow(_best(scores), "doc_id bigint, y int, n bigint, best double").orderBy("doc_id").toArrow()
@@ -189,7 +191,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
     The score is the calibrated probability that label ``toxic`` is 1. Null and
     empty texts hold no passage and get the probability of such documents; with
-    no usable labels or one class every score is 0. Repeated rows are each
+    no usable labels, or of one class, every score is 0. Repeated rows are each
     scored; extra columns are ignored; an empty table gives an empty result.
     """
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
