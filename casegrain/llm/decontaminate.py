@@ -33,7 +33,7 @@ LEAST_WORDS = 5
 ITEMS_PER_BLOCK = 16
 LEAST_STRIDE = 64
 #: Item text that one index holds; more items are matched index by index.
-INDEX_BYTES = 32 << 20
+INDEX_BYTES = 4 << 20
 
 
 def normal(word: str) -> str:
