@@ -87,6 +87,8 @@ def code_number(code: Column) -> Column:
 
 def chapter_of(rows: DataFrame, code: str, chapters: DataFrame) -> DataFrame:
     """Adds ``chapter``: the first listed range (lo, hi, ord, chapter) that holds the code."""
+    if chapters.limit(MAX_CONFIG_ROWS + 1).count() > MAX_CONFIG_ROWS:
+        raise ValueError("too many chapters for a configuration table")
     distinct = rows.select(F.col(code).alias("_code")).distinct().withColumn("_n", code_number(F.col("_code")))
     hit = distinct.join(F.broadcast(chapters), F.col("_n").between(F.col("lo"), F.col("hi"))).groupBy("_code").agg(F.min_by("chapter", "ord").alias("chapter"))
     return rows.join(hit, F.col(code) == F.col("_code"), "left").drop("_code")
