@@ -194,7 +194,12 @@ def with_heads(first: DataFrame, heads: DataFrame) -> DataFrame:
     )
 
 
-def guarded_score(blank: Column, generic: Column, exact: Column, hedged: Column, verdict: Column, confidence: Column, depth: Column, by_head: Column) -> Column:
-    """1 or 0 for an answer: guards first, then what the ontology's verdict pays for."""
-    paid = ((verdict == "FULL") & (confidence == "high")) | ((verdict == "CORE") & ~by_head & (F.coalesce(depth, F.lit(99)) <= 2))
+def guarded_score(blank: Column, generic: Column, exact: Column, hedged: Column, verdict: Column, confidence: Column, depth: Column, by_head: Column, for_floor: bool = False) -> Column:
+    """1 or 0 for an answer: guards first, then what the ontology's verdict pays for.
+
+    CORE pays up to two steps of hierarchy, or without a depth; a floor may not
+    rest on head terms that match.
+    """
+    core = (verdict == "CORE") & (depth.isNull() | (depth <= 2))
+    paid = ((verdict == "FULL") & (confidence == "high")) | ((core & ~F.coalesce(by_head, F.lit(False))) if for_floor else core)
     return F.when(blank | generic, 0.0).when(exact, 1.0).when(hedged, 0.0).when(F.coalesce(paid, F.lit(False)), 1.0).otherwise(0.0)
