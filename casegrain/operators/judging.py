@@ -10,6 +10,7 @@ from ..functions.numeric import ratio
 
 CORE, PARTIAL = 0.85, 0.50
 GAP, SURE, UNSURE = 0.35, 0.85, 0.5
+MAX_PANEL = 64
 WEIGHT = {"FULL": 1.0, "CORE": 0.85, "PARTIAL": 0.5, "NONE": 0.0}
 _RANK = {"partial": 1, "core": 2, "full": 3}
 
@@ -92,10 +93,16 @@ def board(cases: DataFrame) -> DataFrame:
     return cases.where("kind is not null").orderBy(F.when(F.col("kind") == "hard", 0).otherwise(1), F.desc("gap"), F.coalesce("case_id", F.lit("")))
 
 
-def pairs_of(items: DataFrame, group: str, key: str) -> DataFrame:
-    """Unordered pairs of a group's items; groups are panels, a few graders each."""
-    a, b = items.alias("a"), items.alias("b")
-    return a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
+def pairs_of(items: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """(group, a, b, a_value, b_value): unordered pairs of a panel's graders.
+
+    A panel is a few graders; one of more than ``MAX_PANEL`` is an error. One
+    shuffle by group instead of a self-join.
+    """
+    panel_ = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))
+    held = items.groupBy(group).agg(panel_.alias("p")).withColumn("p", F.when(F.size("p") > MAX_PANEL, F.raise_error(F.lit("too many graders in a panel"))).otherwise(F.col("p")))
+    later = F.transform("p", lambda x, i: F.transform(F.slice(F.col("p"), i + 2, F.size("p")), lambda y: F.struct(x.alias("x"), y.alias("y"))))
+    return held.select(group, F.explode(F.flatten(later)).alias("q")).select(group, F.col("q.x.k").alias("a"), F.col("q.y.k").alias("b"), F.col("q.x.v").alias("a_value"), F.col("q.y.v").alias("b_value"))
 
 
 def deduped_verdicts(pairs: DataFrame, judge) -> DataFrame:
