@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import credit, scoring  # noqa: F401
+from . import credit, parsing, scoring  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
