@@ -4,6 +4,8 @@ import glob
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from casegrain.plans.queries import ORACLES, QUERIES
@@ -12,10 +14,14 @@ DIR = "/root/testdata/sf0.001"
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v:
         return "null"
-    if isinstance(v, bool) or not hasattr(v, "__float__"):
-        return str(list(v)) if hasattr(v, "__iter__") and not isinstance(v, str) else str(v)
+    if isinstance(v, (bool, np.bool_)):
+        return str(bool(v))
+    if hasattr(v, "__iter__") and not isinstance(v, str):
+        return str([str(x) for x in v])
+    if not hasattr(v, "__float__"):
+        return str(v)
     return repr(round(float(v), 5) + 0.0)
 
 
