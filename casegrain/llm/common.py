@@ -63,7 +63,7 @@ def sized_slices(batches, column: str, limit: int = BLOCK_BYTES):
             start = stop
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def split_words(texts: pa.Array, as_list: bool = True) -> tuple[np.ndarray, np.ndarray, list[str] | pa.Array]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each text as (codes, offsets, vocabulary).
 
     ``codes[offsets[i]:offsets[i + 1]]`` are text i's words in order. A null
@@ -78,7 +78,7 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     bounds = np.concatenate(([0], np.cumsum(lengths)))
     coded = flat.filter(real).dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    return codes, ends[bounds], coded.dictionary.to_pylist()
+    return codes, ends[bounds], coded.dictionary.to_pylist() if as_list else coded.dictionary
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

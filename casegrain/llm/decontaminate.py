@@ -3,10 +3,12 @@
 Test items form an inverted index with BM25 impacts, divided by each item's
 score against itself, so one threshold holds for all. Every passage of every
 document is a query: passages are two strides long and overlap by one, and a
-stride is no shorter than any item. Bounds come in two steps, as in block-max
-WAND: the sum of term maxima drops most passages at once; the block maxima of
-the rest say which blocks of items are scored. Retrieved pairs are verified on
-five-word shingles of the item and on its question and answer parts.
+stride is no shorter than any item. All passages of a batch are run at once:
+postings of rare terms are added up for each passage and item, and an item
+stays only if its sum and the block maxima of the passage's common terms, over
+the item's block, can reach the threshold. What stays is scored exactly.
+Retrieved pairs are verified on five-word shingles of the item and on its
+question and answer parts.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, sized_slices, split_words
+from .common import ragged, read_table, sized_slices, split_words
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score that a passage must reach.
@@ -31,17 +34,21 @@ PART_SHINGLE, PART_SIMILARITY = 3, 0.5
 #: Items with fewer words can't be told from common phrases and match nothing.
 LEAST_WORDS = 5
 ITEMS_PER_BLOCK = 16
+#: Terms in more than this share of the items, and in more than ten, are common.
+COMMON = 0.05
 LEAST_STRIDE = 64
 #: Item text that one index holds; more items are matched index by index.
 INDEX_BYTES = 4 << 20
 
 
-def normal(word: str) -> str:
-    return "".join(c for c in word.casefold() if c.isalnum())
+def normal(words: pa.Array) -> pa.Array:
+    """Words in lower case, letters and digits alone; an empty text for none."""
+    return pc.replace_substring(pc.replace_substring_regex(pc.utf8_lower(words), r"[^\pL\pN]+", ""), "ß", "ss")
 
 
 def item_words(text: str | None) -> list[str]:
-    return [w for w in map(normal, re.findall(r"[^\x20\x09-\x0D]+", text or "")) if w]
+    words = normal(pa.array(re.findall(r"[^\x20\x09-\x0D]+", text or ""), pa.string()))
+    return [w for w in words.to_pylist() if w]
 
 
 def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
@@ -78,26 +85,44 @@ class Index:
             own = {x: math.log(1 + (len(numbered) - df[x] + 0.5) / (df[x] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for x, n in Counter(w).items()}
             postings += [(x, item, s / sum(own.values())) for x, s in own.items()]
         postings.sort()
-        self.item = np.array([p[1] for p in postings], dtype=np.int64)
-        self.impact = np.array([p[2] for p in postings])
-        self.cuts = np.searchsorted(np.array([p[0] for p in postings], dtype=np.int64), np.arange(len(self.terms) + 1))
-        self.term_max = np.array([self.impact[a:b].max() for a, b in zip(self.cuts, self.cuts[1:])] + [0.0])
+        term, self.item, self.impact = (np.array([p[k] for p in postings], dtype=kind) for k, kind in enumerate((np.int64, np.int64, float)))
+        self.cuts = np.searchsorted(term, np.arange(len(self.terms) + 1))
         self.n_blocks = -(-len(kept) // ITEMS_PER_BLOCK)
-
-    def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """(item, score) of the items at or above the threshold for a passage's terms."""
-        at = np.concatenate([np.arange(self.cuts[t], self.cuts[t + 1]) for t in np.unique(terms[terms >= 0])] or [np.zeros(0, np.int64)])
-        item, impact = self.item[at], self.impact[at]
-        # block maxima: the best posting of each term in each block of items
-        block = item // ITEMS_PER_BLOCK
-        term = np.searchsorted(self.cuts, at, side="right")
-        best = np.zeros(0)
-        order = np.lexsort((impact, block, term))
-        last = np.append((np.diff(term[order]) != 0) | (np.diff(block[order]) != 0), True) if len(order) else best.astype(bool)
-        best = np.bincount(block[order][last], weights=impact[order][last], minlength=self.n_blocks)
-        live = best[block] >= THRESHOLD
-        scores = np.bincount(item[live], weights=impact[live], minlength=len(self.ids))
-        return [(int(i), float(scores[i])) for i in np.flatnonzero(scores >= THRESHOLD)]
+        self.block_max = np.zeros((len(self.terms) + 1, self.n_blocks))
+        np.maximum.at(self.block_max, (term, self.item // ITEMS_PER_BLOCK), self.impact)
+        self.common = np.append(np.diff(self.cuts) > max(10, COMMON * len(kept)), False)
+        place = np.cumsum(self.common) - 1
+        often = self.common[term]
+        self.place, self.dense = place, np.zeros((len(kept), int(self.common.sum())))
+        self.dense[self.item[often], place[term[often]]] = self.impact[often]
+        self.names = pa.array(list(self.terms), pa.string())
+
+    def retrieve(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passages, items, scores) at or above the threshold, from distinct (passage, term) pairs in order."""
+        often = self.common[term]
+        p, t = passage[~often], term[~often]
+        n = self.cuts[t + 1] - self.cuts[t]
+        at = ragged(self.cuts[t], n)
+        pairs, back = np.unique(np.repeat(p, n) * len(self.ids) + self.item[at], return_inverse=True)
+        rare = np.bincount(back, weights=self.impact[at], minlength=len(pairs))
+        p, item = np.divmod(pairs, len(self.ids))
+        # each passage's common terms are a run, as pairs are in passage order; a passage without any has an empty one
+        c, terms = passage[often], term[often]
+        runs = np.flatnonzero(np.diff(c, prepend=-1))
+        sizes = np.append(np.diff(np.append(runs, len(c))), 0)
+        bounds = np.zeros((len(runs) + 1, self.n_blocks))
+        if len(runs):
+            bounds[:-1] = np.add.reduceat(self.block_max[terms], runs, axis=0)
+        where = np.searchsorted(c[runs], p)
+        where[(where == len(runs)) | (np.append(c[runs], -1)[where] != p)] = len(runs)
+        live = rare + bounds[where, item // ITEMS_PER_BLOCK] >= THRESHOLD
+        p, item, where, score = p[live], item[live], where[live], rare[live]
+        n = sizes[where]
+        at = ragged(np.append(runs, 0)[where], n)
+        pair = np.repeat(np.arange(len(p)), n)
+        score += np.bincount(pair, weights=self.dense[item[pair], self.place[terms[at]]], minlength=len(p))
+        top = score >= THRESHOLD - 1e-9
+        return p[top], item[top], score[top]
 
     def verify(self, item: int, terms: np.ndarray) -> tuple[float, float, float]:
         """Shares of the item's shingles, and of its question's and answer's, in a passage."""
@@ -112,31 +137,32 @@ class Index:
 
     def leaks(self, texts: pa.Array) -> list[tuple[int, int, float, float, float, float]]:
         """(row, item id, score, overlap, question overlap, answer overlap) of verified pairs."""
-        codes, offsets, words = split_words(texts)
-        plain = [normal(w) for w in words]
-        number = np.array([self.terms.get(w, -1) for w in plain], dtype=np.int64)
-        real = np.array([bool(w) for w in plain], dtype=bool)[codes] if len(codes) else np.zeros(0, bool)
+        codes, offsets, words = split_words(texts, as_list=False)
+        plain = normal(words)
+        number = pc.fill_null(pc.index_in(plain, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        real = pc.not_equal(plain, "").to_numpy(zero_copy_only=False).astype(bool)[codes]
         ends = np.concatenate(([0], np.cumsum(real)))[offsets]
-        terms = number[codes[real]] if len(codes) else codes
+        terms = number[codes[real]]
         lengths = np.diff(ends)
         strides = np.maximum(1, -(-lengths // self.stride))
         first = np.concatenate(([0], np.cumsum(strides)))
         doc = np.repeat(np.arange(len(lengths)), lengths)
-        place = np.arange(len(terms)) - ends[:-1][doc]
-        bound = np.bincount(first[:-1][doc] + place // self.stride, weights=self.term_max[terms], minlength=first[-1]) if len(terms) else np.zeros(first[-1])
-        both = bound.copy()
-        both[:-1] += bound[1:]
-        both[first[1:] - 1] = bound[first[1:] - 1]
+        stride = first[:-1][doc] + (np.arange(len(terms)) - ends[:-1][doc]) // self.stride
+        seen = terms >= 0
+        # a word is in the passage that starts with its stride and in the one before
+        key = stride[seen] * len(self.terms) + terms[seen]
+        before = (stride > first[:-1][doc])[seen]
+        pairs = np.sort(np.concatenate((key, key[before] - len(self.terms))))
+        pairs = pairs[np.diff(pairs, prepend=-1) != 0]
         best: dict[tuple[int, int], tuple] = {}
         owner = np.repeat(np.arange(len(lengths)), strides)
-        for p in np.flatnonzero(both >= THRESHOLD):
+        for p, item, score in zip(*(x.tolist() for x in self.retrieve(*np.divmod(pairs, max(1, len(self.terms)))))):
             row = int(owner[p])
             a = ends[row] + (p - first[row]) * self.stride
             passage = terms[a : min(a + 2 * self.stride, ends[row + 1])]
-            for item, score in self.retrieve(passage):
-                overlap, question, answer = self.verify(item, passage)
-                if overlap >= SIMILARITY and question >= PART_SIMILARITY and answer >= PART_SIMILARITY:
-                    best[row, item] = max(best.get((row, item), ()), (score, overlap, question, answer))
+            overlap, question, answer = self.verify(item, passage)
+            if overlap >= SIMILARITY and question >= PART_SIMILARITY and answer >= PART_SIMILARITY:
+                best[row, item] = max(best.get((row, item), ()), (score, overlap, question, answer))
         return [(row, self.ids[item], *found) for (row, item), found in sorted(best.items())]
 
 
