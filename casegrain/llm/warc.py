@@ -45,6 +45,8 @@ def records(pages: DataFrame) -> DataFrame:
     revisits = (
         full.select("page_id", "digest").join(shared.select(F.col("digest").alias("d"), "owner"), F.col("digest") == F.col("d")).where("page_id < owner").select("page_id", "digest", "owner").distinct()
     )
+    # staged, so that its size is known: a small table goes to the pages, a large one is joined by page
+    revisits = stage(revisits, "revisits")
     owned = full.join(revisits.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "owner"), (F.col("page_id") == F.col("p")) & (F.col("digest") == F.col("d")), "left")
     common = [
         ("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">"))), ("WARC-Date", _ZERO_TIME), ("WARC-Target-URI", F.col("url")),
