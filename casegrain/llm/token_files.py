@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,8 @@ from .common import new_path, ragged, read_table, sized_slices, split_words
 END_ID = 1
 #: Parquet input bytes that one part of the files is made from.
 PART_BYTES = 24 << 20
-#: Words whose ids a task remembers.
-MEMORY = 400_000
+#: Pieces whose ids a task remembers.
+MEMORY = 800_000
 ROUNDS = 24
 PER_ROUND = 1024
 LEAST_USES = 8
@@ -45,43 +46,79 @@ _SCHEMA = (
 )
 
 
+#: Letters and a run of punctuation, for which lower case and composition are plain: two pre-tokens at most.
+_PLAIN = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+)(?P<marks>[!-&(-/:;=-@\\[-`{-~]*)$"
+
+
 class Encoder:
-    """Ids of words by the tokenizers library, each distinct word encoded once while remembered.
+    """Ids of words by the tokenizers library, each distinct pre-token encoded once while remembered.
 
     The tokenizer's pre-tokenizer drops white space and no pre-token spans it,
-    so a text's ids are its words' ids in order.
+    so a text's ids are its words' ids in order. Words of letters and then
+    punctuation are two pre-tokens; their distinct letters, in lower case, go
+    through the library's model many at a time. Other words take the whole
+    tokenizer.
     """
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.base, dtype=bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self):
-        self.known: dict[str, int] = {}
+        self.pieces: dict[str, int] = {}
         self.flat, self.starts = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(start, length) in ``flat`` of each word."""
-        if len(self.known) > MEMORY:
+    def _learn(self, pieces: list[str]) -> None:
+        parts, ends = [self.flat], [self.starts]
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at : at + 4096]
+            joined = [" ".join(some[k : k + 64]) for k in range(0, len(some), 64)]
+            ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.model.encode_batch_fast(joined, add_special_tokens=False)])
+            parts.append(ids)
+            ends.append(ends[-1][-1] + np.flatnonzero(self.last[ids]) + 1)
+        for p in pieces:
+            self.pieces[p] = len(self.pieces)
+        self.flat, self.starts = np.concatenate(parts), np.concatenate(ends)
+        assert len(self.starts) == len(self.pieces) + 1
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """Number of each piece; -1 for none."""
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn([p for p in distinct if p and p not in self.pieces])
+        number = np.array([*(self.pieces[p] if p else -1 for p in distinct), -1], dtype=np.int64)
+        return number[pc.fill_null(coded.indices, len(distinct)).to_numpy(zero_copy_only=False)]
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the words in order, where each word's ids end)."""
+        if len(self.pieces) > MEMORY:
             self._forget()
-        new = [w for w in words if w not in self.known]
-        parts, sizes = [self.flat], []
-        for at in range(0, len(new), 4096):
-            some = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False)]
-            sizes += map(len, some)
-            parts.append(np.array([i for ids in some for i in ids], dtype=np.uint32))
-        for w in new:
-            self.known[w] = len(self.known)
-        self.flat = np.concatenate(parts)
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes, dtype=np.int64)))
-        at = np.array([self.known[w] for w in words], dtype=np.int64)
-        return self.starts[at], self.starts[at + 1] - self.starts[at]
+        found = pc.extract_regex(words, _PLAIN)
+        plain = found.is_valid().to_numpy(zero_copy_only=False)
+        letters, marks = (pc.struct_field(found.filter(pa.array(plain)), k) for k in ("letters", "marks"))
+        a, b = self._numbers(pc.utf8_lower(letters)), self._numbers(marks)
+        pieces = np.stack([a, b], axis=1).ravel()
+        sizes = np.where(pieces < 0, 0, self.starts[pieces + 1] - self.starts[pieces])
+        ids = [self.flat[ragged(self.starts[pieces], sizes)]]
+        lengths = np.zeros(len(words), dtype=np.int64)
+        lengths[plain] = sizes.reshape(-1, 2).sum(axis=1)
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast(words.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)]
+        lengths[~plain] = [len(x) for x in rest]
+        out, ends = np.zeros(int(lengths.sum()), dtype=np.uint32), np.cumsum(lengths)
+        for mask, some in ((plain, ids[0]), (~plain, np.array([i for x in rest for i in x], dtype=np.uint32))):
+            out[ragged((ends - lengths)[mask], lengths[mask])] = some
+        return out, ends
 
 
 def repair(symbols: np.ndarray, base: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,11 +209,11 @@ def _shards(tokenizer: str):
         width = 2 if base + 1 < 65536 else 4
         most = (65535 if width == 2 else 1 << 20) - base - 1
         for batch in sized_slices(batches, "text"):
-            codes, offsets, words = split_words(batch.column("text"))
-            starts, lengths = encoder.words(words)
-            n = np.append(lengths, 0)
-            ids = encoder.flat[ragged(starts[codes], lengths[codes])] if len(codes) else encoder.flat[:0]
-            ends = np.concatenate(([0], np.cumsum(lengths[codes] if len(codes) else n[:0])))[offsets[1:]]
+            codes, offsets, words = split_words(batch.column("text"), as_list=False)
+            flat, stops = encoder.words(words)
+            lengths = np.diff(stops, prepend=0)[codes]
+            ids = flat[ragged(stops[codes] - lengths, lengths)]
+            ends = np.concatenate(([0], np.cumsum(lengths)))[offsets[1:]]
             symbols = np.insert(ids, ends, np.uint32(base))
             doc_n = np.diff(ends, prepend=0) + 1
             rules, packed = repair(symbols, base, most)
