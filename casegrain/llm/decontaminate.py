@@ -3,10 +3,12 @@
 Test items form an inverted index with BM25 impacts, divided by each item's
 score against itself, so one threshold holds for all. Every passage of every
 document is a query: passages are two strides long and overlap by one, and a
-stride is no shorter than any item. All passages of a batch are run at once:
-postings of rare terms are added up for each passage and item, and an item
-stays only if its sum and the block maxima of the passage's common terms, over
-the item's block, can reach the threshold. What stays is scored exactly.
+stride is no shorter than any item. Common terms of an item are left out of the
+postings only while their impacts together stay below the threshold, so each
+item that reaches it has a posting. Passages are run many at once: postings
+are added up for each passage and item, and an item stays only if its sum and
+the block maxima of the passage's terms left out, over the item's block, can
+reach the threshold. What stays is scored exactly.
 Retrieved pairs are verified on five-word shingles of the item and on its
 question and answer parts.
 """
@@ -36,6 +38,9 @@ LEAST_WORDS = 5
 ITEMS_PER_BLOCK = 16
 #: Terms in more than this share of the items, and in more than ten, are common.
 COMMON = 0.05
+#: Postings that are added up at a time.
+POSTINGS = 4 << 20
+EPSILON = 1e-9
 LEAST_STRIDE = 64
 #: Item text that one index holds; more items are matched index by index.
 INDEX_BYTES = 4 << 20
@@ -71,39 +76,69 @@ def _shingles(words, width: int) -> set:
 
 class Index:
     def __init__(self, items: list[tuple[int, str]]):
-        kept = [(i, t, w) for i, t in items if len(w := item_words(t)) >= LEAST_WORDS]
+        owners: dict[str, list[int]] = {}
+        for i, t in items:
+            owners.setdefault(t, []).append(i)
+        # a text under many ids is scored and verified once, and counts as many items
+        kept = [(i, t, w) for t, i in owners.items() if len(w := item_words(t)) >= LEAST_WORDS]
         self.ids = [i for i, _, _ in kept]
+        copies = [len(i) for i in self.ids]
+        n_items = sum(copies)
         self.terms: dict[str, int] = {}
         numbered = [[self.terms.setdefault(x, len(self.terms)) for x in w] for _, _, w in kept]
         self.shingles = [_shingles(w, SHINGLE) for w in numbered]
         self.parts = [[_shingles([self.terms[x] for x in p], PART_SHINGLE) for p in question_and_answer(t)] for _, t, _ in kept]
         self.stride = max([LEAST_STRIDE, *map(len, numbered)])
-        df = Counter(x for w in numbered for x in set(w))
-        mean = sum(map(len, numbered)) / max(1, len(numbered))
+        df: Counter[int] = Counter()
+        for w, n in zip(numbered, copies):
+            df.update(dict.fromkeys(w, n))
+        mean = sum(len(w) * n for w, n in zip(numbered, copies)) / max(1, n_items)
         postings: list[tuple[int, int, float]] = []
         for item, w in enumerate(numbered):
-            own = {x: math.log(1 + (len(numbered) - df[x] + 0.5) / (df[x] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for x, n in Counter(w).items()}
+            own = {x: math.log(1 + (n_items - df[x] + 0.5) / (df[x] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for x, n in Counter(w).items()}
             postings += [(x, item, s / sum(own.values())) for x, s in own.items()]
         postings.sort()
-        term, self.item, self.impact = (np.array([p[k] for p in postings], dtype=kind) for k, kind in enumerate((np.int64, np.int64, float)))
-        self.cuts = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        term, item, impact = (np.array([p[k] for p in postings], dtype=kind) for k, kind in enumerate((np.int64, np.int64, float)))
+        times = np.bincount(term, minlength=len(self.terms))
+        self.common = np.append(times > max(10, COMMON * len(kept)), False)
+        # an item's common terms are left out from the most common on, while they can't reach the threshold
+        out = np.flatnonzero(self.common[term])
+        out = out[np.lexsort((term[out], -times[term[out]], item[out]))]
+        total = np.cumsum(impact[out])
+        heads = np.flatnonzero(np.diff(item[out], prepend=-1))
+        total -= np.repeat(total[heads] - impact[out][heads], np.diff(np.append(heads, len(out))))
+        out = out[total < THRESHOLD - 2 * EPSILON]
+        posted = np.ones(len(term), dtype=bool)
+        posted[out] = False
+        self.item, self.impact = item[posted], impact[posted]
+        self.cuts = np.searchsorted(term[posted], np.arange(len(self.terms) + 1))
         self.n_blocks = -(-len(kept) // ITEMS_PER_BLOCK)
         self.block_max = np.zeros((len(self.terms) + 1, self.n_blocks))
-        np.maximum.at(self.block_max, (term, self.item // ITEMS_PER_BLOCK), self.impact)
-        self.common = np.append(np.diff(self.cuts) > max(10, COMMON * len(kept)), False)
-        place = np.cumsum(self.common) - 1
-        often = self.common[term]
-        self.place, self.dense = place, np.zeros((len(kept), int(self.common.sum())))
-        self.dense[self.item[often], place[term[often]]] = self.impact[often]
+        np.maximum.at(self.block_max, (term[out], item[out] // ITEMS_PER_BLOCK), impact[out])
+        self.place, self.dense = np.cumsum(self.common) - 1, np.zeros((len(kept), int(self.common.sum())))
+        self.dense[item[out], self.place[term[out]]] = impact[out]
         self.names = pa.array(list(self.terms), pa.string())
 
     def retrieve(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passages, items, scores) at or above the threshold, from distinct (passage, term) pairs in order."""
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        ends = np.cumsum(self.cuts[term + 1] - self.cuts[term])
+        lo = 0
+        while lo < len(term):
+            before = ends[lo - 1] if lo else 0
+            # whole passages, one at least
+            last = max(lo, int(np.searchsorted(ends, before + POSTINGS, side="right")) - 1)
+            hi = int(np.searchsorted(passage, passage[last], side="left" if last + 1 < len(term) and passage[last] > passage[lo] else "right"))
+            found.append(self._retrieve(passage[lo:hi], term[lo:hi]))
+            lo = hi
+        passages, items, scores = zip(*found)
+        return np.concatenate(passages), np.concatenate(items), np.concatenate(scores)
+
+    def _retrieve(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         often = self.common[term]
-        p, t = passage[~often], term[~often]
-        n = self.cuts[t + 1] - self.cuts[t]
-        at = ragged(self.cuts[t], n)
-        pairs, back = np.unique(np.repeat(p, n) * len(self.ids) + self.item[at], return_inverse=True)
+        n = self.cuts[term + 1] - self.cuts[term]
+        at = ragged(self.cuts[term], n)
+        pairs, back = np.unique(np.repeat(passage, n) * len(self.ids) + self.item[at], return_inverse=True)
         rare = np.bincount(back, weights=self.impact[at], minlength=len(pairs))
         p, item = np.divmod(pairs, len(self.ids))
         # each passage's common terms are a run, as pairs are in passage order; a passage without any has an empty one
@@ -115,13 +150,13 @@ class Index:
             bounds[:-1] = np.add.reduceat(self.block_max[terms], runs, axis=0)
         where = np.searchsorted(c[runs], p)
         where[(where == len(runs)) | (np.append(c[runs], -1)[where] != p)] = len(runs)
-        live = rare + bounds[where, item // ITEMS_PER_BLOCK] >= THRESHOLD
+        live = rare + bounds[where, item // ITEMS_PER_BLOCK] >= THRESHOLD - EPSILON
         p, item, where, score = p[live], item[live], where[live], rare[live]
         n = sizes[where]
         at = ragged(np.append(runs, 0)[where], n)
         pair = np.repeat(np.arange(len(p)), n)
         score += np.bincount(pair, weights=self.dense[item[pair], self.place[terms[at]]], minlength=len(p))
-        top = score >= THRESHOLD - 1e-9
+        top = score >= THRESHOLD - EPSILON
         return p[top], item[top], score[top]
 
     def verify(self, item: int, terms: np.ndarray) -> tuple[float, float, float]:
@@ -163,7 +198,7 @@ class Index:
             overlap, question, answer = self.verify(item, passage)
             if overlap >= SIMILARITY and question >= PART_SIMILARITY and answer >= PART_SIMILARITY:
                 best[row, item] = max(best.get((row, item), ()), (score, overlap, question, answer))
-        return [(row, self.ids[item], *found) for (row, item), found in sorted(best.items())]
+        return [(row, i, *found) for (row, item), found in sorted(best.items()) for i in self.ids[item]]
 
 
 def indexes(benchmark: DataFrame, limit: int = INDEX_BYTES):

@@ -256,6 +256,48 @@ def test_decontamination(spark, docs, empty, corpus, prose_of):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.where("1 = 0")).count() == 0
 
 
+def test_decontamination_of_common_terms(spark, prose_of, monkeypatch):
+    import random
+
+    rng = random.Random(12)
+    copied = " ".join(f"same{k}" for k in range(12))
+    pool = [f"low{k}" for k in range(9)]
+    items = [(k, copied) for k in range(20)] + [(100 + k, " ".join(rng.sample(pool, 9))) for k in range(60)] + [(200 + k, f"{prose_of(rng, 12)} qq{k}") for k in range(20)]
+    rows = [(k, f"{prose_of(rng, 80)} {dict(items)[i]} {prose_of(rng, 120)}") for k, i in enumerate([0, 100, 131, 159, 200])] + [(9, prose_of(rng, 200))]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = set()
+    for i, t in rows:
+        words = decontaminate.item_words(t)
+        held = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        for item, text in items:
+            w = decontaminate.item_words(text)
+            own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+            if len(own & held) >= 0.8 * len(own):
+                want.add((i, item))
+    assert want >= {(0, k) for k in range(20)} | {(1, 100), (2, 131), (3, 159), (4, 200)}
+    for postings in (decontaminate.POSTINGS, 50):
+        monkeypatch.setattr(decontaminate, "POSTINGS", postings)
+        assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == want
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == {9}
+
+
+def test_decontamination_retrieves_every_item(monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(decontaminate, "POSTINGS", 300)
+    for vocabulary in (8, 30, 300):
+        index = decontaminate.Index([(k, " ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(5, 15)) % vocabulary)) for k in range(150)])
+        impacts = np.zeros((len(index.ids), len(index.terms)))
+        impacts[index.item, np.repeat(np.arange(len(index.terms)), np.diff(index.cuts))] = index.impact
+        impacts[:, index.common[:-1]] += index.dense
+        assert np.allclose(impacts.sum(axis=1), 1)
+        held = rng.random((40, len(index.terms))) < 0.5
+        passage, term = np.nonzero(held)
+        got = {(p, i): s for p, i, s in zip(*(x.tolist() for x in index.retrieve(passage, term)))}
+        scores = held.astype(float) @ impacts.T
+        want = {(int(p), int(i)): scores[p, i] for p, i in zip(*np.nonzero(scores >= decontaminate.THRESHOLD - 1e-9))}
+        assert got == pytest.approx(want)
+
+
 def best_segment(scores):
     return max((sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=0)
 
