@@ -96,8 +96,11 @@ def _anchor_messages(n_buckets: int):
         for batch in sized_slices(batches, "text", BATCH):
             ids = batch.column("uid").to_numpy(zero_copy_only=False)
             texts = batch.column("text").to_pylist()
-            seen: set[str] = set()
-            fresh = [i for i, t in enumerate(texts) if not (t in seen or seen.add(t))]
+            # of equal texts the least uid, as later copies' anchors are dropped
+            least_of: dict[str, int] = {}
+            for i in np.argsort(ids, kind="stable").tolist():
+                least_of.setdefault(texts[i], i)
+            fresh = sorted(least_of.values())
             parts = []
             raw = [texts[i].encode() for i in fresh]
             for first, some in _chunks(raw):

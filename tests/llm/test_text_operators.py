@@ -139,6 +139,19 @@ def test_suffix_dedup_of_shared_ids(spark, corpus):
     assert by == {(k[0], w[0]): (w[1], w[3]) for k, w in want.items()}
 
 
+def test_suffix_dedup_of_copies_out_of_order(spark, prose_of):
+    import random
+
+    rng = random.Random(3)
+    passage = prose_of(rng, 40)
+    text = f"{prose_of(rng, 20)} {passage} {prose_of(rng, 10)} {passage} end"
+    rows = [(9, text), (2, text), (1, "short"), (5, f"{prose_of(rng, 15)} {passage} {prose_of(rng, 15)}"), (7, text)]
+    got = by_id(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)))
+    want = brute_repeats(sorted(rows))
+    assert want[2][1] > 0 and want[5][1] > 0
+    assert {i: tuple(r)[1:] for i, r in got.items()} == {i: w[:4] for i, w in want.items()}
+
+
 def test_deep_shallow_sorts():
     rng = np.random.default_rng(5)
     pool = [bytes(rng.integers(0, 3, size=rng.integers(0, 40), dtype=np.uint8)) for _ in range(300)]
