@@ -124,15 +124,20 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
 
 
 def _streams(batches):
+    """Each page's tokens outside articles, and a hash of all its text outside furniture."""
+    import xxhash
+
     for batch in sized_slices(batches, "html"):
-        keys, streams = [], []
+        keys, contents, streams = [], [], []
         for key, page in zip(batch.column("key").to_pylist(), batch.column("html").to_pylist()):
-            tokens = [w for text, zone in blocks(page) if zone < 1 for w in text.split()]
+            found = blocks(page)
+            tokens = [w for text, zone in found if zone < 1 for w in text.split()]
             if tokens:
                 keys.append(key)
+                contents.append(xxhash.xxh64_intdigest(" ".join(w for text, zone in found if zone >= 0 for w in text.split())) - (1 << 63))
                 streams.append(" ".join(tokens))
         places = pc.index_in(pa.array(keys, pa.int64()), batch.column("key"))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("host").take(places), pa.array(streams, pa.string())], names=["key", "host", "stream"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("host").take(places), pa.array(contents, pa.int64()), pa.array(streams, pa.string())], names=["key", "host", "content", "stream"])
 
 
 def window_classes(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +167,7 @@ def _pack(values) -> bytes:
 
 
 def _repeats(table: pa.Table) -> pa.Table:
-    """For each page: windows repeated on another page here, and hashes of those to compare elsewhere."""
+    """For each page: windows repeated on a page of other content here, and hashes of those to compare elsewhere."""
     import xxhash
 
     keys, split = table.column("key").to_pylist(), table.column("groups")[0].as_py() > 1
@@ -173,7 +178,8 @@ def _repeats(table: pa.Table) -> pa.Table:
     first = np.searchsorted(page, np.arange(len(lists)))
     at, kind = window_classes(tokens, page, RUN)
     if len(at):
-        seen = np.unique(np.stack([kind, page[at]]), axis=1)[0]
+        content = np.unique(table.column("content").to_numpy(), return_inverse=True)[1]
+        seen = np.unique(np.stack([kind, content[page[at]]]), axis=1)[0]
         pages = np.bincount(seen, minlength=kind.max() + 1)
         again = pages[kind] > 1
     else:
@@ -195,18 +201,19 @@ def _repeats(table: pa.Table) -> pa.Table:
                     told.add(kind[k])
                     hashes.append(xxhash.xxh64_intdigest(" ".join(flat[at[k] : at[k] + RUN])) - (1 << 63))
                     places.append(-1)
-        rows.append({"host": table.column("host")[p].as_py(), "key": key, "repeated": _pack(at[hit] - first[p]), "hashes": hashes, "places": [int(x) for x in places]})
-    return pa.Table.from_pylist(rows, schema=pa.schema([("host", pa.string()), ("key", pa.int64()), ("repeated", pa.binary()), ("hashes", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))]))
+        rows.append({"host": table.column("host")[p].as_py(), "key": key, "content": table.column("content")[p].as_py(), "repeated": _pack(at[hit] - first[p]), "hashes": hashes, "places": [int(x) for x in places]})
+    return pa.Table.from_pylist(rows, schema=pa.schema([("host", pa.string()), ("key", pa.int64()), ("content", pa.int64()), ("repeated", pa.binary()), ("hashes", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))]))
 
 
 def repeated_windows(pages: DataFrame) -> DataFrame:
     """(key, repeated, elsewhere): starts of the repeated windows in each page's stream."""
-    streams = stage(pages.mapInArrow(_streams, "key bigint, host string, stream string").dropDuplicates(["key"]), "page-streams")
+    streams = stage(pages.mapInArrow(_streams, "key bigint, host string, content bigint, stream string").dropDuplicates(["key"]), "page-streams")
     sizes = streams.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).cast("int").alias("groups"))
     dealt = streams.join(sizes, "host").withColumn("slot", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int"))
-    found = stage(dealt.groupBy("host", "slot").applyInArrow(_repeats, "host string, key bigint, repeated binary, hashes array<bigint>, places array<int>"), "page-repeats")
-    windows = found.where("size(hashes) > 0").select("host", "key", F.explode(F.arrays_zip("hashes", "places")).alias("w")).select("host", "key", F.col("w.hashes").alias("hash"), F.col("w.places").alias("place"))
-    shared = windows.groupBy("host", "hash").agg((F.min("key") != F.max("key")).alias("many")).where("many").select("host", "hash")
+    found = stage(dealt.groupBy("host", "slot").applyInArrow(_repeats, "host string, key bigint, content bigint, repeated binary, hashes array<bigint>, places array<int>"), "page-repeats")
+    windows = found.where("size(hashes) > 0").select("host", "key", "content", F.explode(F.arrays_zip("hashes", "places")).alias("w")).select("host", "key", "content", F.col("w.hashes").alias("hash"), F.col("w.places").alias("place"))
+    # a place of -1 was found under two contents in its own group
+    shared = windows.groupBy("host", "hash").agg(((F.min("content") != F.max("content")) | (F.min("place") < 0)).alias("many")).where("many").select("host", "hash")
     more = windows.where("place >= 0").join(shared, ["host", "hash"], "left_semi").groupBy("key").agg(F.collect_list("place").alias("elsewhere"))
     return found.select("key", "repeated").join(more, "key", "left")
 
@@ -246,13 +253,16 @@ def _kept(batches):
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars and n_repeated, its boilerplate tokens that repeats show.
 
-    Null and empty html give an empty text; a null url is its own host; the
-    same page given twice counts once as evidence and twice in the result;
-    extra columns are ignored; an empty table gives an empty result.
+    Null and empty html give an empty text; a null url is its own host; pages
+    of a host with one text outside furniture, whatever their ids and markup,
+    count once as evidence and each in the result; extra columns are ignored; an empty table gives an empty result.
     """
     plain = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = plain.select("*", F.xxhash64("page_id", "url", "html").alias("key"), F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")).alias("host"))
-    found = repeated_windows(keyed.select("key", "host", "html"))
+    keyed = keyed.withColumn("copy", F.xxhash64("host", "html"))
+    windows = repeated_windows(keyed.select(F.col("copy").alias("key"), "host", "html")).withColumnRenamed("key", "copy")
+    # copies of one page meet as narrow rows here, so that their texts don't meet below
+    found = keyed.select("key", "copy").distinct().join(windows, "copy").drop("copy")
     parsed = keyed.mapInArrow(_parsed, "key bigint, page_id bigint, url string, texts array<string>, zones array<int>")
     return parsed.join(found, "key", "left").mapInArrow(_kept, "page_id bigint, url string, text string, n_chars bigint, n_repeated bigint")
 

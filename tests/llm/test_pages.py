@@ -95,3 +95,18 @@ def test_extract(spark, monkeypatch):
         want = [(k, f"u{k} words {k}\nown {k}") for k in range(8)] + [(20, f"{line}\nu20 words 20\nown 20")] + [(30 + k, f"{line}\nstory {k}") for k in range(3)] + [(40, ""), (41, ""), (0, "u0 words 0\nown 0")]
         assert got == sorted((i, t, len(t)) for i, t in want)
     assert html_text.extract(table.where("1 = 0")).count() == 0
+
+
+def test_extract_of_copies(spark, monkeypatch):
+    line = "all rights are kept by the owners of this very site"
+    story = "a long tale of some eight words and then a few more of them"
+    plain = f"<html><body><div>{line}</div><p>{story}</p></body></html>"
+    marked = f"<html><head><title>x</title></head><body><div class='a'>{line}</div>\n<p><b>{story}</b></p></body></html>"
+    other = lambda k: f"<html><body><div>{line}</div><p>o{k} words</p></body></html>"
+    rows = [(k, f"http://a.example/{k}", plain if k % 2 else marked) for k in range(12)] + [(20 + k, f"http://a.example/o{k}", other(k)) for k in range(3)]
+    rows += [(40 + k, f"http://b.example/{k}", plain) for k in range(2)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    want = {**{k: story for k in range(12)}, **{20 + k: f"o{k} words" for k in range(3)}, **{40 + k: f"{line}\n{story}" for k in range(2)}}
+    for pages_a_group in (2000, 1):
+        monkeypatch.setattr(html_text, "GROUP_PAGES", pages_a_group)
+        assert {r.page_id: r.text for r in html_text.extract(table).collect()} == want
