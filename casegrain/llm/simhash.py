@@ -61,7 +61,8 @@ def _fingerprints(width: int):
         for batch in sized_slices(batches, "text"):
             known: dict[str, int] = {}
             values = [known[t] if t in known else known.setdefault(t, fingerprint(t, width)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(values, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            others = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(np.array(values, dtype=np.uint64).view(np.int64))], names=[*others, "fp"])
 
     return run
 
@@ -172,23 +173,43 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     their component; extra columns are ignored; an empty table gives none.
     """
     all_fps = stage(fingerprints(docs, width), "fingerprints")
-    distinct = stage(all_fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(distinct), "a", "b").select(F.col("node").alias("fp"), "root")
-    rooted = stage(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = _rooted(all_fps)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     owner = rooted.join(least, "root").select("fp", "component_id")
     return all_fps.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _rooted(all_fps: DataFrame) -> DataFrame:
+    """(fp, first, root): each fingerprint's least doc_id and the fingerprint that names its component."""
+    distinct = stage(all_fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    roots = components(links(distinct), "a", "b").select(F.col("node").alias("fp"), "root")
+    return stage(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of one document of each group of near-duplicates, that of the least doc_id.
+    """One row of each group of near-duplicates, that of the least doc_id.
 
-    Repeated rows of that document stay a single row.
+    A null doc_id comes last, and of different texts under one doc_id the one of
+    the least SHA-256 first; rows that share no more than their doc_id all stay.
     """
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
     rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    return kept if rows == ids else kept.dropDuplicates(["doc_id"])
+    if rows != ids:
+        return _keep_one_row(docs)
+    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_id")).distinct()
+    return docs.join(first, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def _keep_one_row(docs: DataFrame) -> DataFrame:
+    """``keep_one`` where doc_id doesn't name a row: a text is named by doc_id and digest."""
+    number, text = F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sha = F.sha2(text.cast("binary"), 256)
+    all_fps = stage(docs.select(number.alias("doc_id"), sha.alias("sha"), text.alias("text")).mapInArrow(_fingerprints(4), "doc_id bigint, sha string, fp bigint"), "fingerprints")
+    # the order of structs puts false before true, so a null doc_id last
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha"))
+    of_print = all_fps.groupBy("fp").agg(least.alias("row"))
+    first = of_print.join(_rooted(all_fps), "fp").groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.sha").alias("_first"))
+    kept = docs.withColumn("_sha", sha).join(first, number.eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_first")), "left_semi")
+    return kept.withColumn("_id", number).dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

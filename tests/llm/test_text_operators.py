@@ -180,6 +180,19 @@ def test_simhash(docs, empty, corpus):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_of_shared_ids(spark, prose_of):
+    import random
+
+    rng = random.Random(11)
+    a, b, c, d = (prose_of(rng, 60) for _ in range(4))
+    rows = [(None, a, 1), (None, b, 2), (None, b, 2), (3, c, 3), (3, d, 4), (3, d, 4), (5, b, 5), (6, a + " ", 6), (None, None, 7), (None, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _n int").repartition(3)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    found = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert found == sorted([(6, a + " "), (5, b), (3, c), (3, d), (0, "")])
+
+
 def test_simhash_of_dense_groups(spark):
     import random
 
