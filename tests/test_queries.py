@@ -57,3 +57,15 @@ def test_stream_equals_batch_fold(spark):
     assert a.keys() == b.keys()
     for k in a:
         assert abs(a[k].s - b[k].s) < 1e-6 and abs(a[k].mastery - b[k].mastery) < 1e-6 and a[k].visits == b[k].visits
+
+
+@pytest.mark.parametrize("name", ["concept_ladder", "label_ladder"])
+def test_ladders_take_every_name(spark, tmp_path, name):
+    parts = [(k, f"red{k} blue{k}", f"kind{k}") for k in range(1, 13)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.term: (r.cid, r.match) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    if name == "concept_ladder":
+        want = {n.upper(): (f"p{k}", "exact_title") for k, n, _ in parts} | {f"{n} {t}": (f"p{k}", "synonym_title") for k, n, t in parts}
+    else:
+        want = {n.upper(): (f"p{k}", "label") for k, n, _ in parts}
+    assert got == want
