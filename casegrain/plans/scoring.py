@@ -469,8 +469,9 @@ def padded_ids(spark, d):
 def parse_replies(spark, d):
     """Replies made of conversation texts, through the parsers that need Python."""
     t = table(spark, d, "conversations").where("role = 'assistant'")
-    reply = F.concat(F.lit('<think>x</think> noise {"verdict": "'), F.regexp_replace(F.substring("text", 1, 40), r'[\\"\n]', " "), F.lit('", "n": {"a": 1}} tail'))
-    found = t.select("conv_id", "turn", S.first_object(reply).alias("object"), S.ask_shape("text").alias("shape"), S.nfkc(F.substring("text", 1, 40)).alias("nfkc"))
+    answer = F.to_json(F.struct(F.col("text").alias("verdict"), F.struct(F.lit(1).alias("a")).alias("n")))
+    reply = F.when(F.col("text").isNotNull(), F.concat(F.lit("<think>x</think> noise "), answer, F.lit(" tail")))
+    found = t.select("conv_id", "turn", S.first_object(reply).alias("object"), S.ask_shape("text").alias("shape"), S.nfkc("text").alias("nfkc"))
     return found.select("conv_id", "turn", F.get_json_object("object", "$.n.a").alias("n"), "shape.sentences", "shape.questions", "nfkc")
 
 

@@ -69,3 +69,14 @@ def test_ladders_take_every_name(spark, tmp_path, name):
     else:
         want = {n.upper(): (f"p{k}", "label") for k, n, _ in parts}
     assert got == want
+
+
+def test_parse_replies_takes_whole_texts(spark, tmp_path):
+    import unicodedata
+
+    texts = ["é ﬁne " * 30, 'says "no" } { \\ and\nmore ' * 5 + "end ²", "", None]
+    rows = [(k, 1, "assistant", t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: (r.n, r.nfkc) for r in QUERIES["parse_replies"](spark, str(tmp_path)).collect()}
+    nfkc = lambda t: t if t is None else unicodedata.normalize("NFKC", t)
+    assert got == {k: (None if t is None else "1", nfkc(t)) for k, t in enumerate(texts)}
