@@ -217,6 +217,43 @@ def native_draw(tasks: DataFrame, stratum: str, task: str, weight: str, k: int,
     return keyed.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("_key")
 
 
+def candidates(tasks: DataFrame, steps: list[int], k: int, kind: str, case: str, task: str, weight: str, p: Sampler, seed: int) -> DataFrame:
+    """For each step, the first k cases that a draw of each kind, and one of all tasks, would take.
+
+    Adds step, pool (a kind, or null for all) and place. Taking the candidates
+    of a pool in order, without those of used cases, is ``take`` over all of the
+    pool, as long as no step uses more than k cases; what comes back has
+    2 * k rows a step and kind at most, however many tasks there are.
+    """
+    free = int(round(p.eps_uniform)) or int(p.eps_floor and p.eps_uniform > 0)  # of draws of one task each
+    each = F.array(*(F.struct(F.lit(s).alias("step"), pool.alias("pool")) for s in steps for pool in (F.col(kind), F.lit(None).cast("string"))))
+    rows = tasks.withColumn("_e", F.explode(each)).select(*tasks.columns, F.col("_e.step").alias("step"), F.col("_e.pool").alias("pool"))
+    u = (F.pmod(F.xxhash64(task, F.lit(seed), "step", F.coalesce(F.concat(F.lit("kind "), "pool"), F.lit("all"))), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    rows = rows.withColumn("_u", u).withColumn("_key", F.lit(0.0) if free else F.when(F.col(weight) > 0, F.log("_u") / F.col(weight)))
+    # tasks without weight come last and evenly, as in ``draw``
+    order = [F.desc_nulls_last("_key"), F.desc("_u"), F.col(task)]
+    own = rows.withColumn("_n", F.row_number().over(Window.partitionBy("step", "pool", case).orderBy(*order))).where("_n = 1")
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("step", "pool").orderBy(*order))).where(F.col("place") <= k).drop("_n", "_u", "_key")
+
+
+def plan_drawn(tasks: DataFrame, chunk: int, steps: int, per_step: int, shares: dict[str, float], p: Sampler, seed: int) -> list[dict]:
+    """``plan_chunk`` over tasks (task, case, kind, weight) of any number: the same law, with other draws."""
+    numbers = list(range(chunk * steps, (chunk + 1) * steps))
+    drawn: dict[tuple, list] = {}
+    for r in candidates(tasks, numbers, per_step, "kind", "case", "task", "weight", p, seed).orderBy("place").collect():
+        drawn.setdefault((r.step, r.pool), []).append(r)
+    rows = []
+    for step in numbers:
+        used: set = set()
+        want = quotas(per_step, shares)
+        for pool, k in [*sorted(want.items()), (None, per_step)]:
+            k = min(k, per_step - len(used))
+            left = [r for r in drawn.get((step, pool), []) if r.case not in used][:k]
+            used |= {r.case for r in left}
+            rows += [{"step": step, "task": r.task, "case": r.case, "kind": r.kind} for r in left]
+    return rows
+
+
 def plan_chunk(pool: list[dict], chunk: int, steps: int, per_step: int, shares: dict[str, float], p: Sampler, seed: int) -> list[dict]:
     """Rows (step, task, case, kind) of one chunk: quotas by kind, no case twice in a step.
 

@@ -254,11 +254,8 @@ def weighted_draw(spark, d):
 def curriculum_plan(spark, d):
     state = U.folded(U.visit_stats(feed(spark, d), ["task", "step"], "share", 0.75)).where("not retired")
     ranked = U.rank_weights(state.select("task", F.element_at(F.split("task", ":"), 1).alias("case"), F.element_at(F.split("task", ":"), 2).alias("kind"), "ema_std", (30 - F.col("last_visit")).alias("stale")), "kind", "ema_std", "task", "stale", 0.5, 0.1)
-    # the planner draws in sequence; a stratum sends it its heaviest tasks, as many as the plan can use
-    w = Window.partitionBy("kind").orderBy(F.desc("weight"), "task")
-    pool = ranked.withColumn("_r", F.row_number().over(w)).where("_r <= 400").select("task", "case", "kind", "weight").orderBy("task")
     shares = {"click": 0.4, "view": 0.3, "purchase": 0.3}
-    rows = U.plan_chunk([r.asDict() for r in pool.collect()], 0, 5, 16, shares, U.Sampler(), 42)
+    rows = U.plan_drawn(ranked.select("task", "case", "kind", "weight"), 0, 5, 16, shares, U.Sampler(), 42)
     return spark.createDataFrame(rows, "step int, task string, case string, kind string")
 
 

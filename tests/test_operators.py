@@ -224,3 +224,35 @@ def test_draws():
     w = {"a": 1.0, "b": 0.0, "c": 2.0}
     assert sorted(U.draw(U.seeded(1, 2), w, 5, 0.5)) == ["a", "b", "c"] and U.draw(U.seeded(1), w, 2, 0.1) == U.draw(U.seeded(1), w, 2, 0.1)
     assert math.isclose(U.seeded("abc").random(), U.seeded("abc").random())
+
+
+def test_plan_drawn_from_all_tasks(spark):
+    tasks = [(f"{c}:{kind}", str(c), kind, 1.0 if c < 900 else 0.0) for kind in "xy" for c in range(1000)]
+    table = spark.createDataFrame(tasks, "task string, case string, kind string, weight double").repartition(3)
+    shares = {"x": 0.5, "y": 0.5}
+    plan = U.plan_drawn(table, 0, 40, 20, shares, U.Sampler(), 1)
+    assert plan == U.plan_drawn(table.repartition(2), 0, 40, 20, shares, U.Sampler(), 1)
+    steps = {k: [r for r in plan if r["step"] == k] for k in range(40)}
+    for rows in steps.values():
+        assert [r["kind"] for r in rows] == ["x"] * 10 + ["y"] * 10 and len({r["case"] for r in rows}) == 20
+    drawn = [int(r["case"]) for r in plan]
+    assert max(drawn) < 900 and 0.4 < sum(c >= 400 for c in drawn) / len(drawn) < 0.7
+    few = [(f"{c}:{kind}", str(c), kind, w) for kind, n, w in (("x", 2, 1.0), ("y", 9, 0.0)) for c in range(n)]
+    few = U.plan_drawn(spark.createDataFrame(few, "task string, case string, kind string, weight double"), 0, 3, 6, shares, U.Sampler(), 1)
+    assert all(sorted(r["kind"] for r in few if r["step"] == k) == ["x"] * 2 + ["y"] * 4 for k in range(3))
+    weighted = [(str(c), str(c), "x", 9.0 if c == 0 else 1.0) for c in range(10)]
+    first = U.plan_drawn(spark.createDataFrame(weighted, "task string, case string, kind string, weight double"), 0, 400, 1, {"x": 1.0}, U.Sampler(), 3)
+    assert 0.42 < sum(r["task"] == "0" for r in first) / 400 < 0.58
+
+
+def test_curriculum_plan_reaches_light_tasks(spark, tmp_path):
+    import datetime
+
+    from casegrain.plans.queries import QUERIES
+
+    at = datetime.datetime(2024, 1, 2)
+    rows = [(k * 1500 + c, at, c, kind, 50.0) for k, kind in enumerate(("click", "view", "purchase")) for c in range(1500)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    plan = QUERIES["curriculum_plan"](spark, str(tmp_path)).collect()
+    heavy = {t for kind in ("click", "view", "purchase") for t in sorted(f"{c}:{kind}" for c in range(1500))[:400]}
+    assert len(plan) == 80 and any(r.task not in heavy for r in plan)
