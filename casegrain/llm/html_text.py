@@ -1,22 +1,31 @@
-"""Main text of web pages: structure, and a suffix array of each host's repeats.
-
-Markup decides what it can: text inside an article or main element is main
-text, and text inside menus, headers, footers, sidebars, notices, adverts,
-forms and reader comments is not. For text outside both kinds, the page token
-streams of a host are concatenated and their suffixes sorted by prefix
-doubling; runs of ``RUN`` or more tokens that occur on two pages or more are
-boilerplate and only the rest is kept. Article text is never removed for being
-repeated: pages may share paragraphs, and all of an article is wanted.
-
-A host's pages are dealt to groups of bounded size, each with its own suffix
-array; windows that are lone in their group meet those of the host's other
-groups by their hash, so no repeat is lost and no host is held by one task.
+"""Main text of web pages: markup protects and seeds, each host's suffix array decides.
+
+Markup names what it knows. Text inside an article or main element is
+protected. Forms, reader comments, adverts, lists of other articles and
+embedded objects never are main text. Menus, headers, footers, sidebars and
+notices are only *presumed* boilerplate: boilerplate is what a site repeats.
+
+So the page token streams of a host, articles included, are concatenated and
+their suffixes sorted; neighbours in that order with ``RUN`` or more tokens in
+common, on pages of different content, are repeats. They decide twice:
+
+* Outside articles, tokens that a repeat covers are removed and unique runs kept.
+* A presumed kind of furniture is removed, unique runs too, while the repeats
+  of the whole table bear the presumption out: ``PRIOR`` pages count for it, and
+  of the pages that have it a share of at least ``BORNE_OUT`` must be repeats.
+
+A host's pages are dealt by ranges of (host, content) to groups of bounded size,
+each with its own suffix array. Where a host is in several groups, the repeats
+that no group sees alone meet by content-chosen anchors and then by the 128-bit
+digests of their windows, so the result doesn't depend on the dealing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,247 +33,444 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, sized_slices, stage
+from .common import mix64, ragged, read_table, sized_slices, stage
 
 RUN = 8
-#: Pages of one host whose streams share a suffix array.
-GROUP_PAGES = 2000
+#: Tokens of an anchor; equal windows of ``RUN`` tokens hold an equal one.
+SEED = 4
+#: Text that shares a suffix array, and that one task holds.
+GROUP_BYTES = 8 << 20
+PART_BYTES = 16 << 20
+#: Pages that count for a kind of furniture from the start, and the share that must bear it out.
+PRIOR = 20
+BORNE_OUT = 0.1
+
+#: Kinds that repeats must bear out, by their number; ``NEVER`` is no main text whatever repeats.
+SOFT = ("menu", "header", "footer", "sidebar", "notice")
+NEVER = len(SOFT) + 1
 
 # fixed values: element names of HTML, and names that sites give to parts of pages
 _BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre "
     "section summary table tbody td tfoot th thead title tr ul".split()
 )
-_RAW = set("script style noscript template svg math iframe object canvas audio video textarea select button title noembed noframes".split())
+_INLINE = set(
+    "a abbr acronym applet area audio b base basefont bdi bdo big blink br button canvas cite code col colgroup data datalist del dfn em embed font frame i iframe img input ins kbd keygen label link map mark marquee math meta meter "
+    "nobr noembed noframes noscript object output param picture plaintext portal progress q rb rp rt rtc ruby s samp script search select slot small source spacer span strike strong style sub sup svg template textarea time track tt u "
+    "var video wbr xmp".split()
+)
+_RAW = "script style textarea title xmp iframe noembed noframes".split()
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _LOOSE = set("p li dt dd tr td th thead tbody tfoot option b i em strong a span small u s sub sup font code abbr cite q label mark time".split())
-_OUT = set("nav footer aside form menu dialog".split())
-_OUT_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-_OUT_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter "
-    "notice notices pagination popup promo promos recommended related respond reply replies search share sharing shares sidebar sidebars signup social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
-)
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?[a-zA-Z](?:[^'">]|"[^"]*"|'[^']*')*>|<|[^<]+""", re.S)
+_ELEMENTS = {
+    **dict.fromkeys("nav menu".split(), "menu"), "footer": "footer", "aside": "sidebar",
+    **dict.fromkeys("form dialog search noscript template svg math object canvas audio video select button datalist applet".split(), "never"),
+}
+_ROLES = {
+    **dict.fromkeys("navigation menu menubar".split(), "menu"), "banner": "header", "contentinfo": "footer", "complementary": "sidebar", "alert": "notice",
+    **dict.fromkeys("search form dialog alertdialog".split(), "never"),
+}
+_NAMES = {
+    **dict.fromkeys("nav navbar navigation menu menus breadcrumb breadcrumbs pagination toolbar".split(), "menu"),
+    **dict.fromkeys("header masthead topbar".split(), "header"),
+    **dict.fromkeys("footer copyright".split(), "footer"),
+    **dict.fromkeys("sidebar sidebars widget widgets".split(), "sidebar"),
+    **dict.fromkeys("banner banners consent cookie cookies gdpr modal notice notices popup share sharing shares social tags".split(), "notice"),
+    **dict.fromkeys(
+        "ad ads adv advert adverts advertisement advertising promo promos sponsor sponsored comment comments disqus reply replies respond form login newsletter recommended related search signup subscribe".split(), "never"
+    ),
+}
+#: Words that leave a compound name what its other words make it: "site-header" is one, "with-sidebar" and "entry-header" are not.
+_NEUTRAL = set("area bar block box btn button buttons container bottom global google group icons inner item items left link links list main page posts primary right secondary section site slot top unit wrap wrapper".split())
+
+_ATTRIBUTES = r"""(?:[^'"<>]|"[^"]*"|'[^']*')*+"""
+_TOKEN = re.compile(
+    r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^<>]*>?|" + "|".join(rf"<{n}(?=[\s/>]){_ATTRIBUTES}>.*?</{n}(?=[\s/>])[^>]*>" for n in _RAW) + rf"|</?[a-z]{_ATTRIBUTES}>|<|[^<]+", re.S | re.I
+)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
-
-
-def _is_out(name: str, tag: str, inside: bool) -> bool:
-    if name in _OUT or name == "header" and not inside:
-        return True
-    for kind, *values in _ATTRIBUTE.findall(tag):
-        value = "".join(values)
-        if kind.lower() == "role":
-            if value.strip().lower() in _OUT_ROLES:
-                return True
-        elif name not in ("html", "body", "article", "main"):
-            parts = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())
-            if _OUT_NAMES.intersection(parts):
-                return True
-    return False
-
-
-def blocks(page: str | None) -> list[tuple[str, int]]:
-    """(text, zone) of each block in page order: zone 1 article, 0 undecided, -1 furniture."""
-    found: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, article
+_NUMBER = {"": 0, **{k: i + 1 for i, k in enumerate(SOFT)}, "never": NEVER}
+
+
+@lru_cache(4096)
+def name_kind(name: str) -> str:
+    """The kind that a class or id of this name has, or none."""
+    if name.lower() in _NAMES:
+        return _NAMES[name.lower()]
+    parts = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+    kinds = [_NAMES[p] for p in parts if p in _NAMES]
+    return kinds[-1] if kinds and all(p in _NAMES or p in _NEUTRAL for p in parts) else ""
+
+
+@lru_cache(4096)
+def _markup(name: str, tag: str, inside: bool) -> tuple[int, bool]:
+    """(kind, whether it holds an article) of a start tag."""
+    found = _ELEMENTS.get(name, "header" if name == "header" and not inside else "")
+    article = name in ("article", "main")
+    if not found and "=" in tag:
+        for key, *values in _ATTRIBUTE.findall(tag):
+            key, value = key.lower(), "".join(values)
+            if key == "role":
+                found = found or _ROLES.get(value.strip().lower(), "")
+                article |= value.strip().lower() in ("main", "article")
+            elif key in ("class", "id") and name not in ("html", "body", "article", "main"):
+                found = found or next((k for k in map(name_kind, value.split()) if k), "")
+    return _NUMBER[found], article
+
+
+def blocks(page: str | None) -> list[tuple[str, bool, int]]:
+    """(text, inside an article, kind) of each block in page order."""
+    found: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, int, bool]] = []  # name, kind, article
     pieces: list[str] = []
-    out, article, raw = 0, 0, ""
+    kinds: list[int] = []
+    article = 0
 
     def close():
         text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
         pieces.clear()
         if text:
-            found.append((text, -1 if out else 1 if article else 0))
+            found.append((text, article > 0, NEVER if NEVER in kinds else kinds[0] if kinds else 0))
+
+    def leave():
+        nonlocal article
+        _, kind, holds = stack.pop()
+        article -= holds
+        if kind:
+            kinds.pop()
 
     for token in _TOKEN.findall(page or ""):
-        if token[0] != "<" or token == "<":
-            if not raw:
-                pieces.append(token)
+        if token[0] != "<" or len(token) == 1:
+            pieces.append(token)
             continue
         if token[1] in "!?":
             continue
         name = _NAME.match(token)[1].lower()
-        ending = token[1] == "/"
-        if raw:
-            raw = "" if ending and name == raw else raw
+        if name in _BLOCKS:
+            close()
+        elif name not in _INLINE and "-" not in name and ":" not in name:  # no element of HTML, so text
+            pieces.append(token)
             continue
-        if name in _RAW and not ending:
-            raw = "" if token.endswith("/>") else name
+        if name in _RAW:  # with all it holds, or without an end tag alone
             continue
         if name == "br":
             pieces.append(" ")
-            continue
-        if name in _BLOCKS:
-            close()
         if name in _VOID:
             continue
-        if not ending:
+        if token[1] != "/":
             if stack and (stack[-1][0] == "p" and name in _BLOCKS or stack[-1][0] == name and name in _LOOSE):  # an end tag left out
-                last = stack.pop()
-                out, article = out - last[1], article - last[2]
-            furniture = _is_out(name, token, article > 0)
-            if not token.endswith("/>") and (name not in _LOOSE or furniture):
-                entry = (name, furniture, name in ("article", "main"))
-                if name not in _BLOCKS and entry[1]:
+                leave()
+            kind, holds = _markup(name, token, article > 0)
+            if not token.endswith("/>") and (name not in _LOOSE or kind or holds):
+                if name not in _BLOCKS and (kind or holds):
                     close()
-                stack.append(entry)
-                out, article = out + entry[1], article + entry[2]
+                stack.append((name, kind, holds))
+                article += holds
+                if kind:
+                    kinds.append(kind)
         elif any(x[0] == name for x in stack):
-            if any(x[1] for x in stack):
+            at = max(k for k, x in enumerate(stack) if x[0] == name)
+            if any(kind or holds for _, kind, holds in stack[at:]):
                 close()
-            while stack:
-                last = stack.pop()
-                out, article = out - last[1], article - last[2]
-                if last[0] == name:
-                    break
+            while len(stack) > at:
+                leave()
     close()
     return found
 
 
-def _streams(batches):
-    """Each page's tokens outside articles, and a hash of all its text outside furniture."""
-    import xxhash
+def _digest(*parts: str) -> bytes:
+    return hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
 
+def _parsed(batches):
+    """Each page's blocks; ``content`` is the same for pages of one text outside furniture, or of one text where all is furniture."""
     for batch in sized_slices(batches, "html"):
-        keys, contents, streams = [], [], []
-        for key, page in zip(batch.column("key").to_pylist(), batch.column("html").to_pylist()):
-            found = blocks(page)
-            tokens = [w for text, zone in found if zone < 1 for w in text.split()]
-            if tokens:
-                keys.append(key)
-                contents.append(xxhash.xxh64_intdigest(" ".join(w for text, zone in found if zone >= 0 for w in text.split())) - (1 << 63))
-                streams.append(" ".join(tokens))
-        places = pc.index_in(pa.array(keys, pa.int64()), batch.column("key"))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column("host").take(places), pa.array(contents, pa.int64()), pa.array(streams, pa.string())], names=["key", "host", "content", "stream"])
-
-
-def window_classes(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, classes): the windows of ``run`` tokens inside one page, equal windows in one class.
-
-    Prefix doubling: ranks of 2, 4, 8 ... tokens come from sorting pairs of the
-    ranks half as long; the last step overlaps so that ``run`` need not be a
-    power of two.
+        known: dict[str, tuple] = {}
+        rows = []
+        for page, host in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist()):
+            if page not in known:
+                found = blocks(page)
+                free = {kind for _, inside, kind in found if not inside}
+                known[page] = (
+                    "\n".join(t for t, _, _ in found), bytes(2 * kind + inside for _, inside, kind in found),
+                    " ".join(t for t, _, kind in found if not kind) or " ".join(t for t, _, _ in found), 0 in free, sum(1 << k for k in free if 0 < k < NEVER),
+                )
+            text, codes, content, unnamed, soft = known[page]
+            rows.append((text, codes, _digest(host, codes.hex(), text), _digest(content), unnamed, soft))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, ("page_id", "url", "host")), *columns], names=["page_id", "url", "host", "text", "codes", "key", "content", "unnamed", "soft"])
+
+
+_PARSED = "page_id bigint, url string, host string, text string, codes binary, key binary, content binary, unnamed boolean, soft int"
+
+
+def suffix_order(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, LCP of each place with the one before) of streams that end at ``ends``.
+
+    Suffixes stop where their stream does. Prefix doubling: ranks by w tokens
+    give ranks by 2 w, and only suffixes that still share a rank are sorted
+    again. The ranks of every width are kept and give the LCPs.
     """
-    rank, width = tokens.astype(np.int64), 1
-    while width < run:
-        step = min(width, run - width)
-        second = rank[step:]
-        key = rank[: len(second)] * (int(rank.max(initial=0)) + 1) + second
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(len(key), dtype=np.int64)
-        new[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
-        rank, width = new, width + step
-    if len(tokens) < run:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    inside = np.flatnonzero(page[: len(rank)] == page[run - 1 :])
-    return inside, rank[inside]
-
-
-def _pack(values) -> bytes:
-    return np.asarray(values, dtype="<i4").tobytes()
-
-
-def _repeats(table: pa.Table) -> pa.Table:
-    """For each page: windows repeated on a page of other content here, and hashes of those to compare elsewhere."""
-    import xxhash
+    n = len(tokens)
+    lcp = np.zeros(n, dtype=np.int64)
+    if not n:
+        return lcp, lcp
+    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)  # tokens to the stream's end
+    order = np.argsort(tokens, kind="stable")
+    heads = np.flatnonzero(np.concatenate(([True], np.diff(tokens[order]) != 0)))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
+    levels, width = [rank], 1
+    while True:
+        sizes = np.diff(np.append(heads, n))
+        slots = ragged(heads[sizes > 1], sizes[sizes > 1])
+        some = order[slots]
+        go = left[some] > width
+        if not go.any():
+            break
+        second = np.zeros(len(some), dtype=np.int64)
+        second[go] = rank[some[go] + width] + 1
+        key = rank[some] * (n + 1) + second
+        moved = np.argsort(key, kind="stable")
+        some, key = some[moved], key[moved]
+        order[slots] = some
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        rank = rank.copy()
+        rank[some] = np.repeat(slots[at], np.diff(np.append(at, len(some))))
+        heads = np.sort(np.concatenate((heads[sizes == 1], slots[at])))
+        width *= 2
+        levels.append(rank)
+    a, b, place = order[:-1], order[1:], np.arange(1, n)
+    for k in range(len(levels) - 1, -1, -1):
+        same = levels[k][a] == levels[k][b]
+        step = np.minimum(1 << k, left[a[same]])
+        lcp[place[same]] += step
+        a, b = a.copy(), b.copy()
+        a[same] += step
+        b[same] += step
+        # a stream's end ends the comparison
+        live = lcp[place] < np.minimum(left[order[place - 1]], left[order[place]])
+        a, b, place = a[live], b[live], place[live]
+    return order, lcp
+
+
+def repeated(tokens: np.ndarray, ends: np.ndarray, content: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(class, whether it is on streams of different content) of the ``run`` tokens from each place.
+
+    ``content`` has a number for each stream. A place that has fewer tokens to
+    its stream's end is in a class of its own.
+    """
+    order, lcp = suffix_order(tokens, ends)
+    number = np.repeat(content, np.diff(ends, prepend=0))[order]
+    heads = np.flatnonzero(lcp < run)
+    kind = np.empty(len(order), dtype=np.int64)
+    kind[order] = np.cumsum(lcp < run) - 1
+    many = np.minimum.reduceat(number, heads) != np.maximum.reduceat(number, heads) if len(heads) else np.zeros(0, dtype=bool)
+    return kind, many[kind]
 
-    keys, split = table.column("key").to_pylist(), table.column("groups")[0].as_py() > 1
-    lists = [s.split(" ") for s in table.column("stream").to_pylist()]
-    words: dict[str, int] = {}
-    tokens = np.array([words.setdefault(w, len(words)) for x in lists for w in x], dtype=np.int64)
-    page = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    first = np.searchsorted(page, np.arange(len(lists)))
-    at, kind = window_classes(tokens, page, RUN)
-    if len(at):
-        content = np.unique(table.column("content").to_numpy(), return_inverse=True)[1]
-        seen = np.unique(np.stack([kind, content[page[at]]]), axis=1)[0]
-        pages = np.bincount(seen, minlength=kind.max() + 1)
-        again = pages[kind] > 1
-    else:
-        again = np.zeros(0, dtype=bool)
-    flat = [w for x in lists for w in x]
-    order = np.searchsorted(page[at], np.arange(len(lists) + 1)) if len(at) else np.zeros(len(lists) + 1, dtype=np.int64)
-    rows = []
-    told: set[int] = set()
-    for p, key in enumerate(keys):
-        mine = np.arange(order[p], order[p + 1])
-        hit = mine[again[mine]]
-        hashes, places = [], []
-        if split:
-            for k in mine:
-                if not again[k]:
-                    hashes.append(xxhash.xxh64_intdigest(" ".join(flat[at[k] : at[k] + RUN])) - (1 << 63))
-                    places.append(at[k] - first[p])
-                elif kind[k] not in told:  # once a class, so that other groups see it
-                    told.add(kind[k])
-                    hashes.append(xxhash.xxh64_intdigest(" ".join(flat[at[k] : at[k] + RUN])) - (1 << 63))
-                    places.append(-1)
-        rows.append({"host": table.column("host")[p].as_py(), "key": key, "content": table.column("content")[p].as_py(), "repeated": _pack(at[hit] - first[p]), "hashes": hashes, "places": [int(x) for x in places]})
-    return pa.Table.from_pylist(rows, schema=pa.schema([("host", pa.string()), ("key", pa.int64()), ("content", pa.int64()), ("repeated", pa.binary()), ("hashes", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))]))
-
-
-def repeated_windows(pages: DataFrame) -> DataFrame:
-    """(key, repeated, elsewhere): starts of the repeated windows in each page's stream."""
-    streams = stage(pages.mapInArrow(_streams, "key bigint, host string, content bigint, stream string").dropDuplicates(["key"]), "page-streams")
-    sizes = streams.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).cast("int").alias("groups"))
-    dealt = streams.join(sizes, "host").withColumn("slot", F.pmod(F.xxhash64("key"), F.col("groups")).cast("int"))
-    found = stage(dealt.groupBy("host", "slot").applyInArrow(_repeats, "host string, key bigint, content bigint, repeated binary, hashes array<bigint>, places array<int>"), "page-repeats")
-    windows = found.where("size(hashes) > 0").select("host", "key", "content", F.explode(F.arrays_zip("hashes", "places")).alias("w")).select("host", "key", "content", F.col("w.hashes").alias("hash"), F.col("w.places").alias("place"))
-    # a place of -1 was found under two contents in its own group
-    shared = windows.groupBy("host", "hash").agg(((F.min("content") != F.max("content")) | (F.min("place") < 0)).alias("many")).where("many").select("host", "hash")
-    more = windows.where("place >= 0").join(shared, ["host", "hash"], "left_semi").groupBy("key").agg(F.collect_list("place").alias("elsewhere"))
-    return found.select("key", "repeated").join(more, "key", "left")
 
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(codes, where each stream ends, vocabulary) of the tokens of texts."""
+    lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+    coded = lists.flatten().dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64), coded.dictionary
 
-def _parsed(batches):
-    for batch in sized_slices(batches, "html"):
-        parts = [blocks(page) for page in batch.column("html").to_pylist()]
-        texts = [[t for t, _ in p] for p in parts]
-        zones = [[z for _, z in p] for p in parts]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("key"), batch.column("page_id"), batch.column("url"), pa.array(texts, pa.list_(pa.string())), pa.array(zones, pa.list_(pa.int32()))], names=["key", "page_id", "url", "texts", "zones"]
-        )
+
+def _anchors(codes: np.ndarray, vocabulary: pa.Array, host: str) -> np.ndarray:
+    """For each place the least hash of ``SEED`` tokens among those of the window there."""
+    import xxhash
+
+    salt = xxhash.xxh3_64_intdigest(host)
+    each = np.array([xxhash.xxh3_64_intdigest(w, salt) for w in vocabulary.to_pylist()], dtype=np.uint64)[codes]
+    out = np.full(len(codes), np.iinfo(np.uint64).max, dtype=np.uint64)
+    if len(codes) >= RUN:
+        h = np.zeros(len(codes) - SEED + 1, dtype=np.uint64)
+        for k in range(SEED):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + each[k : k + len(h)]
+        h = mix64(h)
+        places = len(codes) - RUN + 1
+        out[:places] = np.min([h[k : k + places] for k in range(RUN - SEED + 1)], axis=0)
+    return out.view(np.int64)
+
+
+def _runs(places: np.ndarray) -> bytes:
+    """Ascending places as packed (first, last) of each run."""
+    if not len(places):
+        return b""
+    cuts = np.flatnonzero(np.diff(places) != 1)
+    return np.stack([places[np.append(0, cuts + 1)], places[np.append(cuts, len(places) - 1)]], axis=1).astype("<i4").tobytes()
+
+
+def _marks(text: str, codes: bytes) -> bytes:
+    """Packed (first token, token after, kind) of each block of presumed furniture."""
+    out, at = [], 0
+    for block, code in zip(text.split("\n"), codes):
+        n = block.count(" ") + 1
+        if 0 < code >> 1 < NEVER:
+            out.append((at, at + n, code >> 1))
+        at += n
+    return np.array(out, dtype="<i4").tobytes()
+
+
+_FOUND = pa.schema([("key", pa.binary()), ("host", pa.string()), ("content", pa.binary()), ("marks", pa.binary()), ("again", pa.binary()), ("anchors", pa.list_(pa.int64())), ("text", pa.string())])
+
+
+def _group(host: str, rows: dict, split: bool) -> pa.RecordBatch:
+    """A group's streams, the windows that repeat in it and, if it isn't the whole host, anchors for the other groups."""
+    keys, texts = list(rows), [r[1] for r in rows.values()]
+    numbers: dict[bytes, int] = {}
+    content = np.array([numbers.setdefault(r[0], len(numbers)) for r in rows.values()])
+    codes, ends, vocabulary = _words(texts)
+    kind, again = repeated(codes, ends, content)
+    starts = np.concatenate(([0], ends[:-1]))
+    anchors: list[list[int] | None] = [None] * len(keys)
+    if split:
+        stream = np.repeat(np.arange(len(keys)), ends - starts)
+        whole = ends[stream] - np.arange(len(codes)) >= RUN
+        least = _anchors(codes, vocabulary, host)
+        # windows that repeat here are told of once a class
+        first = np.zeros(len(codes), dtype=bool)
+        first[np.unique(kind, return_index=True)[1]] = True
+        tell = whole & (~again | first)
+        anchors = [np.unique(least[a:b][tell[a:b]]).tolist() for a, b in zip(starts, ends)]
+    table = {
+        "key": keys, "host": [host] * len(keys), "content": [r[0] for r in rows.values()], "marks": [_marks(r[1], r[2]) for r in rows.values()],
+        "again": [_runs(np.flatnonzero(again[a:b])) for a, b in zip(starts, ends)], "anchors": anchors, "text": texts if split else [None] * len(keys),
+    }
+    return pa.RecordBatch.from_pydict(table, schema=_FOUND)
+
+
+def _arrays(group_bytes: int):
+    def run(batches):
+        host, rows, size, split = None, {}, 0, True
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("host", "key", "content", "text", "codes")]
+            for h, key, content, text, codes in zip(*columns):
+                if h != host:
+                    if rows:
+                        yield _group(host, rows, split)
+                    # the first host of a partition may have begun in the one before
+                    host, rows, size, split = h, {}, 0, host is None
+                if key in rows:
+                    continue
+                if rows and size + len(text) > group_bytes:
+                    yield _group(host, rows, True)
+                    rows, size, split = {}, 0, True
+                rows[key] = (content, text, codes)
+                size += len(text)
+        if rows:
+            yield _group(host, rows, True)  # and the last go on in the next
+
+    return run
 
 
-def _kept(batches):
+def _windows(batches):
+    """Windows at the anchors that other groups hold; place -1 for those that repeat in their own group."""
     for batch in batches:
         out = []
         for row in batch.to_pylist():
-            starts = np.concatenate((np.frombuffer(row["repeated"] or b"", "<i4"), np.array(row["elsewhere"] or [], dtype="<i4")))
-            covered = {int(s) + k for s in starts for k in range(RUN)}
-            kept, at = [], 0
-            for text, zone in zip(row["texts"], row["zones"]):
-                if zone == 1:
-                    kept.append(text)
-                    continue
-                tokens = text.split()
-                if zone == 0:
-                    left = [w for k, w in enumerate(tokens) if at + k not in covered] if covered else tokens
-                    if left:
-                        kept.append(" ".join(left))
-                at += len(tokens)
-            text = "\n".join(kept)
-            out.append({"page_id": row["page_id"], "url": row["url"], "text": text, "n_chars": len(text), "n_repeated": len(covered)})
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_repeated", pa.int64())]))
+            codes, _, vocabulary = _words([row["text"]])
+            least = _anchors(codes, vocabulary, row["host"])
+            hit = np.flatnonzero(np.isin(least, np.array(row["hits"], dtype=np.int64)) & (np.arange(len(codes)) <= len(codes) - RUN))
+            runs = np.frombuffer(row["again"], "<i4").reshape(-1, 2).astype(np.int64)
+            known = set(ragged(runs[:, 0], runs[:, 1] - runs[:, 0] + 1).tolist())
+            words = row["text"].replace("\n", " ").split(" ")
+            out += [(row["key"], row["host"], row["content"], _digest(" ".join(words[k : k + RUN])), -1 if k in known else k) for k in hit.tolist()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.string(), pa.binary(), pa.binary(), pa.int32()))], names=["key", "host", "content", "window", "place"])
+
+
+def _cover(batches):
+    """Covered tokens of each stream, and the kinds of presumed furniture that it has and that repeats cover."""
+    for batch in batches:
+        spans, has, borne = [], [], []
+        for runs, places, marks in zip(*(batch.column(c).to_pylist() for c in ("runs", "places", "marks"))):
+            pairs = np.concatenate([np.frombuffer(b"".join(runs), "<i4").reshape(-1, 2), np.repeat(np.array(places, dtype="<i4"), 2).reshape(-1, 2)]).astype(np.int64)
+            covered = np.unique(ragged(pairs[:, 0], pairs[:, 1] - pairs[:, 0] + RUN))
+            spans.append(_runs(covered))
+            total, hit = [0] * NEVER, [0] * NEVER
+            for a, b, kind in np.frombuffer(marks, "<i4").reshape(-1, 3).tolist():
+                total[kind] += b - a
+                hit[kind] += int(np.searchsorted(covered, b) - np.searchsorted(covered, a))
+            has.append(sum(1 << k for k in range(NEVER) if total[k]))
+            borne.append(sum(1 << k for k in range(NEVER) if total[k] and 2 * hit[k] >= total[k]))
+        yield pa.RecordBatch.from_arrays([*map(batch.column, ("key", "host", "content")), pa.array(spans, pa.binary()), pa.array(has, pa.int32()), pa.array(borne, pa.int32())], names=["key", "host", "content", "spans", "has", "borne"])
+
+
+def repeats(parsed: DataFrame) -> DataFrame:
+    """(key, host, content, spans, has, borne) of every distinct stream of parsed pages."""
+    size = parsed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    streams = parsed.where("text <> ''").select("host", "key", "content", "text", "codes", F.xxhash64("page_id", "url").alias("salt"))
+    dealt = streams.repartitionByRange(parts, "host", "content", "salt").sortWithinPartitions("host", "content", "salt").drop("salt")
+    found = stage(dealt.mapInArrow(_arrays(GROUP_BYTES), "key binary, host string, content binary, marks binary, again binary, anchors array<bigint>, text string"), "page-repeats")
+    asked = found.where("size(anchors) > 0").select("key", "host", "content", F.explode("anchors").alias("anchor"))
+    common = asked.groupBy("host", "anchor").agg((F.count("*") > 1).alias("many")).where("many").select("host", "anchor")
+    hits = asked.join(common, ["host", "anchor"], "left_semi").groupBy("key").agg(F.collect_set("anchor").alias("hits"))
+    told = found.where("size(anchors) > 0").select("key", "host", "content", "again", "text").dropDuplicates(["key"]).join(hits, "key")
+    windows = stage(told.mapInArrow(_windows, "key binary, host string, content binary, window binary, place int"), "page-windows")
+    shared = windows.groupBy("host", "window").agg(((F.min("content") != F.max("content")) | (F.min("place") < 0)).alias("many")).where("many").select("host", "window")
+    more = windows.where("place >= 0").join(shared, ["host", "window"], "left_semi").select("key", "place")
+    none = lambda *names: [F.lit(None).cast(t).alias(n) for n, t in names]
+    both = found.select("key", "host", "content", "marks", "again", *none(("place", "int"))).unionByName(more.select("key", "place", *none(("host", "string"), ("content", "binary"), ("marks", "binary"), ("again", "binary"))))
+    merged = both.groupBy("key").agg(F.max("host").alias("host"), F.max("content").alias("content"), F.max("marks").alias("marks"), F.collect_list("again").alias("runs"), F.collect_list("place").alias("places"))
+    return stage(merged.mapInArrow(_cover, "key binary, host string, content binary, spans binary, has int, borne int"), "page-cover")
+
+
+def furniture(cover: DataFrame) -> list[int]:
+    """The presumed kinds that the repeats of the whole table bear out.
+
+    Hosts with pages of one content have nothing to say.
+    """
+    count = lambda c, k: F.sum(F.col(c).bitwiseAND(1 << k) / (1 << k)).alias(f"{c}{k}")
+    kinds = range(1, NEVER)
+    hosts = cover.groupBy("host").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), *(count(c, k) for c in ("has", "borne") for k in kinds)).where("lo <> hi")
+    totals = hosts.agg(*(F.sum(f"{c}{k}").alias(f"{c}{k}") for c in ("has", "borne") for k in kinds)).first()
+    return [k for k in kinds if PRIOR + (totals[f"borne{k}"] or 0) >= BORNE_OUT * (PRIOR + (totals[f"has{k}"] or 0))]
+
+
+def _kept(dropped: list[int]):
+    gone = {*dropped, NEVER}
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for text, codes, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "codes", "spans"))):
+                runs = np.frombuffer(spans or b"", "<i4").reshape(-1, 2).astype(np.int64)
+                covered = set(ragged(runs[:, 0], runs[:, 1] - runs[:, 0] + 1).tolist()) if len(runs) else ()
+                kept, at = [], 0
+                for block, code in zip(text.split("\n"), codes):
+                    tokens = block.split(" ") if covered else ()
+                    if code >> 1 not in gone:
+                        left = block if code & 1 or not covered else " ".join(w for k, w in enumerate(tokens, at) if k not in covered)
+                        if left:
+                            kept.append(left)
+                    at += len(tokens)
+                texts.append("\n".join(kept))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Per page: page_id, url, text, n_chars and n_repeated, its boilerplate tokens that repeats show.
+    """Per page: page_id, url, text and n_chars.
 
     Null and empty html give an empty text; a null url is its own host; pages
-    of a host with one text outside furniture, whatever their ids and markup,
-    count once as evidence and each in the result; extra columns are ignored; an empty table gives an empty result.
+    of a host with one text outside presumed furniture, whatever their ids and
+    markup, count once as evidence and each in the result; extra columns are
+    ignored; an empty table gives an empty result.
     """
     plain = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    keyed = plain.select("*", F.xxhash64("page_id", "url", "html").alias("key"), F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")).alias("host"))
-    keyed = keyed.withColumn("copy", F.xxhash64("host", "html"))
-    windows = repeated_windows(keyed.select(F.col("copy").alias("key"), "host", "html")).withColumnRenamed("key", "copy")
-    # copies of one page meet as narrow rows here, so that their texts don't meet below
-    found = keyed.select("key", "copy").distinct().join(windows, "copy").drop("copy")
-    parsed = keyed.mapInArrow(_parsed, "key bigint, page_id bigint, url string, texts array<string>, zones array<int>")
-    return parsed.join(found, "key", "left").mapInArrow(_kept, "page_id bigint, url string, text string, n_chars bigint, n_repeated bigint")
+    keyed = plain.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")))
+    parsed = stage(keyed.mapInArrow(_parsed, _PARSED), "page-blocks")
+    cover = repeats(parsed)
+    dropped = furniture(cover)
+    # pages whose text outside articles is all dropped don't need to know what is covered
+    asks = F.col("unnamed") | (F.col("soft").bitwiseAND(~sum(1 << k for k in dropped)) != 0)
+    columns = "page_id bigint, url string, text string, n_chars bigint"
+    sure = parsed.where(~asks).withColumn("spans", F.lit(None).cast("binary")).mapInArrow(_kept(dropped), columns)
+    return sure.unionByName(parsed.where(asks).join(cover.select("key", "spans"), "key", "left").mapInArrow(_kept(dropped), columns))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
