@@ -40,7 +40,7 @@ RUN = 8
 SEED = 4
 #: Text that shares a suffix array, and that one task holds.
 GROUP_BYTES = 8 << 20
-PART_BYTES = 16 << 20
+PART_BYTES = 64 << 20
 #: Pages that count for a kind of furniture from the start, and the share that must bear it out.
 PRIOR = 20
 BORNE_OUT = 0.1
@@ -205,23 +205,42 @@ def _parsed(batches):
 _PARSED = "page_id bigint, url string, host string, text string, codes binary, key binary, content binary, unnamed boolean, soft int"
 
 
+def _starts(tokens: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(keys that order suffixes by their first tokens, names of their first 1, 2 ... tokens).
+
+    As many tokens as fit into 64 bits: four, or two of a large vocabulary. Past
+    a stream's end there is 0.
+    """
+    size = int(tokens.max()) + 2
+    names, width = [tokens.astype(np.uint64) + np.uint64(1)], 1
+    while width < 4 and size ** (2 * width) < 1 << 64:
+        last = names[-1]
+        after = np.zeros(len(last), dtype=np.uint64)
+        after[:-width] = np.where(left[:-width] > width, last[width:], 0)
+        names.append(last * np.uint64(size**width) + after)
+        width *= 2
+    return names[-1], names
+
+
 def suffix_order(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, LCP of each place with the one before) of streams that end at ``ends``.
 
-    Suffixes stop where their stream does. Prefix doubling: ranks by w tokens
-    give ranks by 2 w, and only suffixes that still share a rank are sorted
-    again. The ranks of every width are kept and give the LCPs.
+    Suffixes stop where their stream does. Prefix doubling from the order by the
+    first few tokens: ranks by w tokens give ranks by 2 w, and only suffixes
+    that still share a rank are sorted again. The names of every width are kept
+    and give the LCPs.
     """
     n = len(tokens)
     lcp = np.zeros(n, dtype=np.int64)
     if not n:
         return lcp, lcp
     left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)  # tokens to the stream's end
-    order = np.argsort(tokens, kind="stable")
-    heads = np.flatnonzero(np.concatenate(([True], np.diff(tokens[order]) != 0)))
+    key, levels = _starts(tokens, left)
+    base, width = len(levels) - 1, 1 << (len(levels) - 1)
+    order = np.argsort(key)
+    heads = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
-    levels, width = [rank], 1
     while True:
         sizes = np.diff(np.append(heads, n))
         slots = ragged(heads[sizes > 1], sizes[sizes > 1])
@@ -232,7 +251,7 @@ def suffix_order(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
         second = np.zeros(len(some), dtype=np.int64)
         second[go] = rank[some[go] + width] + 1
         key = rank[some] * (n + 1) + second
-        moved = np.argsort(key, kind="stable")
+        moved = np.argsort(key)
         some, key = some[moved], key[moved]
         order[slots] = some
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -241,17 +260,20 @@ def suffix_order(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
         heads = np.sort(np.concatenate((heads[sizes == 1], slots[at])))
         width *= 2
         levels.append(rank)
-    a, b, place = order[:-1], order[1:], np.arange(1, n)
-    for k in range(len(levels) - 1, -1, -1):
-        same = levels[k][a] == levels[k][b]
+    # longer names are equal only where those of the base are
+    place = np.arange(1, n)
+    a, b = order[:-1].copy(), order[1:].copy()
+    deep = np.flatnonzero(levels[base][a] == levels[base][b])
+    for k in [*range(len(levels) - 1, base - 1, -1), *range(base - 1, -1, -1)]:
+        if k >= base:
+            on = deep[(a[deep] < n) & (b[deep] < n)]
+        else:
+            on = np.flatnonzero((a < n) & (b < n))
+        same = on[levels[k][a[on]] == levels[k][b[on]]]
         step = np.minimum(1 << k, left[a[same]])
         lcp[place[same]] += step
-        a, b = a.copy(), b.copy()
-        a[same] += step
-        b[same] += step
-        # a stream's end ends the comparison
-        live = lcp[place] < np.minimum(left[order[place - 1]], left[order[place]])
-        a, b, place = a[live], b[live], place[live]
+        over = (left[a[same]] <= step) | (left[b[same]] <= step)
+        a[same], b[same] = np.where(over, n, a[same] + step), np.where(over, n, b[same] + step)
     return order, lcp
 
 
@@ -313,7 +335,8 @@ def _marks(text: str, codes: bytes) -> bytes:
     return np.array(out, dtype="<i4").tobytes()
 
 
-_FOUND = pa.schema([("key", pa.binary()), ("host", pa.string()), ("content", pa.binary()), ("marks", pa.binary()), ("again", pa.binary()), ("anchors", pa.list_(pa.int64())), ("text", pa.string())])
+_FOUND = pa.schema([("key", pa.binary()), ("host", pa.string()), ("content", pa.binary()), ("marks", pa.binary()), ("again", pa.binary()), ("anchors", pa.list_(pa.int64())), ("told", pa.list_(pa.int64())), ("text", pa.string())])
+_FOUND_DDL = "key binary, host string, content binary, marks binary, again binary, anchors array<bigint>, told array<bigint>, text string"
 
 
 def _group(host: str, rows: dict, split: bool) -> pa.RecordBatch:
@@ -325,18 +348,18 @@ def _group(host: str, rows: dict, split: bool) -> pa.RecordBatch:
     kind, again = repeated(codes, ends, content)
     starts = np.concatenate(([0], ends[:-1]))
     anchors: list[list[int] | None] = [None] * len(keys)
+    told: list[list[int] | None] = [None] * len(keys)
     if split:
-        stream = np.repeat(np.arange(len(keys)), ends - starts)
-        whole = ends[stream] - np.arange(len(codes)) >= RUN
+        whole = np.repeat(ends, ends - starts) - np.arange(len(codes)) >= RUN
         least = _anchors(codes, vocabulary, host)
         # windows that repeat here are told of once a class
         first = np.zeros(len(codes), dtype=bool)
         first[np.unique(kind, return_index=True)[1]] = True
-        tell = whole & (~again | first)
-        anchors = [np.unique(least[a:b][tell[a:b]]).tolist() for a, b in zip(starts, ends)]
+        anchors = [np.unique(least[a:b][whole[a:b] & ~again[a:b]]).tolist() for a, b in zip(starts, ends)]
+        told = [np.unique(least[a:b][again[a:b] & first[a:b]]).tolist() for a, b in zip(starts, ends)]
     table = {
         "key": keys, "host": [host] * len(keys), "content": [r[0] for r in rows.values()], "marks": [_marks(r[1], r[2]) for r in rows.values()],
-        "again": [_runs(np.flatnonzero(again[a:b])) for a, b in zip(starts, ends)], "anchors": anchors, "text": texts if split else [None] * len(keys),
+        "again": [_runs(np.flatnonzero(again[a:b])) for a, b in zip(starts, ends)], "anchors": anchors, "told": told, "text": texts if split else [None] * len(keys),
     }
     return pa.RecordBatch.from_pydict(table, schema=_FOUND)
 
@@ -404,11 +427,14 @@ def repeats(parsed: DataFrame) -> DataFrame:
     parts = max(1, -(-size // PART_BYTES))
     streams = parsed.where("text <> ''").select("host", "key", "content", "text", "codes", F.xxhash64("page_id", "url").alias("salt"))
     dealt = streams.repartitionByRange(parts, "host", "content", "salt").sortWithinPartitions("host", "content", "salt").drop("salt")
-    found = stage(dealt.mapInArrow(_arrays(GROUP_BYTES), "key binary, host string, content binary, marks binary, again binary, anchors array<bigint>, text string"), "page-repeats")
-    asked = found.where("size(anchors) > 0").select("key", "host", "content", F.explode("anchors").alias("anchor"))
-    common = asked.groupBy("host", "anchor").agg((F.count("*") > 1).alias("many")).where("many").select("host", "anchor")
-    hits = asked.join(common, ["host", "anchor"], "left_semi").groupBy("key").agg(F.collect_set("anchor").alias("hits"))
-    told = found.where("size(anchors) > 0").select("key", "host", "content", "again", "text").dropDuplicates(["key"]).join(hits, "key")
+    found = stage(dealt.mapInArrow(_arrays(GROUP_BYTES), _FOUND_DDL), "page-repeats")
+    # anchors hold the host's hash; keys and contents are named by hashes here, and any further candidate does no harm
+    split = found.where("text is not null")
+    names = [F.xxhash64("key").alias("k"), F.xxhash64("content").alias("c")]
+    asked = split.select(F.explode("anchors").alias("anchor"), *names, F.lit(False).alias("told")).unionByName(split.select(F.explode("told").alias("anchor"), *names, F.lit(True).alias("told")))
+    common = asked.groupBy("anchor").agg((F.min("c") != F.max("c")).alias("many"), F.max("told").alias("told"), F.collect_set("k").alias("ks")).where("many or (told and size(ks) > 1)")
+    hits = common.select("anchor", F.explode("ks").alias("k")).groupBy("k").agg(F.collect_set("anchor").alias("hits"))
+    told = split.select("key", "host", "content", "again", "text", F.xxhash64("key").alias("k")).join(hits, "k").drop("k")
     windows = stage(told.mapInArrow(_windows, "key binary, host string, content binary, window binary, place int"), "page-windows")
     shared = windows.groupBy("host", "window").agg(((F.min("content") != F.max("content")) | (F.min("place") < 0)).alias("many")).where("many").select("host", "window")
     more = windows.where("place >= 0").join(shared, ["host", "window"], "left_semi").select("key", "place")
