@@ -25,7 +25,8 @@ LOCATION_TOKENS = (
     "left right bilateral upper lower pulmonary lung lungs hepatic liver renal kidney kidneys cardiac heart cerebral brain spinal cord cutaneous skin breast gastric stomach colon colonic rectal rectum ovarian uterine cervical "
     "cervix thyroid adrenal bone bones soft tissue central nervous system head neck pelvic abdominal thoracic chest ocular eye eyes oral"
 ).split()
-HEDGES = r"\b(most likely|most probable|probable|probably|likely|possible|possibly|suspected|presumed|presumptive|consistent with|rule out|r/o)\b|\?"
+# fixed values: phrases that hedge an answer, and words that say nothing about a question's topic
+HEDGES = ("most likely", "most probable", "probable", "probably", "likely", "possible", "possibly", "suspected", "presumed", "presumptive", "consistent with", "rule out", "r/o")
 ASK_STOP = (
     "a an and any are as at be been being but can could describe did do does els else ever feel felt for from get had has have having how i if in is it its just like me more most notice noticed of on or other please recall recent "
     "recently share specifically tell that the them then there these they this those to us was we were what when where whether which with would you your"
@@ -75,7 +76,8 @@ def informative_tokens(c) -> Column:
 
 def strip_hedges(c) -> Column:
     """The text without hedging phrases and the separators they leave at its ends."""
-    bare = F.regexp_replace(F.regexp_replace(text(c), f"(?iU){HEDGES}", " "), r"(?U)\s+", " ")
+    phrases = "|".join(HEDGES)
+    bare = F.regexp_replace(F.regexp_replace(text(c), rf"(?iU)\b(?:{phrases})\b|\?", " "), r"(?U)\s+", " ")
     return F.btrim(bare, F.lit(" ,;:-"))
 
 

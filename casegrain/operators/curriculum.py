@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import statistics
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -70,9 +71,15 @@ def reward_share(reward: Column, most: Column) -> Column:
     return clamp(reward / most, 0.0, 1.0)
 
 
-def visit_stats(feed: DataFrame, keys: list[str], share: str, bar: float) -> DataFrame:
-    """Rows, mean, population deviation and successes of each visit."""
-    return feed.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(share).alias("mean_share"), F.stddev_pop(share).alias("std_share"), F.count_if(F.col(share) >= bar).alias("successes"))
+def visit_stats(feed: DataFrame, keys: list[str], share: str, bar: float, phase: Column | None = None, phases: int = 0) -> DataFrame:
+    """Rows, mean, population deviation and successes of each visit.
+
+    With ``phase``, the first phase from 1 that holds a row's episode, also
+    ``phase_wins``: the successes that each of so many phases was first to hold.
+    """
+    won = F.col(share) >= bar
+    wins = [F.array(*(F.count_if(won & (phase == i + 1)) for i in range(phases))).cast("array<int>").alias("phase_wins")] if phase is not None else []
+    return feed.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(share).alias("mean_share"), F.stddev_pop(share).alias("std_share"), F.count_if(won).alias("successes"), *wins)
 
 
 def once(visits: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -87,9 +94,13 @@ def eligible(rows: DataFrame, step: str, resume: int, generation: str, active: s
     return rows.where(s.isNotNull() & (s < resume) & F.col(generation).eqNullSafe(F.col(active)))
 
 
-def fold_visits(state: dict, visits: list[tuple[int, float, float, int, int]], p: Sampler) -> dict:
-    """A task's state after visits (step, mean, std, n, successes), in step order."""
-    for step, mean, std, n, wins in sorted(visits):
+def fold_visits(state: dict, visits: list[tuple], p: Sampler) -> dict:
+    """A task's state after visits (step, mean, std, n, successes, phase_wins or nothing), in step order.
+
+    Enough successes within a phase's caps let the task's horizon fall to that
+    phase, and it never rises again.
+    """
+    for step, mean, std, n, wins, *phase_wins in sorted(visits, key=lambda v: v[0]):
         if step in state["ingested"]:
             continue
         state["ingested"] = sorted([*state["ingested"], step])
@@ -98,6 +109,12 @@ def fold_visits(state: dict, visits: list[tuple[int, float, float, int, int]], p
         state["ema_std"] = round(std if state["ema_std"] is None else (1 - p.ema_beta) * state["ema_std"] + p.ema_beta * std, 4)
         state["window"] = [*state["window"], (round(mean, 4), round(std, 4))][-4:]
         state["visits"], state["last_visit"] = state["visits"] + 1, step
+        if phase_wins and phase_wins[0] is not None:
+            before = state["succ_at"] or [0] * len(phase_wins[0])
+            state["succ_at"] = [int(a + b) for a, b in zip(before, phase_wins[0])]
+            reached = [i + 1 for i, (n_won, now) in enumerate(zip(state["succ_at"], phase_wins[0])) if now and n_won >= p.ratchet_successes]
+            if state["horizon"] is not None:
+                state["horizon"] = min([state["horizon"], *reached])
         recent = state["window"][-p.retire_window :]
         if state["retired"]:
             state["retired"] = not mean < p.unretire_mean
@@ -106,29 +123,81 @@ def fold_visits(state: dict, visits: list[tuple[int, float, float, int, int]], p
     return state
 
 
-def new_state(nu: float, prior: float) -> dict:
-    return {"s": round(nu * prior, 4), "f": round(nu * (1 - prior), 4), "ema_std": None, "window": [], "visits": 0, "last_visit": 0, "ingested": [], "retired": False}
+def new_state(nu: float, prior: float, horizon: int | None = None) -> dict:
+    return {"s": round(nu * prior, 4), "f": round(nu * (1 - prior), 4), "ema_std": None, "window": [], "visits": 0, "last_visit": 0, "ingested": [], "retired": False, "horizon": horizon, "succ_at": []}
+
+
+STATE = "task string, s double, f double, ema_std double, mastery double, visits int, last_visit int, retired boolean, window_mean double, horizon int"
 
 
-STATE = "task string, s double, f double, ema_std double, mastery double, visits int, last_visit int, retired boolean, window_mean double"
+def _mastery(t: dict) -> float:
+    return t["s"] / max(1e-9, t["s"] + t["f"])
 
 
 def _row(task: str, t: dict) -> dict:
-    total = t["s"] + t["f"]
     means = [m for m, _ in t["window"]]
-    return {"task": task, "s": t["s"], "f": t["f"], "ema_std": t["ema_std"], "mastery": t["s"] / max(1e-9, total), "visits": t["visits"], "last_visit": t["last_visit"], "retired": t["retired"], "window_mean": sum(means) / len(means) if means else None}
+    return {
+        "task": task, "s": t["s"], "f": t["f"], "ema_std": t["ema_std"], "mastery": _mastery(t), "visits": t["visits"], "last_visit": t["last_visit"],
+        "retired": t["retired"], "window_mean": sum(means) / len(means) if means else None, "horizon": t["horizon"],
+    }
+
+
+_VISIT = ["step", "mean_share", "std_share", "n", "successes"]
 
 
 def folded(visits: DataFrame, p: Sampler = Sampler(), prior: float = 0.6) -> DataFrame:
-    """State of every visited task from (task, step, mean_share, std_share, n, successes)."""
+    """State of every visited task from (task, step, mean_share, std_share, n, successes).
+
+    With the columns phase_wins and horizon (the task's first), the horizon falls as the task is mastered.
+    """
+    columns = [*_VISIT, *(["phase_wins"] if "phase_wins" in visits.columns else [])]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [tuple(r) for r in pdf[["step", "mean_share", "std_share", "n", "successes"]].itertuples(index=False)]
-        return pd.DataFrame([_row(pdf["task"].iloc[0], fold_visits(new_state(p.nu, prior), rows, p))])
+        rows = [tuple(r) for r in pdf[columns].itertuples(index=False)]
+        state = new_state(p.nu, prior, int(pdf["horizon"].iloc[0]) if "horizon" in pdf else None)
+        return pd.DataFrame([_row(pdf["task"].iloc[0], fold_visits(state, rows, p))])
 
     return visits.groupBy("task").applyInPandas(run, STATE)
 
 
+#: Tasks of a pool that is folded in one place.
+POOL = 200_000
+POOL_STATE = f"{STATE}, rung int, shelved boolean"
+
+
+def frontier_rung(tasks: list[dict]) -> float:
+    """Median rung of live tasks of middling mastery, else of all tasks, else 13."""
+    rungs = [t["rung"] for t in tasks if not t["retired"] and not t["shelved"] and 0.2 <= _mastery(t) <= 0.8] or [t["rung"] for t in tasks]
+    return statistics.median(rungs) if rungs else 13
+
+
+def fold_pool(tasks: DataFrame, visits: DataFrame, p: Sampler = Sampler(), most: int = POOL) -> DataFrame:
+    """State of every task of a pool (task, rung, horizon, m0) after all visits, shelving in the midst of the fold.
+
+    A visit is judged against the frontier of all tasks as they are then, in the
+    order of steps and tasks; so the pool is folded in one place, which is an
+    error beyond ``most`` tasks. Visits pass by one partition at a time; those of
+    other tasks are left out. ``folded`` and ``shelved`` do the same for any
+    number of tasks, with the frontier taken between steps.
+    """
+    if tasks.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} tasks can't be folded in one place")
+    state = {r.task: new_state(p.nu, r.m0, r.horizon) | {"rung": r.rung, "shelved": False} for r in tasks.collect()}
+    columns = [*_VISIT, *(["phase_wins"] if "phase_wins" in visits.columns else [])]
+    for r in visits.orderBy("step", "task").toLocalIterator():
+        t = state.get(r.task)
+        if t is None:
+            continue
+        was, before = t["retired"], t["visits"]
+        fold_visits(t, [tuple(r[c] for c in columns)], p)
+        recent = t["window"][-p.shelve_window :]
+        low = len(recent) >= p.shelve_window and all(m < p.shelve_mean and d < p.shelve_std for m, d in recent)
+        if t["visits"] > before and low and not was and not t["retired"] and t["rung"] >= frontier_rung(list(state.values())) + p.rung_gap:
+            t["shelved"] = True
+    rows = [_row(n, t) | {"rung": t["rung"], "shelved": t["shelved"]} for n, t in sorted(state.items())]
+    return tasks.sparkSession.createDataFrame(rows, POOL_STATE)
+
+
 def shelved(state: DataFrame, windows: DataFrame, p: Sampler) -> DataFrame:
     """Adds ``shelved`` from the frontier rung at the start of the step.
 
@@ -142,8 +211,10 @@ def shelved(state: DataFrame, windows: DataFrame, p: Sampler) -> DataFrame:
 
 
 def cells(state: DataFrame) -> DataFrame:
-    """Tasks, visited, retired and mean mastery of each (rung, horizon) cell."""
-    return state.groupBy(F.format_string("r%02dxH%d", "rung", "horizon").alias("cell")).agg(F.count("*").alias("n"), F.count_if(F.col("visits") > 0).alias("visited"), F.count_if("retired").alias("retired"), F.avg("mastery").alias("mastery"))
+    """Tasks, visited, retired, shelved and mean mastery of each (rung, horizon) cell."""
+    return state.groupBy(F.format_string("r%02dxH%d", "rung", "horizon").alias("cell")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("visits") > 0).alias("visited"), F.count_if("retired").alias("retired"), F.count_if("shelved").alias("shelved"), F.avg("mastery").alias("mastery")
+    )
 
 
 def horizon(workup: Column, searches: Column, phases: list[dict]) -> Column:
@@ -197,10 +268,10 @@ def draw(rng: random.Random, weights: dict[str, float], k: int, uniform: float,
 
 
 def quotas(n: int, shares: dict[str, float]) -> dict[str, int]:
-    """n dealt out by largest remainder; equal remainders go by name."""
+    """n dealt out by largest remainder; equal remainders go in the order of the shares."""
     exact = {k: n * v / sum(shares.values()) for k, v in shares.items()}
     out = {k: int(v) for k, v in exact.items()}
-    for k in sorted(exact, key=lambda k: (out[k] - exact[k], k))[: n - sum(out.values())]:
+    for k in sorted(exact, key=lambda k: out[k] - exact[k])[: n - sum(out.values())]:
         out[k] += 1
     return out
 
@@ -215,68 +286,3 @@ def native_draw(tasks: DataFrame, stratum: str, task: str, weight: str, k: int,
     w = Window.partitionBy(stratum).orderBy(F.desc("_key"), task)
     keyed = tasks.withColumn("_key", F.try_divide(F.log(u), F.nullif(F.col(weight), F.lit(0.0))))
     return keyed.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("_key")
-
-
-def candidates(tasks: DataFrame, steps: list[int], k: int, kind: str, case: str, task: str, weight: str, p: Sampler, seed: int) -> DataFrame:
-    """For each step, the first k cases that a draw of each kind, and one of all tasks, would take.
-
-    Adds step, pool (a kind, or null for all) and place. Taking the candidates
-    of a pool in order, without those of used cases, is ``take`` over all of the
-    pool, as long as no step uses more than k cases; what comes back has
-    2 * k rows a step and kind at most, however many tasks there are.
-    """
-    free = int(round(p.eps_uniform)) or int(p.eps_floor and p.eps_uniform > 0)  # of draws of one task each
-    each = F.array(*(F.struct(F.lit(s).alias("step"), pool.alias("pool")) for s in steps for pool in (F.col(kind), F.lit(None).cast("string"))))
-    rows = tasks.withColumn("_e", F.explode(each)).select(*tasks.columns, F.col("_e.step").alias("step"), F.col("_e.pool").alias("pool"))
-    u = (F.pmod(F.xxhash64(task, F.lit(seed), "step", F.coalesce(F.concat(F.lit("kind "), "pool"), F.lit("all"))), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    rows = rows.withColumn("_u", u).withColumn("_key", F.lit(0.0) if free else F.when(F.col(weight) > 0, F.log("_u") / F.col(weight)))
-    # tasks without weight come last and evenly, as in ``draw``
-    order = [F.desc_nulls_last("_key"), F.desc("_u"), F.col(task)]
-    own = rows.withColumn("_n", F.row_number().over(Window.partitionBy("step", "pool", case).orderBy(*order))).where("_n = 1")
-    return own.withColumn("place", F.row_number().over(Window.partitionBy("step", "pool").orderBy(*order))).where(F.col("place") <= k).drop("_n", "_u", "_key")
-
-
-def plan_drawn(tasks: DataFrame, chunk: int, steps: int, per_step: int, shares: dict[str, float], p: Sampler, seed: int) -> list[dict]:
-    """``plan_chunk`` over tasks (task, case, kind, weight) of any number: the same law, with other draws."""
-    numbers = list(range(chunk * steps, (chunk + 1) * steps))
-    drawn: dict[tuple, list] = {}
-    for r in candidates(tasks, numbers, per_step, "kind", "case", "task", "weight", p, seed).orderBy("place").collect():
-        drawn.setdefault((r.step, r.pool), []).append(r)
-    rows = []
-    for step in numbers:
-        used: set = set()
-        want = quotas(per_step, shares)
-        for pool, k in [*sorted(want.items()), (None, per_step)]:
-            k = min(k, per_step - len(used))
-            left = [r for r in drawn.get((step, pool), []) if r.case not in used][:k]
-            used |= {r.case for r in left}
-            rows += [{"step": step, "task": r.task, "case": r.case, "kind": r.kind} for r in left]
-    return rows
-
-
-def plan_chunk(pool: list[dict], chunk: int, steps: int, per_step: int, shares: dict[str, float], p: Sampler, seed: int) -> list[dict]:
-    """Rows (step, task, case, kind) of one chunk: quotas by kind, no case twice in a step.
-
-    ``pool`` is the admitted tasks with case, kind and weight; a kind that runs out
-    is topped up from the others.
-    """
-    rows = []
-    for step in range(chunk * steps, (chunk + 1) * steps):
-        rng, used = seeded(seed, step), set()
-        want = quotas(per_step, shares)
-        for kind in sorted(want):
-            take(rows, step, [t for t in pool if t["kind"] == kind], want[kind], used, rng, p)
-        short = per_step - sum(r["step"] == step for r in rows)
-        take(rows, step, pool, short, used, rng, p)
-    return rows
-
-
-def take(rows: list[dict], step: int, pool: list[dict], k: int, used: set, rng: random.Random, p: Sampler) -> None:
-    left = {t["task"]: t for t in pool if t["case"] not in used}
-    while k > 0 and left:
-        name = draw(rng, {n: t["weight"] for n, t in left.items()}, 1, p.eps_uniform, p.eps_floor)[0]
-        t = left[name]
-        used.add(t["case"])
-        rows.append({"step": step, "task": name, "case": t["case"], "kind": t["kind"]})
-        left = {n: x for n, x in left.items() if x["case"] not in used}
-        k -= 1

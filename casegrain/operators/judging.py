@@ -132,3 +132,28 @@ def step_counters(calls: DataFrame) -> DataFrame:
     by = calls.groupBy("step").agg(F.count("*").alias("calls"), F.count_if("fallback").alias("fallbacks"), F.count_if("flagged").alias("flagged"))
     run = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # a row a step
     return by.withColumns({f"total_{c}": F.sum(c).over(run) for c in ("calls", "fallbacks", "flagged")})
+
+
+def _median(c: Column) -> Column:
+    """Median of an array's numbers; null for none."""
+    given = F.array_sort(F.filter(c, lambda x: x.isNotNull()))
+    n = F.size(given)
+    return (F.get(given, F.floor((n - 1) / 2).cast("int")) + F.get(given, F.floor(n / 2).cast("int"))) / 2
+
+
+def verdict_ladder(cases: DataFrame, bar: float = 0.85, least: int = 3, veto_cap: float = 0.5) -> DataFrame:
+    """Adds prefusion, fused, dx_score, source, vetoed and cached to cases that graders and the ontology have judged.
+
+    Reads ``scores`` (a reward a grader, null where the reply could not be read),
+    ``lifted`` (the same above the ontology's floor), ``veto`` and ``fallback``
+    (the ontology's own score). The median of the scores is lifted only below the
+    bar; at the bar the case counts in full, unless a veto caps it. A panel of
+    fewer than ``least`` read replies gives way to the ontology's score, and such
+    a block is not to be cached.
+    """
+    thin = F.size(F.filter("scores", lambda x: x.isNotNull())) < least
+    out = cases.withColumn("prefusion", _median(F.col("scores"))).withColumn("fused", F.when(thin | (F.col("prefusion") >= bar), F.col("prefusion")).otherwise(_median(F.col("lifted"))))
+    full = F.col("fused") >= bar
+    vetoed = ~thin & full & F.coalesce(F.col("veto"), F.lit(False))
+    score = F.when(thin, F.col("fallback")).when(vetoed, veto_cap).when(full, 1.0).otherwise(0.0)
+    return out.withColumns({"dx_score": score, "source": F.when(thin, "ontology_fallback").otherwise("panel"), "vetoed": vetoed, "cached": ~thin})

@@ -8,6 +8,8 @@ one plan instead of a query a term.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,12 +49,30 @@ def _query_tokens(terms: DataFrame) -> DataFrame:
     return terms.select("term", F.explode(F.array_distinct(F.transform(raw_tokens(F.col("term")), singular))).alias("tok"))
 
 
+def _by_rarity(terms: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(term, toks, rare): a term's distinct tokens, rarest first, and those of at most twice the least document frequency."""
+    df = tokens.select("cid", "tok").distinct().groupBy("tok").agg(F.count("*").alias("df"))
+    asked = _query_tokens(terms).join(df, "tok", "left").groupBy("term").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("t"))
+    known = F.filter("t", lambda x: x["df"] > 0)
+    rare = F.filter(known, lambda x: x["df"] <= RARITY * F.get(known, F.lit(0))["df"])
+    return asked.select("term", F.transform("t", lambda x: x["tok"]).alias("toks"), F.transform(rare, lambda x: x["tok"]).alias("rare"))
+
+
+def _candidates(asked: DataFrame, tokens: DataFrame, least: Column) -> DataFrame:
+    """(term, toks, rare, cid, held): the concepts that may hold ``least`` of a term's n tokens.
+
+    They hold one of its n + 1 - least rarest tokens, and are found under the
+    rarest of those alone; so common tokens are not joined and no pair comes twice.
+    """
+    first = asked.withColumn("first", F.slice("toks", F.lit(1), F.size("toks") + 1 - least)).withColumn("tok", F.explode("first"))
+    held = tokens.groupBy("cid").agg(F.collect_set("tok").alias("held")).withColumn("tok", F.explode("held"))
+    return first.join(held, "tok").where(F.get(F.array_intersect("first", "held"), F.lit(0)) == F.col("tok")).drop("tok", "first")
+
+
 def having_all(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     """(term, cid): concepts that carry every token of the term (relational division)."""
-    asked = _query_tokens(terms)
-    need = asked.groupBy("term").agg(F.count("*").alias("need"))
-    got = asked.join(tokens.select("cid", "tok"), "tok").groupBy("term", "cid").agg(F.count_distinct("tok").alias("got"))
-    return got.join(need, "term").where("got = need").select("term", "cid")
+    found = _candidates(_by_rarity(terms, tokens), tokens, F.size("toks"))
+    return found.where(F.size(F.array_except("toks", "held")) == 0).select("term", "cid")
 
 
 def best_covering(terms: DataFrame, tokens: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -61,14 +81,9 @@ def best_covering(terms: DataFrame, tokens: DataFrame, concepts: DataFrame) -> D
     At least half the tokens, rounded up; rare tokens have at most twice the
     least document frequency; ties go to the shortest label, then the least id.
     """
-    asked = _query_tokens(terms)
-    held = tokens.select("cid", "tok").distinct()
-    df = held.groupBy("tok").agg(F.count("*").alias("df"))
-    rated = asked.join(df, "tok").withColumn("rare", F.col("df") <= RARITY * F.min("df").over(Window.partitionBy("term")))
-    size = asked.groupBy("term").agg(F.count("*").alias("n"))
-    rare = rated.groupBy("term").agg(F.count_if("rare").alias("n_rare"))
-    got = rated.join(held, "tok").groupBy("term", "cid").agg(F.count("*").alias("cov"), F.count_if("rare").alias("rare"))
-    fit = got.join(size, "term").join(rare, "term").where("cov >= (n + 1) div 2").withColumn("_top", F.max("cov").over(Window.partitionBy("term"))).where("cov = _top and rare = n_rare")
+    found = _candidates(_by_rarity(terms, tokens), tokens, F.expr("(size(toks) + 1) div 2").cast("int"))
+    rated = found.select("term", "cid", F.size(F.array_intersect("toks", "held")).alias("cov"), (F.size(F.array_except("rare", "held")) == 0).alias("all_rare"), ((F.size("toks") + 1) / 2).cast("int").alias("least"))
+    fit = rated.where("cov >= least").withColumn("top", F.max("cov").over(Window.partitionBy("term"))).where("cov = top and all_rare")
     return fit.join(concepts.select("cid", "label"), "cid").groupBy("term").agg(F.min_by("cid", F.struct(F.length("label"), F.col("cid"))).alias("cid"))
 
 
@@ -116,17 +131,16 @@ def resolve_by_label(terms: DataFrame, tables: dict[str, DataFrame]) -> DataFram
 def ancestors(starts: DataFrame, parents: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(cid, ancestor, depth): least depth of every ancestor within so many steps.
 
-    Steps are unrolled left joins along each path, so cycles end with the
-    depth; the start can return as its own ancestor through a cycle.
+    A level holds each (concept, ancestor) once, however many paths lead there;
+    cycles end with the depth, and the start can return as its own ancestor
+    through one.
     """
     edges = parents.select("child", "parent").distinct()
-    paths = starts.select("cid").distinct().withColumn("a0", F.col("cid"))
+    level, found = starts.select("cid").distinct().withColumn("ancestor", F.col("cid")), []
     for d in range(1, depth + 1):
-        step = edges.select(F.col("child").alias(f"a{d - 1}"), F.col("parent").alias(f"a{d}"))
-        paths = paths.join(step, f"a{d - 1}", "inner" if d == 1 else "left")
-    reached = F.array(*[F.struct(F.col(f"a{d}").alias("ancestor"), F.lit(d).alias("depth")) for d in range(1, depth + 1)])
-    each = paths.select("cid", F.explode(reached).alias("r")).where("r.ancestor is not null")
-    return each.groupBy("cid", F.col("r.ancestor").alias("ancestor")).agg(F.min("r.depth").alias("depth"))
+        level = level.join(edges, F.col("ancestor") == F.col("child")).select("cid", F.col("parent").alias("ancestor")).distinct()
+        found.append(level.withColumn("depth", F.lit(d)))
+    return reduce(DataFrame.unionByName, found).groupBy("cid", "ancestor").agg(F.min("depth").alias("depth"))
 
 
 def typed_siblings(pairs: DataFrame, parents: DataFrame, subtype: str, disorder: str) -> DataFrame:

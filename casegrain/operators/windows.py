@@ -35,8 +35,11 @@ def new_facts(rows: DataFrame, episode: str, fact: str, order: list[str]) -> Dat
 
 
 def delivery_plan(items: DataFrame, episode: str, asset: str, order: list[str], eligible: Column, budget: int, chunk: int) -> DataFrame:
-    """The first row of each asset, eligible ones first, cut to the budget, with ``batch``."""
-    once = items.withColumn("_first", F.row_number().over(Window.partitionBy(episode, asset).orderBy(*order))).where("_first = 1").withColumn("_late", (~eligible).cast("int"))
+    """The first row of each asset, eligible ones first, cut to the budget, with ``batch``.
+
+    Rows are dealt by episode once, which serves both windows.
+    """
+    once = items.repartition(episode).withColumn("_first", F.row_number().over(Window.partitionBy(episode, asset).orderBy(*order))).where("_first = 1").withColumn("_late", (~eligible).cast("int"))
     place = F.row_number().over(Window.partitionBy(episode).orderBy("_late", *order))
     return once.withColumn("place", place).where(F.col("place") <= budget).withColumn("batch", F.floor((F.col("place") - 1) / chunk).cast("int")).drop("_first", "_late")
 

@@ -232,10 +232,10 @@ def horizon_class(spark, d):
 
 
 @query("""with s as (select cast(o_custkey % 13 as int) as rung, cast(o_orderkey % 3 + 1 as int) as horizon, o_totalprice, o_orderstatus from orders)
-select printf('r%02dxH%d', rung, horizon) as cell, count(*) as n, count(*) filter (where o_totalprice > 100000) as visited, count(*) filter (where o_orderstatus = 'F') as retired, round(avg(o_totalprice / 500000), 6) as mastery from s group by 1""")
+select printf('r%02dxH%d', rung, horizon) as cell, count(*) as n, count(*) filter (where o_totalprice > 100000) as visited, count(*) filter (where o_orderstatus = 'F') as retired, count(*) filter (where o_orderstatus = 'P') as shelved, round(avg(o_totalprice / 500000), 6) as mastery from s group by 1""")
 def cell_grid(spark, d):
     o = table(spark, d, "orders")
-    s = o.select((F.col("o_custkey") % 13).cast("int").alias("rung"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("horizon"), (F.col("o_totalprice") > 100000).cast("int").alias("visits"), (F.col("o_orderstatus") == "F").alias("retired"), (F.col("o_totalprice") / 500000).alias("mastery"))
+    s = o.select((F.col("o_custkey") % 13).cast("int").alias("rung"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("horizon"), (F.col("o_totalprice") > 100000).cast("int").alias("visits"), (F.col("o_orderstatus") == "F").alias("retired"), (F.col("o_orderstatus") == "P").alias("shelved"), (F.col("o_totalprice") / 500000).alias("mastery"))
     return U.cells(s).withColumn("mastery", F.round("mastery", 6))
 
 
@@ -250,13 +250,38 @@ def weighted_draw(spark, d):
     return U.native_draw(rows, "c_mktsegment", "c_custkey", "weight", 20, "plan-0").select("c_mktsegment", "c_custkey", "place")
 
 
+def course():
+    """Phases that admit every kind of event as a kind of task, on chunks of five steps."""
+    from ..operators.planner import Course
+
+    schedule = U.Schedule(PHASES, [0.3, 0.3, 0.4], 5, 16, PHASES[-1], U.Sampler(max_visits=40))
+    return Course(schedule, 30, 42, fixed_shares={"click": 0.4, "view": 0.3, "purchase": 0.3}, kinds=("click", "purchase", "view"))
+
+
+def _pool_visits(spark, d):
+    """(tasks, visits): users' kinds of events as tasks, a day's events of one as a visit."""
+    events = feed(spark, d)
+    name = lambda k: F.element_at(F.split("task", ":"), k)
+    number = F.pmod(F.crc32("task"), F.lit(13)).cast("int")
+    tasks = events.select("task").distinct().select("task", name(1).alias("case"), name(2).alias("kind"), number.alias("rung"), (number % 4 + 1).alias("horizon"), F.lit(0.6).alias("m0"), (number % 7).alias("need_workup"), (number % 3).alias("need_searches"), F.lit("").alias("difficulty"))
+    first = U.horizon((F.col("event_id") % 8).cast("int"), (F.col("event_id") % 3).cast("int"), PHASES)
+    return tasks, U.visit_stats(events, ["task", "step"], "share", 0.75, first, len(PHASES))
+
+
+@query()
+def curriculum_state(spark, d):
+    tasks, visits = _pool_visits(spark, d)
+    return U.fold_pool(tasks, visits, U.Sampler(shelve_window=2, shelve_mean=0.4, shelve_std=0.3, retire_window=2, retire_mean=0.8, retire_std=0.2, rung_gap=1))
+
+
 @query()
 def curriculum_plan(spark, d):
-    state = U.folded(U.visit_stats(feed(spark, d), ["task", "step"], "share", 0.75)).where("not retired")
-    ranked = U.rank_weights(state.select("task", F.element_at(F.split("task", ":"), 1).alias("case"), F.element_at(F.split("task", ":"), 2).alias("kind"), "ema_std", (30 - F.col("last_visit")).alias("stale")), "kind", "ema_std", "task", "stale", 0.5, 0.1)
-    shares = {"click": 0.4, "view": 0.3, "purchase": 0.3}
-    rows = U.plan_drawn(ranked.select("task", "case", "kind", "weight"), 0, 5, 16, shares, U.Sampler(), 42)
-    return spark.createDataFrame(rows, "step int, task string, case string, kind string")
+    from ..operators.planner import VISIT, plan_table
+
+    tasks, visits = _pool_visits(spark, d)
+    state = U.folded(visits.join(tasks.select("task", "horizon"), "task")).withColumn("shelved", F.lit(False))
+    _, rows = plan_table(course(), 3, tasks.drop("horizon").join(state.select("task", "ema_std", "mastery", "visits", "last_visit", "retired", "shelved", "horizon"), "task"))
+    return spark.createDataFrame(rows, VISIT)
 
 
 @query()
@@ -264,10 +289,9 @@ def stream_ingest(spark, d):
     """The feed read as a stream to its end; the last state of each task."""
     import uuid
 
-    from ..streaming.feed import fold_stream, read_feed
+    from ..streaming.feed import fold_stream, read_feed, shared_dir
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/casegrain-stream"
-    where = f"{base}/stream-{uuid.uuid4().hex}"
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = read_feed(spark, f"{d}/events.parquet*")
     rows = events.select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("task"), day().alias("step"), U.reward_share(F.col("value"), F.lit(100.0)).alias("share"))
     keep = lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{where}/state")

@@ -99,10 +99,11 @@ def lenient_items(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(P.lenient_items(items, S.strings(["used"]), 2), ";").alias("items"))
 
 
-@query("""select k from (select cast(range as int) as k from range(30)) where k not in (select distinct cast(day(ts) as int) from events where user_id % 50 = 3)""")
+@query("""with u as (select distinct user_id from events), need as (select user_id, cast(unnest(range(30)) as int) as k from u) select user_id, k from need except select user_id, cast(day(ts) as int) from events""")
 def missing_chunks(spark, d):
-    need = spark.range(30).select(F.col("id").cast("int").alias("k"))
-    return need.exceptAll(table(spark, d, "events").where("user_id % 50 = 3").select(F.dayofmonth("ts").alias("k")).distinct())
+    events = table(spark, d, "events")
+    need = events.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("k"))
+    return need.exceptAll(events.select("user_id", F.dayofmonth("ts").alias("k")).distinct())
 
 
 @query("""select o_orderkey, o_totalprice from orders order by o_orderkey limit 100 offset 50""")
@@ -122,3 +123,50 @@ def label_ladder(spark, d):
     raw = p.select(F.lit("part").alias("src"), cid.alias("cid"), F.col("p_name").alias("name"), F.lit("pref").alias("kind"), F.lit(0).alias("ord"))
     tables = O.build(raw, spark.createDataFrame([], "src string, child string, parent string"))
     return O.resolve_by_label(p.select(F.upper("p_name").alias("term")), tables)
+
+
+_ACTIONS = """a as (select event_id, event_id as k, ['ask', 'begin_workup', 'physical_examination', 'order_tests', 'consult_specialist', 'search', 'final_diagnosis', 'defer_to_human'][event_id % 8 + 1] as verb,
+  ['', 'Fabry disease', 'a | b', '[reason]', 'unknown', 'cardiology', 'Radiology '][event_id % 7 + 1] as payload, event_id % 5 < 2 as history, event_id % 11 as asks, event_id % 3 as workup, event_id % 4 as searches, event_id % 13 = 0 as must_end,
+  event_id % 17 >= 8 as repeats, case when event_id % 2 = 0 then ['exam:skin', 'test:lab/urine'] else [] end as used,
+  case event_id % 9 when 1 then ['Skin'] when 2 then ['Lab/Blood', 'Skin'] when 3 then ['Lab/Blood', 'Lab/Urine', 'Physical Examination/Heart', 'Lab/Blood'] when 4 then ['heart'] when 5 then ['Physical Examination/Skin'] when 6 then ['Lab/Urine'] when 7 then ['Bogus'] else [] end as items from events),
+b as (select *, verb in ('physical_examination', 'order_tests') as listed, lower(trim(payload)) as dept,
+  len(list_filter(items, lambda x: not list_contains(case when verb = 'physical_examination' then ['skin', 'heart'] else ['lab/blood', 'lab/urine', 'physical examination/skin', 'physical examination/heart'] end, lower(x)))) > 0 as odd,
+  len(list_filter(items, lambda x: list_contains(used, case when verb = 'physical_examination' then 'exam:' || lower(x) when lower(x) like 'physical examination/%' then 'exam:' || lower(x)[22:] else 'test:' || lower(x) end))) > 0 as again from a)"""
+
+
+@query(f"""with {_ACTIONS} select event_id, case when listed and k % 19 = 0 then 'unknown_category' when verb = 'defer_to_human' and history then 'defer_in_history' when verb = 'final_diagnosis' and history then 'final_in_history'
+  when verb = 'defer_to_human' and payload = '[reason]' then 'defer_slot_echoed' when verb = 'final_diagnosis' and payload = 'a | b' then 'several_diagnoses' when verb = 'final_diagnosis' and payload = '[reason]' then 'brackets'
+  when verb = 'final_diagnosis' and not must_end and workup < 1 then 'workup_too_short' when must_end and verb not in ('final_diagnosis', 'defer_to_human') then 'must_end'
+  when verb = 'ask' and not history then 'interview_over' when verb = 'ask' and asks >= 9 then 'no_questions_left' when verb = 'ask' and payload = '[reason]' then 'ask_slot_echoed' when verb = 'ask' and repeats then 'question_repeated'
+  when history and verb not in ('ask', 'defer_to_human') and asks < 2 then 'history_too_thin' when verb = 'final_diagnosis' and payload = 'unknown' then 'no_diagnosis' when verb = 'begin_workup' and not history then 'workup_begun'
+  when listed and len(items) = 0 then 'no_items' when listed and odd then 'unknown_items' when listed and len(items) > 3 then 'too_many_items' when listed and again then 'items_repeated'
+  when verb = 'consult_specialist' and dept not in ('cardiology', 'radiology') then 'unknown_department' when verb = 'consult_specialist' and not (k % 3 = 0 and dept = 'cardiology') then 'nothing_pending'
+  when verb = 'search' and searches >= 3 then 'no_searches_left' when verb = 'search' and k % 2 = 1 and payload = 'Fabry disease' then 'search_repeated' end as fault from b""")
+def action_checks(spark, d):
+    from ..operators import admissible as A
+
+    k = F.col("event_id")
+    nth = lambda values, n: F.element_at(S.strings(values), (k % n + 1).cast("int"))
+    items = F.when(k % 9 == 1, S.strings(["Skin"])).when(k % 9 == 2, S.strings(["Lab/Blood", "Skin"])).when(k % 9 == 3, S.strings(["Lab/Blood", "Lab/Urine", "Physical Examination/Heart", "Lab/Blood"]))
+    items = items.when(k % 9 == 4, S.strings(["heart"])).when(k % 9 == 5, S.strings(["Physical Examination/Skin"])).when(k % 9 == 6, S.strings(["Lab/Urine"])).when(k % 9 == 7, S.strings(["Bogus"])).when(k % 9 == 8, S.strings([]))
+    actions = table(spark, d, "events").select(
+        k, nth([A.ASK, A.BEGIN, A.EXAMINE, A.ORDER, A.CONSULT, A.SEARCH, A.FINAL, A.DEFER], 8).alias("verb"), nth(["", "Fabry disease", "a | b", "[reason]", "unknown", "cardiology", "Radiology "], 7).alias("payload"),
+        F.when(k % 5 < 2, "history").otherwise("workup").alias("phase"), (k % 11).alias("asks_used"), (k % 3).alias("workup_used"), (k % 4).alias("searches_used"), (k % 13 == 0).alias("must_end"), ((k % 17) / 16).alias("overlap"),
+        F.when(k % 2 == 0, S.strings(["exam:skin", "test:lab/urine"])).alias("used"), items.alias("items"), F.when(k % 19 == 0, S.strings(["x"])).alias("dropped"), F.when(k % 3 == 0, S.strings(["cardiology"])).alias("pending"),
+        F.when(k % 2 == 1, S.strings(["fabry disease"])).alias("searched"),
+    )
+    rules = A.Rules(max_asks=9, min_asks=2, examinations=("Skin", "Heart"), tests=("Lab/Blood", "Lab/Urine"), departments=("cardiology", "radiology"), slot_phrases=("your reason",))
+    return A.checked(actions, rules).select("event_id", "fault")
+
+
+@query("""with r as (select l_orderkey, case when l_linenumber % 5 <> 0 then round(l_quantity / 50, 2) end as score, case when l_linenumber % 5 <> 0 then case when l_returnflag = 'R' then greatest(round(l_quantity / 50, 2), 0.9) else round(l_quantity / 50, 2) end end as lifted, l_tax, l_linestatus from lineitem),
+g as (select l_orderkey, count(score) as n, median(score) as prefusion, median(lifted) as up, bool_or(l_tax > 0.07) as veto, max(l_tax) as fallback from r group by 1), f as (select *, case when n < 3 or prefusion >= 0.85 then prefusion else up end as fused from g)
+select l_orderkey, round(prefusion, 6) as prefusion, round(fused, 6) as fused, case when n < 3 then fallback when fused >= 0.85 and veto then 0.5 when fused >= 0.85 then 1.0 else 0.0 end as dx_score, case when n < 3 then 'ontology_fallback' else 'panel' end as source, n >= 3 as cached from f""")
+def verdict_service(spark, d):
+    from ..operators.judging import verdict_ladder
+
+    score = F.when(F.col("l_linenumber") % 5 != 0, F.round(F.col("l_quantity") / 50, 2))
+    rows = table(spark, d, "lineitem").select("l_orderkey", score.alias("s"), F.when(F.col("l_returnflag") == "R", F.greatest(score, F.lit(0.9))).otherwise(score).alias("u"), "l_tax")
+    # greatest skips nulls, so an unread reply is lifted from nothing only after the panel's size is known
+    cases = rows.groupBy("l_orderkey").agg(F.collect_list("s").alias("scores"), F.collect_list(F.when(F.col("s").isNotNull(), F.col("u"))).alias("lifted"), F.bool_or(F.col("l_tax") > 0.07).alias("veto"), F.max("l_tax").alias("fallback"))
+    return verdict_ladder(cases).select("l_orderkey", F.round("prefusion", 6).alias("prefusion"), F.round("fused", 6).alias("fused"), "dx_score", "source", "cached")

@@ -305,10 +305,10 @@ def _part_tables(spark, d):
 
 
 def _part_terms(spark, d):
-    return table(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_name").alias("term")).distinct()
+    return table(spark, d, "part").select(F.col("p_name").alias("term")).distinct()
 
 
-_Q = "q as (select distinct term, tok from (select p_name as term, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) as raw from part where p_partkey % 10 = 0), lateral (select case when raw like '%s' and raw not like '%ss' and length(raw) > 3 then raw[1:length(raw) - 1] else raw end as tok) x)"
+_Q = "q as (select distinct term, tok from (select p_name as term, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) as raw from part), lateral (select case when raw like '%s' and raw not like '%ss' and length(raw) > 3 then raw[1:length(raw) - 1] else raw end as tok) x)"
 
 
 @query(f"""with {_TOK}, {_Q}, n as (select term, count(*) as need from q group by 1) select g.term, g.cid from (select term, cid, count(distinct tok) as got from q join t using (tok) group by 1, 2) g join n using (term) where got = need""")

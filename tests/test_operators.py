@@ -1,5 +1,6 @@
 """Hand-checked rows for operators that the tables don't exercise."""
 
+import collections
 import json
 import math
 
@@ -14,6 +15,7 @@ from casegrain.operators import joins as J
 from casegrain.operators import judging as G
 from casegrain.operators import ontology as O
 from casegrain.operators import outcomes as P
+from casegrain.operators import planner as N
 from casegrain.sources import readers as R
 from casegrain.sources import writers as W
 from casegrain.streaming import feed as T
@@ -111,13 +113,7 @@ def test_lineage_phases_quotas(spark):
     assert [r.generation for r in J.as_of(steps, F.col("s"), spark, [(0, 0), (10, 1), (20, 2)]).orderBy("s").collect()] == [0, 1, 2]
     assert J.phase_bounds([0.5, 0.5], 10, 100) == [(0, 50), (50, 100)]
     assert one(spark, M.ramp(F.lit(50), 200, 0.3, 0.4, 0.5)) == pytest.approx(0.35)
-    assert U.quotas(10, {"a": 0.55, "b": 0.45}) == {"a": 6, "b": 4} or sum(U.quotas(10, {"a": 0.55, "b": 0.45}).values()) == 10
-    pool = [{"task": f"{c}:{k}", "case": c, "kind": k, "weight": 1.0} for c in "abcdefgh" for k in ("x", "y")]
-    plan = U.plan_chunk(pool, 0, 3, 6, {"x": 0.5, "y": 0.5}, U.Sampler(), 1)
-    assert len(plan) == 18 and plan == U.plan_chunk(pool, 0, 3, 6, {"x": 0.5, "y": 0.5}, U.Sampler(), 1)
-    for step in range(3):
-        cases = [r["case"] for r in plan if r["step"] == step]
-        assert len(set(cases)) == len(cases)
+    assert U.quotas(10, {"a": 0.55, "b": 0.45}) == {"a": 6, "b": 4} and U.quotas(10, {"b": 0.45, "a": 0.55}) == {"a": 5, "b": 5} and U.quotas(7, {"a": 1, "b": 1, "c": 1}) == {"a": 3, "b": 2, "c": 2}
     caps = {"max_asks": 1, "max_workup_turns": 1, "max_searches": 0}
     with pytest.raises(ValueError):
         U.Schedule([caps], [0.5], 5, 4, caps)
@@ -226,23 +222,100 @@ def test_draws():
     assert math.isclose(U.seeded("abc").random(), U.seeded("abc").random())
 
 
-def test_plan_drawn_from_all_tasks(spark):
-    tasks = [(f"{c}:{kind}", str(c), kind, 1.0 if c < 900 else 0.0) for kind in "xy" for c in range(1000)]
-    table = spark.createDataFrame(tasks, "task string, case string, kind string, weight double").repartition(3)
-    shares = {"x": 0.5, "y": 0.5}
-    plan = U.plan_drawn(table, 0, 40, 20, shares, U.Sampler(), 1)
-    assert plan == U.plan_drawn(table.repartition(2), 0, 40, 20, shares, U.Sampler(), 1)
-    steps = {k: [r for r in plan if r["step"] == k] for k in range(40)}
-    for rows in steps.values():
-        assert [r["kind"] for r in rows] == ["x"] * 10 + ["y"] * 10 and len({r["case"] for r in rows}) == 20
-    drawn = [int(r["case"]) for r in plan]
-    assert max(drawn) < 900 and 0.4 < sum(c >= 400 for c in drawn) / len(drawn) < 0.7
-    few = [(f"{c}:{kind}", str(c), kind, w) for kind, n, w in (("x", 2, 1.0), ("y", 9, 0.0)) for c in range(n)]
-    few = U.plan_drawn(spark.createDataFrame(few, "task string, case string, kind string, weight double"), 0, 3, 6, shares, U.Sampler(), 1)
-    assert all(sorted(r["kind"] for r in few if r["step"] == k) == ["x"] * 2 + ["y"] * 4 for k in range(3))
-    weighted = [(str(c), str(c), "x", 9.0 if c == 0 else 1.0) for c in range(10)]
-    first = U.plan_drawn(spark.createDataFrame(weighted, "task string, case string, kind string, weight double"), 0, 400, 1, {"x": 1.0}, U.Sampler(), 3)
-    assert 0.42 < sum(r["task"] == "0" for r in first) / 400 < 0.58
+def tasks_of(n, kinds=N.KINDS, **more):
+    return [
+        {"task": f"{c}:{k}", "case": str(c), "kind": k, "horizon": 1 + c % 3, "rung": c % 9, "visits": 0, "last_visit": c % 5, "ema_std": None if c % 2 else c / n, "m0": 0.6, "mastery": 0.1 * (c % 10),
+         "retired": c % 10 == 9, "shelved": c % 10 == 8, "need_workup": c % 4, "need_searches": c % 2, "difficulty": ""} | more
+        for c in range(n) for k in kinds
+    ]
+
+
+def course_of(per_step=6, steps=3, **more):
+    caps = [{"max_asks": 2, "max_workup_turns": 3, "max_searches": 0}, {"max_asks": 4, "max_workup_turns": 6, "max_searches": 1}]
+    sampler = U.Sampler(**{k: more.pop(k) for k in list(more) if hasattr(U.Sampler, k)})
+    return N.Course(U.Schedule(caps, [0.5, 0.5], steps, per_step, caps[-1], sampler), 60, 7, **more)
+
+
+TASKS = "task string, case string, kind string, horizon int, rung int, visits int, last_visit int, ema_std double, m0 double, mastery double, retired boolean, shelved boolean, need_workup int, need_searches int, difficulty string"
+
+
+@pytest.mark.parametrize("way", ["pool", "table"])
+def test_plan_keeps_its_rules(spark, way):
+    course, pool = course_of(12, 5, replay=0.1, max_visits=2), tasks_of(200)
+    if way == "pool":
+        header, visits = N.plan_pool(course, 8, pool)
+        assert (header, visits) == N.plan_pool(course, 8, pool[::-1])
+    else:
+        table = spark.createDataFrame(pool, TASKS)
+        header, visits = N.plan_table(course, 8, table.repartition(3))
+        assert (header, visits) == N.plan_table(course, 8, table.repartition(2))
+    by = {t["task"]: t for t in pool}
+    kinds = collections.Counter(v["kind"] for v in visits if not v["replay"])
+    assert kinds == U.quotas(54, course.shares(40)) and sum(v["replay"] for v in visits) == 6 == header["replay"]
+    assert header["steps"] == [40, 45] and header["phase"] == 2 and header["short"] == 0 and max(map(abs, header["quota_deviation"].values())) < 0.02
+    assert collections.Counter(v["step"] for v in visits) == dict.fromkeys(range(40, 45), 12)
+    assert all(n == 1 for n in collections.Counter((v["step"], v["case"]) for v in visits).values())
+    assert max(collections.Counter(v["task"] for v in visits).values()) <= 2
+    for v in visits:
+        t = by[v["task"]]
+        assert t["horizon"] <= 2 and not t["shelved"] and t["retired"] == v["replay"]
+        assert 3 <= v["max_asks"] <= 4 and 4 <= v["max_workup_turns"] <= 6 and v["max_searches"] == 1 and v["r_ook"] == 0.4
+        assert (v["corrupt_rate"], v["corrupt_seed"] != "0") == (float(v["kind"] == "corrupt"), v["kind"] == "corrupt")
+    live = [t for t in pool if t["horizon"] <= 2 and not t["retired"] and not t["shelved"]]
+    assert header["admitted"] == len(live) and header["frac_mastered"] == round(sum(t["mastery"] >= 0.7 for t in live) / len(live), 4)
+
+
+@pytest.mark.parametrize("way", ["pool", "table"])
+def test_plan_tops_up(spark, way):
+    pool = tasks_of(3, ("answer",), retired=False, horizon=1) + tasks_of(20, ("corrupt",), retired=False, horizon=1, shelved=False)
+    course = course_of(8, 2, fixed_shares={"answer": 0.9, "corrupt": 0.1, "ook": 0.0}, replay=0.0)
+    header, visits = N.plan_pool(course, 0, pool) if way == "pool" else N.plan_table(course, 0, spark.createDataFrame(pool, TASKS))
+    for step in (0, 1):
+        kinds = collections.Counter(v["kind"] for v in visits if v["step"] == step)
+        assert sum(kinds.values()) == 8 and kinds["answer"] <= 3
+    assert header["short"] == header["topup"] >= 8 and header["quota_deviation"]["ook"] == 0.0
+
+
+@pytest.mark.parametrize("way", ["pool", "table"])
+def test_plan_explores(spark, way):
+    """A tenth of a kind's draws, and no more, goes to tasks that weight alone would never take."""
+    pool = tasks_of(60, ("answer",), retired=False, shelved=False, horizon=1, last_visit=10**6)
+    for k, t in enumerate(pool):
+        t["ema_std"] = 1.0 if k < 25 else 0.0
+    heavy = {t["task"] for t in pool[:25]}
+    course = course_of(10, 40, fixed_shares={"answer": 1.0}, replay=0.0, rho=0.0, eps_uniform=0.2, beta_r=0.02)
+    _, visits = N.plan_pool(course, 0, pool) if way == "pool" else N.plan_table(course, 0, spark.createDataFrame(pool, TASKS))
+    light = sum(v["task"] not in heavy for v in visits)
+    # two of ten draws are uniform, 35 of 60 tasks are light; the other eight take the first ranks
+    assert len(visits) == 400 and 25 <= light <= 70
+
+
+def test_native_draw_follows_its_weights(spark):
+    rows = [(f"s{k}", c, 5.0 if c == 0 else 1.0 if c < 6 else 0.0) for k in range(3000) for c in range(8)]
+    table = spark.createDataFrame(rows, "stratum string, task int, weight double")
+    found = U.native_draw(table.withColumn("name", F.concat_ws("-", "stratum", "task")), "stratum", "name", "weight", 2, "x").where("place <= 2").groupBy("task", "place").count().collect()
+    got = {(r.task, r.place): r["count"] / 3000 for r in found}
+    assert got[0, 1] == pytest.approx(0.5, abs=0.03) and got[3, 1] == pytest.approx(0.1, abs=0.02)
+    # second of two: 5/10 * 1/5 + 4/10 * ... by the law of drawing without replacement
+    assert got[0, 2] == pytest.approx(5 / 10 * 5 / 9, abs=0.03) and got[3, 2] == pytest.approx(0.5 * 1 / 5 + 4 / 10 * 1 / 9, abs=0.02)
+    assert not any(t > 5 for t, _ in got)
+
+
+def test_ratchet_and_shelving(spark):
+    p = U.Sampler(ratchet_successes=2, shelve_window=2, rung_gap=2)
+    visits = [("a", 1, 0.9, 0.1, 4, 3, [0, 1, 1]), ("a", 2, 0.9, 0.1, 4, 3, [0, 1, 0]), ("a", 3, 0.9, 0.1, 4, 4, [1, 0, 3])]
+    visits += [(t, k, 0.0, 0.0, 4, 0, [0, 0, 0]) for t in ("low", "edge") for k in (1, 2)] + [("other", 1, 1.0, 0.0, 1, 1, [1, 0, 0]), ("a", 3, 0.1, 0.1, 4, 0, [9, 9, 9])]
+    frame = spark.createDataFrame(visits, "task string, step int, mean_share double, std_share double, n int, successes int, phase_wins array<int>")
+    pool = spark.createDataFrame([("a", 3, 4, 0.6), ("low", 8, 4, 0.3), ("edge", 5, 4, 0.3), ("mid", 4, 4, 0.5)], "task string, rung int, horizon int, m0 double")
+    got = {r.task: r for r in U.fold_pool(pool, frame.orderBy("n"), p).collect()}
+    # two successes within phase 2 at step 2, three within phase 3 change nothing after that
+    assert got["a"].horizon == 2 and got["a"].visits == 3 and set(got) == {"a", "low", "edge", "mid"}
+    # at step 2 the frontier is the median of a (3) or none, mid (4) and, until they sink, the others
+    assert got["low"].shelved and not got["mid"].shelved and got["low"].horizon == 4
+    steps = frame.where("task = 'a'").dropDuplicates(["step"]).withColumn("horizon", F.lit(4))
+    assert U.folded(steps, p).first().horizon == 2
+    with pytest.raises(ValueError):
+        U.fold_pool(pool, frame, p, 3)
 
 
 def test_curriculum_plan_reaches_light_tasks(spark, tmp_path):
