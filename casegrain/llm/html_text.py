@@ -14,8 +14,8 @@ common, on pages of different content, are repeats. They decide twice:
   of the whole table bear the presumption out: ``PRIOR`` pages count for it, and
   of the pages that have it a share of at least ``BORNE_OUT`` must be repeats.
 
-A host's pages are dealt by ranges of (host, content) to groups of bounded size,
-each with its own suffix array. Where a host is in several groups, the repeats
+A host's pages are dealt by ranges of hosts to groups of bounded size, each with
+its own suffix array. Where a host is in several groups, the repeats
 that no group sees alone meet by content-chosen anchors and then by the 128-bit
 digests of their windows, so the result doesn't depend on the dealing.
 """
@@ -24,12 +24,14 @@ from __future__ import annotations
 
 import hashlib
 import html
+import pickle
 import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -335,8 +337,31 @@ def _marks(text: str, codes: bytes) -> bytes:
     return np.array(out, dtype="<i4").tobytes()
 
 
-_FOUND = pa.schema([("key", pa.binary()), ("host", pa.string()), ("content", pa.binary()), ("marks", pa.binary()), ("again", pa.binary()), ("anchors", pa.list_(pa.int64())), ("told", pa.list_(pa.int64())), ("text", pa.string())])
-_FOUND_DDL = "key binary, host string, content binary, marks binary, again binary, anchors array<bigint>, told array<bigint>, text string"
+_FOUND = pa.schema(
+    [("key", pa.binary()), ("host", pa.string()), ("content", pa.binary()), ("marks", pa.binary()), ("again", pa.binary()),
+     ("anchors", pa.list_(pa.int64())), ("notes", pa.list_(pa.int64())), ("text", pa.string())]
+)
+_FOUND_DDL = "key binary, host string, content binary, marks binary, again binary, anchors array<bigint>, notes array<bigint>, text string"
+#: Bits of a note: the anchor has windows that may be removed; it has some that repeat in the group.
+_OPEN, _TOLD = 1, 2
+
+
+def _open_tokens(text: str, codes: bytes) -> np.ndarray:
+    """Whether each token is outside articles or in furniture."""
+    sizes = [block.count(" ") + 1 for block in text.split("\n")]
+    return np.repeat(np.array([code != 1 for code in codes], dtype=bool), sizes)
+
+
+def _notes(least: np.ndarray, whole: np.ndarray, again: np.ndarray, told: np.ndarray, may_go: np.ndarray, content: bytes) -> tuple[list[int], list[int]]:
+    """(anchors, notes) of a stream: what the windows there are, with 61 bits of the content's digest."""
+    after = np.cumsum(np.concatenate(([0], may_go)))
+    at = np.arange(len(least))
+    is_open = after[np.minimum(at + RUN, len(least))] > after[at]
+    pick = whole & (~again | told)
+    anchors, back = np.unique(least[pick], return_inverse=True)
+    bits = np.zeros(len(anchors), dtype=np.int64)
+    np.bitwise_or.at(bits, back, np.where(again[pick], _TOLD, np.where(is_open[pick], _OPEN, 0)))
+    return anchors.tolist(), (bits | int.from_bytes(content[:8], "little") >> 3 << 2).tolist()
 
 
 def _group(host: str, rows: dict, split: bool) -> pa.RecordBatch:
@@ -347,41 +372,55 @@ def _group(host: str, rows: dict, split: bool) -> pa.RecordBatch:
     codes, ends, vocabulary = _words(texts)
     kind, again = repeated(codes, ends, content)
     starts = np.concatenate(([0], ends[:-1]))
-    anchors: list[list[int] | None] = [None] * len(keys)
-    told: list[list[int] | None] = [None] * len(keys)
+    noted: list[tuple] = [(None, None)] * len(keys)
     if split:
         whole = np.repeat(ends, ends - starts) - np.arange(len(codes)) >= RUN
         least = _anchors(codes, vocabulary, host)
         # windows that repeat here are told of once a class
         first = np.zeros(len(codes), dtype=bool)
         first[np.unique(kind, return_index=True)[1]] = True
-        anchors = [np.unique(least[a:b][whole[a:b] & ~again[a:b]]).tolist() for a, b in zip(starts, ends)]
-        told = [np.unique(least[a:b][again[a:b] & first[a:b]]).tolist() for a, b in zip(starts, ends)]
+        noted = [_notes(least[a:b], whole[a:b], again[a:b], again[a:b] & first[a:b], _open_tokens(*r[1:]), r[0]) for a, b, r in zip(starts, ends, rows.values())]
     table = {
         "key": keys, "host": [host] * len(keys), "content": [r[0] for r in rows.values()], "marks": [_marks(r[1], r[2]) for r in rows.values()],
-        "again": [_runs(np.flatnonzero(again[a:b])) for a, b in zip(starts, ends)], "anchors": anchors, "told": told, "text": texts if split else [None] * len(keys),
+        "again": [_runs(np.flatnonzero(again[a:b])) for a, b in zip(starts, ends)], "anchors": [x[0] for x in noted], "notes": [x[1] for x in noted], "text": texts if split else [None] * len(keys),
     }
     return pa.RecordBatch.from_pydict(table, schema=_FOUND)
 
 
+def _packs(batches):
+    """The distinct streams of each host in a batch, compressed together."""
+    for batch in sized_slices(batches, "text"):
+        columns = [batch.column(c).to_pylist() for c in ("host", "key", "content", "text", "codes")]
+        hosts: dict[str, dict[bytes, tuple]] = {}
+        for host, key, *rest in zip(*columns):
+            if rest[1]:
+                hosts.setdefault(host, {})[key] = (key, *rest)
+        rows = []
+        for host, streams in hosts.items():
+            # a pack is dealt by the least key in it
+            rows.append((host, min(streams), zstandard.compress(pickle.dumps(list(streams.values())), 3)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary()))], names=["host", "least", "pack"])
+
+
 def _arrays(group_bytes: int):
     def run(batches):
         host, rows, size, split = None, {}, 0, True
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("host", "key", "content", "text", "codes")]
-            for h, key, content, text, codes in zip(*columns):
+            for h, pack in zip(batch.column("host").to_pylist(), batch.column("pack").to_pylist()):
                 if h != host:
                     if rows:
                         yield _group(host, rows, split)
                     # the first host of a partition may have begun in the one before
                     host, rows, size, split = h, {}, 0, host is None
-                if key in rows:
-                    continue
-                if rows and size + len(text) > group_bytes:
-                    yield _group(host, rows, True)
-                    rows, size, split = {}, 0, True
-                rows[key] = (content, text, codes)
-                size += len(text)
+                for key, content, text, codes in pickle.loads(zstandard.decompress(pack)):
+                    if key in rows:
+                        continue
+                    if rows and size + len(text) > group_bytes:
+                        yield _group(host, rows, True)
+                        rows, size, split = {}, 0, True
+                    rows[key] = (content, text, codes)
+                    size += len(text)
         if rows:
             yield _group(host, rows, True)  # and the last go on in the next
 
@@ -425,16 +464,16 @@ def repeats(parsed: DataFrame) -> DataFrame:
     """(key, host, content, spans, has, borne) of every distinct stream of parsed pages."""
     size = parsed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    streams = parsed.where("text <> ''").select("host", "key", "content", "text", "codes", F.xxhash64("page_id", "url").alias("salt"))
-    dealt = streams.repartitionByRange(parts, "host", "content", "salt").sortWithinPartitions("host", "content", "salt").drop("salt")
+    packs = parsed.select("host", "key", "content", "text", "codes").mapInArrow(_packs, "host string, least binary, pack binary")
+    dealt = packs.repartitionByRange(parts, "host", "least").sortWithinPartitions("host", "least").select("host", "pack")
     found = stage(dealt.mapInArrow(_arrays(GROUP_BYTES), _FOUND_DDL), "page-repeats")
-    # anchors hold the host's hash; keys and contents are named by hashes here, and any further candidate does no harm
+    # an anchor, which holds the host's hash, is looked up where a window that may be removed has it and another group knows it
     split = found.where("text is not null")
-    names = [F.xxhash64("key").alias("k"), F.xxhash64("content").alias("c")]
-    asked = split.select(F.explode("anchors").alias("anchor"), *names, F.lit(False).alias("told")).unionByName(split.select(F.explode("told").alias("anchor"), *names, F.lit(True).alias("told")))
-    common = asked.groupBy("anchor").agg((F.min("c") != F.max("c")).alias("many"), F.max("told").alias("told"), F.collect_set("k").alias("ks")).where("many or (told and size(ks) > 1)")
-    hits = common.select("anchor", F.explode("ks").alias("k")).groupBy("k").agg(F.collect_set("anchor").alias("hits"))
-    told = split.select("key", "host", "content", "again", "text", F.xxhash64("key").alias("k")).join(hits, "k").drop("k")
+    asked = split.select(F.explode(F.arrays_zip("anchors", "notes")).alias("e")).select("e.anchors", "e.notes")
+    noted = asked.groupBy("anchors").agg(F.count("*").alias("n"), F.bit_or(F.col("notes").bitwiseAND(3)).alias("bits"), F.min(F.shiftright("notes", 2)).alias("lo"), F.max(F.shiftright("notes", 2)).alias("hi"))
+    common = stage(noted.where((F.col("bits").bitwiseAND(_OPEN) != 0) & ((F.col("lo") != F.col("hi")) | (F.col("bits").bitwiseAND(_TOLD) != 0) & (F.col("n") > 1))).select(F.col("anchors").alias("anchor")), "page-anchors")
+    hits = split.select("key", F.explode("anchors").alias("anchor")).join(common, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("hits"))
+    told = split.select("key", "host", "content", "again", "text").join(hits, "key")
     windows = stage(told.mapInArrow(_windows, "key binary, host string, content binary, window binary, place int"), "page-windows")
     shared = windows.groupBy("host", "window").agg(((F.min("content") != F.max("content")) | (F.min("place") < 0)).alias("many")).where("many").select("host", "window")
     more = windows.where("place >= 0").join(shared, ["host", "window"], "left_semi").select("key", "place")
