@@ -21,16 +21,55 @@ BLOCK_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The cluster's checkpoint folder.
+
+    Without one the session's own is taken, and on one machine a new local
+    folder; a cluster's executors would not see that, so there it is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="casegrain-"))
     return jsc.getCheckpointDir().get()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for k in range(len(taken) + 1) if (n := f"{name}_{k}") not in taken)
+
+
+def row_name(doc_id, sha):
+    """What names a row by its doc_id, null or not, and the digest of its text."""
+    return F.sha2(F.concat(F.coalesce(doc_id.cast("bigint").cast("string"), F.lit("-")), F.lit(" "), sha), 256)
+
+
+def text_sha():
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+
+
+#: Keys with more than one in so many rows are hot, and at most so many are.
+HOT_SHARE = 1000
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` with the columns of ``facts`` (one row a key, ``count`` its number of rows).
+
+    The keys that hold more than a thousandth of the rows, a thousand at most, are
+    broadcast, so no task holds a hot key's rows; the others are joined as usual.
+    Keys aren't null, each key of ``rows`` is in ``facts``, and ``facts`` is joined without ``count``.
+    """
+    total = F.lit(facts.agg(F.sum(count)).first()[0] or 0)
+    is_hot = F.col(count) * HOT_SHARE > total
+    hot, cold = facts.where(is_hot).drop(count), facts.where(~is_hot).drop(count)
+    few = rows.join(F.broadcast(hot), keys)
+    return few.unionByName(rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/casegrain-{name}-{uuid.uuid4().hex}"

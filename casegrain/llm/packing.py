@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import read_table, stage, whole_text
+from .token_counts import count_tokens
 
 CONTEXT = 2048
 BUCKETS = 8
@@ -24,7 +25,7 @@ GROUP = 4096
 
 
 def word_count():
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the text: the default measure of length."""
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the text: the measure of length without a tokenizer."""
     return F.regexp_count(whole_text(), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
@@ -61,28 +62,35 @@ def choose_buckets(histogram: dict[int, int], buckets: int) -> list[int]:
     return out[::-1]
 
 
-def pack(docs: DataFrame, length=None, context: int = CONTEXT, buckets: int = BUCKETS, budget: int = BUDGET, group: int = GROUP) -> DataFrame:
+def token_lengths(docs: DataFrame, model: str) -> DataFrame:
+    """(doc_id, n): each row's length in the tokens of a sentencepiece model."""
+    return count_tokens(docs, model).select("doc_id", F.col("n_tokens").alias("n"))
+
+
+def pack(docs: DataFrame, model: str | None = None, context: int = CONTEXT, buckets: int = BUCKETS, budget: int = BUDGET, group: int = GROUP) -> DataFrame:
     """Per piece: doc_id, piece, start, n_tokens, bucket_length and batch.
 
-    A batch holds at most ``budget // bucket_length`` pieces, at least one.
+    Lengths are tokens of the sentencepiece model at the path ``model``, or words
+    without one. A batch holds at most ``budget // bucket_length`` pieces, at least one.
     Null and empty texts are one piece of length 0 in the shortest bucket;
     repeated rows are packed each; extra columns are ignored; an empty table
     gives no piece.
     """
-    measured = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (word_count() if length is None else length).cast("bigint").alias("n"))
+    measured = token_lengths(docs, model) if model else docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), word_count().alias("n"))
     cut = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.lit(0), F.expr(f"(n - 1) div {context}")).cast("bigint"))).alias("piece")
     pieces = measured.select("doc_id", "n", cut).select(
         "doc_id", "piece", (F.col("piece") * context).alias("start"), F.least(F.lit(context).cast("bigint"), F.col("n") - F.col("piece") * context).alias("n_tokens")
     )
-    pieces = stage(pieces, "pieces")
+    # a number for each row, so that rows of one doc_id are dealt apart
+    pieces = stage(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     histogram = {r.n_tokens: r["count"] for r in pieces.groupBy("n_tokens").count().collect()}  # at most context + 1 rows
     ends = choose_buckets(histogram, buckets) or [context]
     held = [sum(c for x, c in histogram.items() if a < x <= b) for a, b in zip([-1, *ends[:-1]], ends)]
     which = sum((F.col("n_tokens") > e).cast("int") for e in ends) + 1
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("bucket"))
     groups = [max(1, -(-h // group)) for h in held]
-    dealt = pieces.withColumn("bucket", which).withColumn("slot", F.pmod(F.xxhash64("doc_id", "piece"), pick(groups)).cast("int"))
-    order = Window.partitionBy("bucket", "slot").orderBy("doc_id", "piece", "n_tokens")
+    dealt = pieces.withColumn("bucket", which).withColumn("slot", F.pmod(F.xxhash64("doc_id", "piece", "row"), pick(groups)).cast("int"))
+    order = Window.partitionBy("bucket", "slot").orderBy("doc_id", "piece", "row")
     placed = dealt.withColumn("at", ((F.row_number().over(order) - 1) / pick([max(1, budget // max(1, e)) for e in ends])).cast("int"))
     return placed.select(
         "doc_id", "piece", "start", "n_tokens", pick(ends).cast("bigint").alias("bucket_length"), F.format_string("%d-%d-%d", "bucket", "slot", "at").alias("batch")
@@ -90,4 +98,6 @@ def pack(docs: DataFrame, length=None, context: int = CONTEXT, buckets: int = BU
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

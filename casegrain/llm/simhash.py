@@ -2,33 +2,36 @@
 
 A fingerprint is eight positional bytes. Two that differ in at most four bits
 differ in at most four bytes, so they share at least four: the guaranteed
-minimum. Postings are kept under the C(8, 4) choices of four positions with
-their bytes, since lists of single bytes would each hold 1/256 of the corpus.
-A posting list tallies the shared positional bytes of its pairs, keeps a pair
-that reaches the minimum in the list of its first four shared positions alone,
-and verifies the bits. A list returns a spanning forest of its links, not all
-of its pairs; equal fingerprints are one entry from the start, so a group of
-copies, however large, is one fingerprint here.
+minimum. Lists of one positional byte each hold 1/256 of the corpus, and their
+pairs grow with its square; so a posting list is kept under the bytes of
+``n`` positions, for each choice of n. Any pair that shares four bytes meets in
+such a list for n up to four, and n is the least at which a fingerprint meets
+``MEETINGS`` others or fewer on average. A list tallies the shared positional
+bytes of its pairs, retains those that reach the minimum and verifies their
+bits; a pair is retained in the list of its first shared positions alone. A
+long list is searched from one fingerprint to all that are not yet linked, so
+it returns a spanning forest and a group around one text costs no square. Equal
+fingerprints are one entry from the start, so a group of copies, however
+large, is one fingerprint here.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate, combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, read_table, sized_slices, stage
+from .common import free_name, hot_join, mix64, read_table, row_name, sized_slices, stage, text_sha
 from .components import components
 
 MAX_BITS = 4
 MIN_SHARED = 8 - MAX_BITS
-_CHOICES = list(combinations(range(8), MIN_SHARED))
-_MASKS = [sum(1 << p for p in c) for c in _CHOICES]
-#: The lowest four set bits of each mask of shared positions; 0 below the minimum.
-_FIRST = np.array([sum(1 << p for p in [p for p in range(8) if m >> p & 1][:MIN_SHARED]) if m.bit_count() >= MIN_SHARED else 0 for m in range(256)])
+#: Others that a fingerprint meets in all lists, if fingerprints were random.
+MEETINGS = 128
 #: Fingerprints that one packed posting bucket holds on average.
 BUCKET = 400_000
 #: Posting lists up to this length are compared as shifted columns, longer ones as blocks.
@@ -36,6 +39,22 @@ SHORT = 24
 BLOCK = 256
 
 
+class Choices:
+    """The choices of ``n`` of the eight positions under which postings are kept."""
+
+    def __init__(self, n: int):
+        self.positions = list(combinations(range(8), n))
+        self.bytes = [np.uint64(sum(0xFF << (8 * p) for p in c)) for c in self.positions]
+        self.masks = [sum(1 << p for p in c) for c in self.positions]
+        #: The lowest n set bits of each mask of shared positions; 0 where the tally is below the minimum.
+        self.first = np.array([sum(1 << p for p in [p for p in range(8) if m >> p & 1][:n]) if m.bit_count() >= MIN_SHARED else 0 for m in range(256)])
+
+
+def width_for(n_prints: int) -> int:
+    """Positions of a posting key, for so many distinct fingerprints."""
+    return next((n for n in range(1, MIN_SHARED) if comb(8, n) * n_prints <= MEETINGS * 256**n), MIN_SHARED)
+
+
 def fingerprint(text: str | None, width: int = 4) -> int:
     """SimHash of the text's ``width``-word shingles; 0 without a word."""
     import xxhash
@@ -67,14 +86,14 @@ def _fingerprints(width: int):
     return run
 
 
-def _postings(n_buckets: int):
+def _postings(n_buckets: int, choices: Choices):
     """Packed fingerprints for each (choice of positions, hash of their bytes)."""
 
     def run(batches):
         for batch in batches:
             fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             buckets, packs = [], []
-            for c, mask in enumerate(_byte_masks()):
+            for c, mask in enumerate(choices.bytes):
                 part = (mix64(fps & mask) % np.uint64(n_buckets)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
@@ -86,51 +105,55 @@ def _postings(n_buckets: int):
     return run
 
 
-def _byte_masks() -> list[np.uint64]:
-    return [np.uint64(sum(0xFF << (8 * p) for p in c)) for c in _CHOICES]
+def _shared(x: np.ndarray) -> np.ndarray:
+    """The mask of shared positions of pairs, from the xor of their fingerprints."""
+    shared = np.zeros(x.shape, dtype=np.uint8)
+    for p in range(8):
+        shared |= ((x >> np.uint64(8 * p)) & np.uint64(0xFF) == 0).astype(np.uint8) << np.uint8(p)
+    return shared
 
 
-def _linked(a: np.ndarray, b: np.ndarray, choice: int) -> np.ndarray:
-    """Whether pairs belong to this choice's list by their tally and differ in few bits."""
+def _linked(a: np.ndarray, b: np.ndarray, choices: Choices, choice: int) -> np.ndarray:
+    """Pairs that this list retains by the tally of their shared bytes, verified on their bits."""
     x = a ^ b
-    near = np.bitwise_count(x) <= MAX_BITS
-    if near.any():
-        at = np.nonzero(near)
-        d = x[at]
-        shared = np.zeros(d.shape, dtype=np.int64)
-        for p in range(8):
-            shared |= ((d >> np.uint64(8 * p)) & np.uint64(0xFF) == 0).astype(np.int64) << p
-        near[at] = _FIRST[shared] == _MASKS[choice]
-    return near
-
-
-def _forest(fps: np.ndarray, choice: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what the list's pairs connect, at most one a node and round."""
-    label, out = np.arange(len(fps)), []
-    while True:
-        moved = False
-        for at in range(0, len(fps), BLOCK):
-            near = _linked(fps[at : at + BLOCK, None], fps[None, :], choice)
-            seen = np.where(near, label[None, :], len(fps))
-            to = seen.argmin(axis=1)
-            best = seen[np.arange(len(to)), to]
-            rows = np.flatnonzero(best < label[at : at + BLOCK])
-            if len(rows):
-                moved = True
-                out.append((fps[at + rows], fps[to[rows]]))
-                label[at + rows] = best[rows]
-        if not moved:
-            return out
-        label = label[label]
-
-
-def _match(n_buckets: int):
-    masks = _byte_masks()
-
+    kept = choices.first[_shared(x)] == choices.masks[choice]
+    kept[kept] = np.bitwise_count(x[kept]) <= MAX_BITS
+    return kept
+
+
+def _forest(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what the list's pairs connect: each fingerprint is reached once."""
+    left, out = fps, []
+    while len(left):
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            reached = []
+            for at in range(0, len(front), BLOCK):
+                some = front[at : at + BLOCK]
+                owner = np.full(len(left), -1, dtype=np.int64)
+                for lo in range(0, len(left), 4096):
+                    x = some[:, None] ^ left[None, lo : lo + 4096]
+                    near = np.bitwise_count(_shared(x)) >= MIN_SHARED
+                    near[near] = np.bitwise_count(x[near]) <= MAX_BITS
+                    row = near.argmax(axis=0)
+                    hit = near[row, np.arange(near.shape[1])]
+                    owner[lo : lo + 4096][hit] = row[hit]
+                hit = owner >= 0
+                if hit.any():
+                    out.append((some[owner[hit]], left[hit]))
+                    reached.append(left[hit])
+                    left = left[~hit]
+                if not len(left):
+                    break
+            front = np.concatenate(reached) if reached else front[:0]
+    return out
+
+
+def _match(n_buckets: int, choices: Choices):
     def match(table: pa.Table) -> pa.Table:
         choice = table.column("bucket")[0].as_py() // n_buckets
         fps = np.frombuffer(b"".join(table.column("fps").to_pylist()), dtype="<u8")
-        key = fps & masks[choice]
+        key = fps & choices.bytes[choice]
         order = np.argsort(key, kind="stable")
         fps, key = fps[order], key[order]
         cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -141,12 +164,12 @@ def _match(n_buckets: int):
             pair = np.flatnonzero((key[d:] == key[:-d]) & short[d:])
             if not len(pair):
                 break
-            near = _linked(fps[pair], fps[pair + d], choice)
+            near = _linked(fps[pair], fps[pair + d], choices, choice)
             found.append((fps[pair[near]], fps[pair[near] + d]))
         for k in np.flatnonzero(sizes > SHORT):
-            found += _forest(fps[cuts[k] : cuts[k] + sizes[k]], choice)
+            found += _forest(fps[cuts[k] : cuts[k] + sizes[k]])
         a, b = (np.concatenate(x).view(np.int64) for x in zip(*found))
-        return pa.table({"a": a, "b": b})
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return match
 
@@ -157,11 +180,15 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return narrow.mapInArrow(_fingerprints(width), "doc_id bigint, fp bigint")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the same distinct fingerprints as all near pairs do."""
-    n_buckets = max(1, -(-fps.count() // BUCKET))
-    posted = fps.select("fp").mapInArrow(_postings(n_buckets), "bucket bigint, fps binary")
-    return posted.groupBy("bucket").applyInArrow(_match(n_buckets), "a bigint, b bigint").distinct()
+def links(fps: DataFrame, width: int | None = None) -> DataFrame:
+    """Links (a, b) that connect the same distinct fingerprints as all near pairs do.
+
+    ``width`` is the number of positions of a posting key, by which no link is lost.
+    """
+    n_prints = fps.count()
+    n_buckets, choices = max(1, -(-n_prints // BUCKET)), Choices(width or width_for(n_prints))
+    posted = fps.select("fp").mapInArrow(_postings(n_buckets, choices), "bucket bigint, fps binary")
+    return posted.groupBy("bucket").applyInArrow(_match(n_buckets, choices), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
@@ -174,42 +201,35 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     """
     all_fps = stage(fingerprints(docs, width), "fingerprints")
     rooted = _rooted(all_fps)
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    owner = rooted.join(least, "root").select("fp", "component_id")
-    return all_fps.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    owner = hot_join(rooted, least, ["root"], "n").select("fp", "component_id", "rows").withColumnRenamed("rows", "n")
+    return hot_join(all_fps, owner, ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _rooted(all_fps: DataFrame) -> DataFrame:
-    """(fp, first, root): each fingerprint's least doc_id and the fingerprint that names its component."""
-    distinct = stage(all_fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    """(fp, first, rows, root): each fingerprint's least doc_id, its rows and the fingerprint that names its component."""
+    distinct = stage(all_fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "distinct-fingerprints")
     roots = components(links(distinct), "a", "b").select(F.col("node").alias("fp"), "root")
-    return stage(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    return stage(distinct.join(roots, "fp", "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("root")), "rooted")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, that of the least doc_id.
+    """One row of each group of near-duplicates, that of the least doc_id, with all its columns.
 
-    A null doc_id comes last, and of different texts under one doc_id the one of
-    the least SHA-256 first; rows that share no more than their doc_id all stay.
+    A null doc_id comes last, of texts under one doc_id the one of the least
+    SHA-256 first, and of equal rows of doc_id and text any one stays. Rows that
+    share no more than their doc_id, or have none, all stay. Null and empty texts
+    are one group; an empty table stays empty.
     """
-    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if rows != ids:
-        return _keep_one_row(docs)
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_id")).distinct()
-    return docs.join(first, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_semi")
-
-
-def _keep_one_row(docs: DataFrame) -> DataFrame:
-    """``keep_one`` where doc_id doesn't name a row: a text is named by doc_id and digest."""
-    number, text = F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sha = F.sha2(text.cast("binary"), 256)
-    all_fps = stage(docs.select(number.alias("doc_id"), sha.alias("sha"), text.alias("text")).mapInArrow(_fingerprints(4), "doc_id bigint, sha string, fp bigint"), "fingerprints")
+    all_fps = stage(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_sha().alias("sha"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(4), "doc_id bigint, sha string, fp bigint"), "fingerprints")
     # the order of structs puts false before true, so a null doc_id last
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha"))
     of_print = all_fps.groupBy("fp").agg(least.alias("row"))
-    first = of_print.join(_rooted(all_fps), "fp").groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row.sha").alias("_first"))
-    kept = docs.withColumn("_sha", sha).join(first, number.eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_first")), "left_semi")
-    return kept.withColumn("_id", number).dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    key, own = free_name(docs, "key"), free_name(docs, "own")
+    first = of_print.join(_rooted(all_fps), "fp").groupBy("root").agg(F.min("row").alias("row"))
+    first = first.select(row_name(F.col("row.doc_id"), F.col("row.sha")).alias(key))
+    kept = docs.withColumn(own, row_name(F.col("doc_id"), text_sha())).join(first, F.col(own) == F.col(key), "left_semi")
+    return kept.dropDuplicates([own]).drop(own)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, ragged, read_table, sized_slices, stage
+from .common import free_name, hot_join, mix64, ragged, read_table, row_name, sized_slices, stage, text_sha
 from .token_counts import pack, unpack
 
 WIDTH = 100
@@ -348,8 +348,9 @@ _CUT_DDL = "uid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, ke
 def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with uid and text, their profile): uid orders documents as doc_id does.
 
-    It is the doc_id itself unless that is null or shared by rows; then distinct
-    (doc_id, text) pairs are numbered in order, nulls first, and equal rows share one.
+    It is the doc_id itself where that names each row. Otherwise distinct
+    (doc_id, text) pairs are numbered in order, nulls first, by the ranges and
+    places of a sort, and equal rows share a number. The result is the same.
     """
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     sha = F.sha2(F.col("text").cast("binary"), 256)
@@ -357,8 +358,8 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows, ids = profile.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if rows == ids:
         return plain.select(F.col("doc_id").alias("uid"), "text"), profile.withColumn("uid", F.col("doc_id"))
-    pairs = profile.select("doc_id", "sha").distinct().orderBy(F.asc_nulls_first("doc_id"), "sha")
-    numbered = stage(docs.sparkSession.createDataFrame(pairs.rdd.zipWithIndex().map(lambda x: (x[0].doc_id, x[0].sha, x[1])), "d bigint, s string, uid bigint"), "uids")
+    pairs = profile.select(F.col("doc_id").alias("d"), F.col("sha").alias("s")).distinct().orderBy(F.asc_nulls_first("d"), "s")
+    numbered = stage(pairs.withColumn("uid", F.monotonically_increasing_id()), "uids")
     same = F.col("doc_id").eqNullSafe(F.col("d"))
     texts = plain.withColumn("sha", sha).join(numbered, same & (F.col("sha") == F.col("s"))).select("uid", "text").dropDuplicates(["uid"])
     return texts, profile.join(numbered, same & (F.col("sha") == F.col("s"))).select("doc_id", "sha", "n_bytes", "uid")
@@ -373,8 +374,8 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     text left, without what remains of characters that are cut.
     """
     texts, profile = _keyed(docs)
-    firsts = profile.groupBy("sha", "n_bytes").agg(F.min("uid").alias("first"))
-    profile = stage(profile.join(firsts, ["sha", "n_bytes"]), "firsts")
+    firsts = stage(profile.groupBy("sha", "n_bytes").agg(F.min("uid").alias("first"), F.count("*").alias("copies")), "first-copies")
+    profile = stage(hot_join(profile, firsts, ["sha", "n_bytes"], "copies"), "firsts")
     size = profile.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(4, -(-size // BUCKET))
     long = texts.where(F.octet_length("text") >= WIDTH)
@@ -408,14 +409,18 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """All rows and columns, with repeated bytes gone from text and n_chars counted anew."""
+    """All rows and columns, with repeated bytes gone from text and n_chars counted anew.
+
+    Rows of one doc_id and text lose the same bytes; null texts stay null; what
+    remains of a character that is cut goes too; an empty table stays empty.
+    """
     profile, cut = remove_repeats(docs)
     gone = (F.col("uid") != F.col("first")) & (F.col("n_bytes") >= WIDTH)
     left = profile.join(cut.select("uid", "kept"), "uid", "left").where(gone | F.col("kept").isNotNull())
-    left = left.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.when(gone, "").otherwise(F.col("kept")).alias("_kept")).distinct()
-    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
-    both = docs.withColumn("_own", sha).join(left, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left")
-    text = F.coalesce("_kept", "text")
+    own, key, kept = (free_name(docs, n) for n in ("own", "key", "kept"))
+    left = left.select(row_name(F.col("doc_id"), F.col("sha")).alias(key), F.when(gone, "").otherwise(F.col("kept")).alias(kept)).distinct()
+    both = docs.withColumn(own, row_name(F.col("doc_id"), text_sha())).join(left, F.col(own) == F.col(key), "left")
+    text = F.coalesce(kept, "text")
     new = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return both.select([new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 

@@ -14,8 +14,9 @@ eight MB of text:
 * ``first``: ids in the same part before this shard.
 
 All arrays are little-endian; symbols take ``width`` bytes. A shard's grammar
-comes from rounds: the frequent pairs of a round are ranked, and an occurrence
-is replaced where no overlapping occurrence ranks higher.
+is Re-Pair's: frequent pairs are replaced by nonterminals until no pair is left
+that occurs ``LEAST_USES`` times. That is the one stopping rule: a rule is kept
+in three words (its pair and its length) and each use saves one.
 """
 
 from __future__ import annotations
@@ -27,18 +28,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import new_path, ragged, read_table, sized_slices, split_words
 
 END_ID = 1
-#: Parquet input bytes that one part of the files is made from.
+#: Text that one part of the files is made from.
 PART_BYTES = 24 << 20
 #: Pieces whose ids a task remembers.
 MEMORY = 800_000
-ROUNDS = 24
-PER_ROUND = 1024
-LEAST_USES = 8
-_HASH = 20
+#: Occurrences from which a pair's rule pays.
+LEAST_USES = 4
+#: A round replaces pairs with at least this part of the most frequent pair's occurrences.
+STEP = 4
+_SLOTS = 22
+#: Parts whose sizes are added up together.
+PARTS_TOGETHER = 1024
 
 _SCHEMA = (
     "part int, shard int, first bigint, n_ids bigint, first_doc bigint, last_doc bigint, base int, width int, "
@@ -121,52 +126,78 @@ class Encoder:
         return out, ends
 
 
-def repair(symbols: np.ndarray, base: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _counted(pos: np.ndarray, seq: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether each pair counts: of a run of one symbol, every second."""
+    same = seq[pos] == seq[pos + 1]
+    counts = np.ones(len(pos), dtype=bool)
+    at = np.flatnonzero(same)
+    if len(at):
+        starts = np.concatenate(([True], (np.diff(pos[at]) != 1) | (key[at[1:]] != key[at[:-1]])))
+        first = np.flatnonzero(starts)
+        counts[at] = (pos[at] - np.repeat(pos[at[first]], np.diff(np.append(first, len(at))))) % 2 == 0
+    return counts
+
+
+def repair(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(rules, compressed symbols) of a sequence in which ``base`` is never paired.
 
-    At most ``most`` rules are made. Ties and overlaps resolve to the pair of
-    higher rank, then to the left.
+    Pairs are counted exactly. A round ranks the most frequent ones, and an
+    occurrence is replaced where no overlapping one ranks higher; what loses is
+    counted again in the next. A pair that has become too rare stays so, since
+    replacing only makes pairs with new symbols, and is not counted again.
     """
-    seq, rules = symbols.astype(np.uint32), []
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or len(rules) >= most:
+    seq, n_rules, rules = symbols.astype(np.uint32), 0, [np.zeros((0, 2), dtype=np.uint32)]
+    alive = np.ones(len(seq), dtype=bool)
+    while len(seq) > 1:
+        alive[-1] = False
+        pos = np.flatnonzero(alive)
+        pos = pos[(seq[pos] != base) & (seq[pos + 1] != base)]
+        key = seq[pos].astype(np.uint64) << np.uint64(32) | seq[pos + 1]
+        counts_here = _counted(pos, seq, key)
+        # a slot's count is no less than that of any pair in it
+        slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        often = np.bincount(slot[counts_here], minlength=1 << _SLOTS)[slot] >= LEAST_USES
+        alive[:] = False
+        alive[pos[often]] = True
+        often &= counts_here
+        pos, key, slot = pos[often], key[often], slot[often]
+        ordered = np.sort(key)
+        heads = np.flatnonzero(np.concatenate((ordered[:1] == ordered[:1], ordered[1:] != ordered[:-1])))
+        times = np.diff(np.append(heads, len(ordered)))
+        if not len(times) or times.max() < LEAST_USES:
             break
-        a, b = seq[:-1], seq[1:]
-        free = (a != base) & (b != base)
-        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - _HASH)
-        counts = np.bincount(slot[free], minlength=1 << _HASH)
-        limit = min(PER_ROUND, most - len(rules))
-        top = np.argpartition(counts, -limit)[-limit:]
-        top = top[counts[top] >= max(LEAST_USES, len(seq) >> 17)]
-        if not len(top):
-            break
-        top = top[np.lexsort((top, -counts[top]))]
-        rank = np.full(1 << _HASH, limit, dtype=np.int32)
-        rank[top] = np.arange(len(top))
-        r = np.where(free, rank[slot], limit)
-        hot = np.flatnonzero(r < limit)
-        pairs = a[hot].astype(np.uint64) << np.uint64(32) | b[hot]
-        chosen = np.zeros(limit, dtype=np.uint64)
-        chosen[r[hot][::-1]] = pairs[::-1]  # a slot stands for the first of the pairs in it
-        r[hot[chosen[r[hot]] != pairs]] = limit
-        take = r < limit
-        take[1:] &= r[1:] < r[:-1]
-        take[:-1] &= r[:-1] <= r[1:]
-        uses = np.bincount(r[take], minlength=limit)
+        top = times >= max(LEAST_USES, times.max() // STEP)
+        pairs, times = ordered[heads[top]], times[top]
+        rank_of = np.empty(len(pairs), dtype=np.int32)
+        by_rank = np.lexsort((pairs, -times))
+        rank_of[by_rank] = np.arange(len(pairs))
+        mine = np.zeros(1 << _SLOTS, dtype=bool)
+        mine[(pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
+        hot = np.flatnonzero(mine[slot])
+        at = np.minimum(np.searchsorted(pairs, key[hot]), len(pairs) - 1)
+        hit = pairs[at] == key[hot]
+        hot, rank = pos[hot[hit]], rank_of[at[hit]]
+        best = np.ones(len(hot), dtype=bool)
+        touch = np.diff(hot) == 1
+        best[1:] &= ~touch | (rank[1:] < rank[:-1])
+        best[:-1] &= ~touch | (rank[:-1] < rank[1:])
+        hot, rank = hot[best], rank[best]
+        uses = np.bincount(rank, minlength=len(pairs))
         good = np.flatnonzero(uses >= LEAST_USES)
-        if not len(good):
-            break
-        number = np.zeros(limit, dtype=np.uint32)
-        number[good] = base + 1 + len(rules) + np.arange(len(good))
-        at = np.flatnonzero(take)
-        at = at[uses[r[at]] >= LEAST_USES]
-        rules += [(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in chosen[good]]
-        seq = seq.copy()
-        seq[at] = number[r[at]]
-        seq = np.delete(seq, at + 1)
-        if len(at) * 200 < len(seq):
-            break
-    return np.array(rules, dtype=np.uint32).reshape(-1, 2), seq
+        number = np.zeros(len(pairs), dtype=np.uint32)
+        number[good] = base + 1 + n_rules + np.arange(len(good))
+        some = pairs[by_rank[good]]
+        rules.append(np.stack([some >> np.uint64(32), some & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
+        n_rules += len(good)
+        use = uses[rank] >= LEAST_USES
+        hot, rank = hot[use], rank[use]
+        seq[hot] = number[rank]
+        alive[hot] = True
+        alive[hot[hot > 0] - 1] = True
+        left = np.ones(len(seq), dtype=bool)
+        left[hot + 1] = False
+        seq, alive = seq[left], alive[left]
+    return np.concatenate(rules), seq
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -200,14 +231,24 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
+def unfold(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """``expand`` of few symbols, level by level, without a table of all rules."""
+    out = symbols.astype(np.int64)
+    while (high := out > base).any():
+        at = np.cumsum(1 + high) - 1 - high
+        new = np.empty(len(out) + int(high.sum()), dtype=np.int64)
+        new[at[~high]] = out[~high]
+        new[at[high]], new[at[high] + 1] = rules[out[high] - base - 1].T
+        out = new
+    return np.where(out == base, END_ID, out).astype("<u4")
+
+
 def _shards(tokenizer: str):
     def run(batches):
         from pyspark import TaskContext
 
         encoder, part, shard, first = Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         base = encoder.base
-        width = 2 if base + 1 < 65536 else 4
-        most = (65535 if width == 2 else 1 << 20) - base - 1
         for batch in sized_slices(batches, "text"):
             codes, offsets, words = split_words(batch.column("text"), as_list=False)
             flat, stops = encoder.words(words)
@@ -216,8 +257,9 @@ def _shards(tokenizer: str):
             ends = np.concatenate(([0], np.cumsum(lengths)))[offsets[1:]]
             symbols = np.insert(ids, ends, np.uint32(base))
             doc_n = np.diff(ends, prepend=0) + 1
-            rules, packed = repair(symbols, base, most)
+            rules, packed = repair(symbols, base)
             stops = np.flatnonzero(packed == base) + 1
+            width = 2 if base + 1 + len(rules) < 65536 else 4
             kind = f"<u{width}"
             doc_ids = batch.column("doc_id").to_pylist()
             yield pa.RecordBatch.from_pylist([{
@@ -243,10 +285,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     of one doc_id follow each other by text; extra columns are not written.
     """
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = min(max(1, -(-size // PART_BYTES)), 100_000)
+    size = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
     ordered = narrow.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_shards(tokenizer), _SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(_shards(tokenizer), _SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _documents(batches):
@@ -267,14 +309,15 @@ def _documents(batches):
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32 and ids (packed 32-bit)."""
     shards = spark.read.schema(_SCHEMA).parquet(path)
-    totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # a row for each written part
+    sizes = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("together", F.expr(f"part div {PARTS_TOGETHER}"))
     bases, run = [], 0
-    for row in totals:
-        bases.append((row.part, run))
+    for row in sizes.groupBy("together").agg(F.sum("n").alias("n")).orderBy("together").collect():  # a row for each 1024 parts
+        bases.append((row.together, run))
         run += row.n
-    base = spark.createDataFrame(bases, "part int, base bigint")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("together").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.withColumn("before", before).join(spark.createDataFrame(bases, "together bigint, base bigint"), "together").select("part", (F.col("base") + F.col("before")).alias("base"))
     found = shards.mapInArrow(_documents, "part int, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
-    return found.join(F.broadcast(base), "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return found.join(base, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
@@ -286,7 +329,7 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]
         symbols, rules = np.frombuffer(row["symbols"], kind), np.frombuffer(row["rules"], kind).astype(np.uint32).reshape(-1, 2)
         ends = np.cumsum(np.frombuffer(row["doc_symbols"], "<u4").astype(np.int64))
         for k in [k for k, d in enumerate(row["doc_ids"]) if d == doc_id]:
-            found.append(expand(symbols[ends[k - 1] if k else 0 : ends[k]], rules, row["base"]).tolist())
+            found.append(unfold(symbols[ends[k - 1] if k else 0 : ends[k]], rules, row["base"]).tolist())
     return found
 
 

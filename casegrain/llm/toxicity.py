@@ -153,8 +153,37 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _odds(texts: DataFrame) -> Model | None:
+    """The model of labelled texts before its calibration, or None where they hold words of one class alone."""
+    sums = texts.select("text", "y").mapInArrow(_counts, "bucket bigint, toxic bigint, clean bigint").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    toxic, clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    at = sums.column("bucket").to_numpy()
+    toxic[at], clean[at] = sums.column("toxic").to_numpy(), sums.column("clean").to_numpy()
+    if not toxic.sum() or not clean.sum():
+        return None
+    scores = log_odds(toxic, clean)
+    lam = karlin(scores, clean + min(toxic.sum(), clean.sum()) * (toxic + clean) / (toxic + clean).sum())
+    best = texts.select("doc_id", "text", "y").mapInArrow(_best(scores), "doc_id bigint, y int, n bigint, best double").orderBy("doc_id").toArrow()
+    y, n, s = (best.column(c).to_numpy().astype(float) for c in ("y", "n", "best"))
+    return Model(scores, lam, gumbel_k(lam, n[(y == 0) & (n > 0)], s[(y == 0) & (n > 0)]))
+
+
+def gumbel_k(lam: float, n: np.ndarray, best: np.ndarray) -> float:
+    """log K from clean texts' lengths and best segments.
+
+    The Gumbel law's location: E[exp(-lambda S)] of the best segment is about
+    1 / (K n). K is a probability's factor and no more than 1, so where the law
+    fits badly (few clean texts, or none) log K is 0, which finds fewer passages.
+    """
+    return min(0.0, -float(np.mean(np.log(n))) - float(np.log(np.mean(np.exp(-lam * best))))) if len(n) else 0.0
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model, or None where the labels that may be used hold a single class."""
+    """The model, or None where the labels that may be used hold a single class.
+
+    Each half of the sample is judged by the odds of the other, and the
+    probability is calibrated on that evidence; the odds are then those of all.
+    """
     spark = docs.sparkSession
     ids = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
@@ -163,23 +192,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     if len({r.y for r in ids}) < 2:
         return None
     chosen = spark.createDataFrame(ids, "doc_id bigint, y int")
-    texts = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxic-sample")
-    sums = texts.mapInArrow(_counts, "bucket bigint, toxic bigint, clean bigint").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
-    toxic, clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    at = sums.column("bucket").to_numpy()
-    toxic[at], clean[at] = sums.column("toxic").to_numpy(), sums.column("clean").to_numpy()
-    if not toxic.sum() or not clean.sum():
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+    texts = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("half", half), "toxic-sample")
+    model = _odds(texts)
+    if model is None:
         return None
-    scores = log_odds(toxic, clean)
-    lam = karlin(scores, clean + min(toxic.sum(), clean.sum()) * (toxic + clean) / (toxic + clean).sum())
-    best = texts.select("doc_id", "text", "y").mapInArrow(_best(scores), "doc_id bigint, y int, n bigint, best double").orderBy("doc_id").toArrow()
-    y, n, s = (best.column(c).to_numpy().astype(float) for c in ("y", "n", "best"))
-    quiet = (y == 0) & (n > 0)
-    # the Gumbel law's location: E[exp(-lambda S)] of the best clean segment is about 1 / (K n)
-    log_k = -float(np.mean(np.log(n[quiet]))) - float(np.log(np.mean(np.exp(-lam * s[quiet])))) if quiet.any() else 0.0
-    model = Model(scores, lam, min(log_k, 0.0))
-    judged = texts.select("doc_id", "text").mapInArrow(_score(model), _KINDS).select("doc_id", "evidence").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toArrow()
-    model.slope, model.offset = platt(judged.column("evidence").to_numpy(), judged.column("y").to_numpy().astype(float))
+    parts = [(k, _odds(texts.where(F.col("half") != k))) for k in (0, 1)]
+    if any(other is None for _, other in parts):  # too few labels for halves
+        parts = [(None, model)]
+    x, y = [], []
+    for k, other in parts:
+        mine = texts if k is None else texts.where(F.col("half") == k)
+        judged = mine.select("doc_id", "text").mapInArrow(_score(other), _KINDS).select("doc_id", "evidence").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toArrow()
+        x.append(judged.column("evidence").to_numpy())
+        y.append(judged.column("y").to_numpy().astype(float))
+    model.slope, model.offset = platt(np.concatenate(x), np.concatenate(y))
     return model
 
 

@@ -24,8 +24,9 @@ def corpus():
 @pytest.fixture(scope="session")
 def docs(spark, corpus):
     """The corpus with columns whose names clash with the operators' own."""
-    rows = [(i, t, 1.5, "x", i % 3) for i, t in corpus]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, h double, bucket string, uid int").repartition(3)
+    rows = [(i, t, 1.5, "x", i % 3, *range(8)) for i, t in corpus]
+    clash = ", ".join(f"{c} int" for c in ("_id", "_own", "_sha", "_kept", "key_0", "own_0", "rows", "n"))
+    return spark.createDataFrame(rows, f"doc_id bigint, text string, h double, bucket string, uid int, {clash}").repartition(3)
 
 
 @pytest.fixture(scope="session")

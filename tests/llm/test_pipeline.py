@@ -23,13 +23,18 @@ def test_stages(spark):
             assert all(any((prints[i] ^ prints[j]).bit_count() <= 4 for j in now) for i in seen)
         elif name == "suffix-array dedup":
             held: set[bytes] = set()
-            for r in sorted(rows):
-                data = r.text.encode()
-                windows = {data[k : k + 100] for k in range(len(data) - 99)}
-                held |= windows
-            assert len(rows) == len(seen) and all(r.n_chars == len(r.text) for r in rows)
+            left = {}
+            for i in sorted(seen):
+                data = (seen[i] or "").encode()
+                cover = bytearray(len(data))
+                for k in range(len(data) - 99):
+                    if data[k : k + 100] in held:
+                        cover[k : k + 100] = b"\1" * 100
+                    held.add(data[k : k + 100])
+                left[i] = bytes(b for b, c in zip(data, cover) if not c).decode("utf-8", "ignore")
+            assert {r.doc_id: r.text for r in rows} == left and all(r.n_chars == len(r.text) for r in rows)
         elif name == "benchmark decontamination":
-            index = decontaminate.Index([(r.item_id, r.text) for r in read_table(spark, DIR, "benchmark").collect()])
+            index = decontaminate.Benchmark([(r.item_id, r.text) for r in read_table(spark, DIR, "benchmark").collect()])
             import pyarrow as pa
 
             ids = list(seen)
@@ -40,3 +45,24 @@ def test_stages(spark):
             break
         assert docs.columns == columns
         seen = {r.doc_id: r.text for r in rows}
+
+
+def test_stages_of_odd_rows(spark, prose_of):
+    """Null and shared ids, null, empty and repeated texts, columns with the operators' names, and no rows."""
+    import random
+
+    rng = random.Random(5)
+    story = [prose_of(rng, 90) + f" t{k} u{k} v{k}" for k in range(8)]
+    texts = [(None, story[0]), (None, story[1]), (1, story[2]), (1, story[3]), (1, story[3]), (2, story[4]), (3, None), (4, ""), (None, None), (5, story[4] + " "), (6, story[5] + " " + story[6]), (7, story[7])]
+    rows = [(i, t, "en", "s", len(t or ""), *"abcdefgh") for i, t in texts]
+    clash = ", ".join(f"{c} string" for c in ("_id", "_own", "_sha", "_kept", "key_0", "own_0", "fp", "root"))
+    table = spark.createDataFrame(rows, f"doc_id bigint, text string, lang string, source string, n_chars bigint, {clash}").repartition(3).cache()
+    kept = {"quality rules": 9, "SimHash near-dedup": 7, "suffix-array dedup": 7, "benchmark decontamination": 7}
+    for docs, sizes in ((table, kept), (table.where("1 = 0"), dict.fromkeys(kept, 0))):
+        columns = docs.columns
+        for name, step in corpus_pipeline.STAGES:
+            docs = step(spark, docs, DIR).cache()
+            if name not in sizes:
+                break
+            assert (name, docs.count(), docs.columns) == (name, sizes[name], columns)
+        assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == ({None, 1, 2, 6, 7} if sizes is kept else set())

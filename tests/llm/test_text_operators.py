@@ -50,6 +50,25 @@ def test_packing(docs, empty, corpus):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_in_tokens(docs, empty, corpus):
+    import sentencepiece
+
+    model = tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    held = collections.Counter()
+    for r in packing.pack(docs, model, context=100).collect():
+        held[r.doc_id] += r.n_tokens
+    assert held == {i: len(sp.encode(t or "")) for i, t in corpus}
+    assert packing.pack(empty, model).count() == 0
+
+
+def test_packing_deals_shared_ids_apart(spark):
+    table = spark.range(4000).selectExpr("if(id % 3 = 0, null, 7) as doc_id", "'a b c' as text").repartition(3)
+    rows = packing.pack(table, group=100).collect()
+    slots = collections.Counter(tuple(r.batch.split("-")[:2]) for r in rows)
+    assert len(rows) == 4000 and len(slots) == 40 and max(slots.values()) < 160
+
+
 # token files and counts
 
 
@@ -71,19 +90,53 @@ def test_token_files(spark, docs, empty, corpus, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
-def test_repair_round_trip():
+def pair_counts(seq, base):
+    """Occurrences of each pair without ``base``, of a run of one symbol every second."""
+    found, last = collections.Counter(), None
+    for k in range(len(seq) - 1):
+        pair = (seq[k], seq[k + 1])
+        if base in pair or last == (k - 1, pair):
+            last = None
+            continue
+        found[pair] += 1
+        last = (k, pair) if pair[0] == pair[1] else None
+    return found
+
+
+def plain_repair(seq, base):
+    """Re-Pair one rule at a time, always for the most frequent pair."""
+    seq, rules = list(seq), 0
+    while (found := pair_counts(seq, base)) and (best := max(found.items(), key=lambda x: (x[1], x[0])))[1] >= token_files.LEAST_USES:
+        new, k = [], 0
+        while k < len(seq):
+            if tuple(seq[k : k + 2]) == best[0]:
+                new.append(base + 1 + rules)
+                k += 2
+            else:
+                new.append(seq[k])
+                k += 1
+        seq, rules = new, rules + 1
+    return rules, len(seq)
+
+
+def test_repair():
     rng = np.random.default_rng(3)
-    for n in (0, 1, 2, 5000):
+    for n in (0, 1, 2, 60, 500):
         words = rng.integers(0, 40, size=(20, 6))
         seq = words[rng.integers(0, 20, n)].ravel().astype(np.uint32)
         seq[rng.random(len(seq)) < 0.02] = 50
-        rules, packed = token_files.repair(seq, 50, 500)
-        assert np.array_equal(token_files.expand(packed, rules, 50), np.where(seq == 50, token_files.END_ID, seq))
-        assert n < 5000 or len(packed) < len(seq) / 2
+        rules, packed = token_files.repair(seq, 50)
+        for way in (token_files.expand, token_files.unfold):
+            assert np.array_equal(way(packed, rules, 50), np.where(seq == 50, token_files.END_ID, seq))
         assert all(max(r) <= 50 + k for k, r in enumerate(rules.tolist())) and 50 not in rules
-    runs = np.zeros(1000, dtype=np.uint32)
-    rules, packed = token_files.repair(runs, 50, 500)
-    assert np.array_equal(token_files.expand(packed, rules, 50), runs)
+        assert len(rules) == len(set(map(tuple, rules.tolist())))
+        assert max(pair_counts(packed.tolist(), 50).values(), default=0) < token_files.LEAST_USES
+        n_rules, size = plain_repair(seq.tolist(), 50)
+        assert len(packed) + 3 * len(rules) <= 1.1 * (size + 3 * n_rules) + 6
+    for runs in (np.zeros(1000, dtype=np.uint32), np.array([0] * 9 + [50] + [0] * 7 + [1] + [0] * 30, dtype=np.uint32)):
+        rules, packed = token_files.repair(runs, 50)
+        assert np.array_equal(token_files.expand(packed, rules, 50), np.where(runs == 50, token_files.END_ID, runs))
+        assert max(pair_counts(packed.tolist(), 50).values(), default=0) < token_files.LEAST_USES
 
 
 def test_token_counts(docs, empty, corpus):
@@ -193,14 +246,20 @@ def test_keep_one_of_shared_ids(spark, prose_of):
     assert found == sorted([(6, a + " "), (5, b), (3, c), (3, d), (0, "")])
 
 
-def test_simhash_of_dense_groups(spark):
+def test_posting_width():
+    assert [simhash.width_for(n) for n in (1, 2000, 10**5, 10**7, 10**10)] == [1, 1, 2, 3, 4]
+    assert simhash.Choices(4).first[0b11110000] == 0b11110000 and simhash.Choices(2).first[0b11110000] == 0b00110000 and simhash.Choices(2).first[0b111] == 0
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_simhash_of_dense_groups(spark, width):
     import random
 
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(30)]
     prints = {p ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) & (1 << 64) - 1 for p in base[:3] for _ in range(150)} | set(base)
     signed = [(p - (1 << 64) if p >> 63 else p,) for p in prints]
-    found = [(r.a, r.b) for r in simhash.links(spark.createDataFrame(signed, "fp bigint").repartition(3)).collect()]
+    found = [(r.a, r.b) for r in simhash.links(spark.createDataFrame(signed, "fp bigint").repartition(3), width).collect()]
 
     def groups(pairs):
         root = {p[0]: p[0] for p in signed}
@@ -270,12 +329,14 @@ def test_decontamination(spark, docs, empty, corpus, prose_of):
     want = set()
     for i, t in [*corpus, *planted, *clean]:
         words = decontaminate.item_words(t)
-        held = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
         for item, text in items:
             w = decontaminate.item_words(text)
-            own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-            if own and len(own & held) >= 0.8 * len(own):
+            width = min(5, len(w))
+            held = {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}
+            own = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}
+            if w and len(own & held) >= 0.8 * len(own):
                 want.add((i, item))
+    assert {(500 + k, 3) for k in range(10)} <= want  # "What of?" is held as its two words
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(rows, bench).collect()}
     assert got == want >= {(500 + k, k) for k in range(10)}
     assert {r.doc_id for r in decontaminate.drop_leaks(rows, bench).collect()} == {i for i, _ in [*corpus, *planted, *clean]} - {i for i, _ in want}
@@ -307,21 +368,44 @@ def test_decontamination_of_common_terms(spark, prose_of, monkeypatch):
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == {9}
 
 
-def test_decontamination_retrieves_every_item(monkeypatch):
+def exhaustive(items, held):
+    """BM25 of every item against every passage, from the formula, over the item's score against itself."""
+    words = [t.split() for _, t in items]
+    n, mean = len(words), sum(map(len, words)) / len(words)
+    df = collections.Counter(x for w in words for x in set(w))
+    weight = lambda w, x: np.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    return [[sum(weight(w, x) for x in set(w) if x in p) / sum(weight(w, x) for x in set(w)) for w in words] for p in held]
+
+
+@pytest.mark.parametrize("kind", ["random", "narrow", "templated", "repeated", "one"])
+def test_decontamination_retrieves_every_item(monkeypatch, kind):
     rng = np.random.default_rng(8)
     monkeypatch.setattr(decontaminate, "POSTINGS", 300)
-    for vocabulary in (8, 30, 300):
-        index = decontaminate.Index([(k, " ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(5, 15)) % vocabulary)) for k in range(150)])
-        impacts = np.zeros((len(index.ids), len(index.terms)))
-        impacts[index.item, np.repeat(np.arange(len(index.terms)), np.diff(index.cuts))] = index.impact
-        impacts[:, index.common[:-1]] += index.dense
-        assert np.allclose(impacts.sum(axis=1), 1)
-        held = rng.random((40, len(index.terms))) < 0.5
-        passage, term = np.nonzero(held)
-        got = {(p, i): s for p, i, s in zip(*(x.tolist() for x in index.retrieve(passage, term)))}
-        scores = held.astype(float) @ impacts.T
-        want = {(int(p), int(i)): scores[p, i] for p, i in zip(*np.nonzero(scores >= decontaminate.THRESHOLD - 1e-9))}
-        assert got == pytest.approx(want)
+    drawn = lambda vocabulary: " ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(5, 15)) % vocabulary)
+    texts = {
+        "random": [drawn(300) for _ in range(150)], "narrow": [drawn(8) for _ in range(150)], "one": ["w1 w2 w3 w4 w5"],
+        "templated": [f"which w1 of the w2 is w{k % 7} or w{k}" for k in range(100)], "repeated": ["w1 w2 w3 w4 w5 w6"] * 80 + [drawn(20) for _ in range(40)],
+    }[kind]
+    index = decontaminate.Index(list(enumerate(texts)))
+    terms = list(index.terms)
+    held = rng.random((40, len(terms))) < rng.choice([0.1, 0.5, 0.9], size=(40, 1))
+    scores = exhaustive(list(enumerate(texts)), [{terms[t] for t in np.flatnonzero(h)} for h in held])
+    got = {(p, i): s for p, item, s in zip(*(x.tolist() for x in index.retrieve(*np.nonzero(held)))) for i in index.ids[item]}
+    assert got == pytest.approx({(p, i): s for p, row in enumerate(scores) for i, s in enumerate(row) if s >= decontaminate.THRESHOLD - 1e-9})
+
+
+def test_decontamination_in_parts(spark, prose_of, monkeypatch):
+    import random
+
+    rng = random.Random(21)
+    items = [(k, f"{prose_of(rng, 8 + 40 * (k % 4))} qq{k}") for k in range(30)] + [(k, "all the same words here") for k in range(30, 40)]
+    rows = [(k, f"{prose_of(rng, 60)} {items[k][1]} {prose_of(rng, 30)}") for k in range(0, 40, 3)] + [(90, None), (91, ""), (0, prose_of(rng, 9))]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([*items, items[0]], "item_id bigint, text string")
+    whole = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate.benchmarks, "__defaults__", (1500,))
+    parts = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
+    assert [r[:2] for r in whole] == [r[:2] for r in parts] and {r[:2] for r in whole} >= {(k, k) for k in range(0, 30, 3)} | {(k, j) for k in (30, 33, 36, 39) for j in range(30, 40)}
+    assert np.allclose([r[2:] for r in whole], [r[2:] for r in parts])
 
 
 def best_segment(scores):
@@ -366,3 +450,40 @@ def test_toxicity(spark, docs, empty, prose_of):
     assert sum(p == y for p, y in held) >= 0.97 * len(held)
     assert toxicity.toxicity(docs, labels).count() == docs.count() and toxicity.toxicity(empty, labels).count() == 0
     assert toxicity.toxicity(docs, labels.where("toxic = 2")).agg(F.max("score")).first()[0] < 1e-6
+    odd = spark.createDataFrame([(5000, None), (5001, ""), (5001, ""), (None, "vile"), (5002, "calm words " * 20000 + "vile " * 30)], "doc_id bigint, text string")
+    found = {r.doc_id: r for r in toxicity.toxicity(table.union(odd), labels).where("doc_id is null or doc_id >= 5000").collect()}
+    assert found[5000].score == found[5001].score and found[5000].n_passages == found[5001].n_passages == 0 and found[5002].predicted == 1 and None in found
+
+
+def test_toxicity_model_by_hand(spark):
+    """Odds, lambda, K and calibration against the formulas, word by word."""
+    import math
+
+    rows = [(k, "bad worse plain plain day" if k % 3 == 0 else "plain day night plain sky", int(k % 3 == 0)) for k in range(300)]
+    rows = [(k, f"{t} w{k % 7}", y) for k, t, y in rows if zlib.crc32(str(k).encode()) % 5]
+    table = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], 1, r[2]) for r in rows], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(table, labels)
+    n = {y: collections.Counter(w for _, t, z in rows if z == y for w in t.split()) for y in (0, 1)}
+    total = {y: sum(c.values()) for y, c in n.items()}
+    score = {}
+    for w in n[0] | n[1]:
+        prior = min(total.values()) * (n[0][w] + n[1][w]) / sum(total.values())
+        a, b = n[1][w] + prior, n[0][w] + prior
+        mass = [total[y] + min(total.values()) for y in (0, 1)]
+        delta = math.log(a / (mass[1] - a)) - math.log(b / (mass[0] - b))
+        score[w] = delta if abs(delta) / math.sqrt(1 / a + 1 / b) >= toxicity.SIGNIFICANT else toxicity.NEUTRAL
+    assert {w: model.scores[toxicity.bucket(w)] for w in score} == pytest.approx(score)
+    weight = {w: n[0][w] + min(total.values()) * (n[0][w] + n[1][w]) / sum(total.values()) for w in score}
+    assert sum(weight[w] * math.exp(model.lam * s) for w, s in score.items()) / sum(weight.values()) == pytest.approx(1, abs=1e-6)
+    best = [max(0, best_segment([score[w] for w in t.split()])) for _, t, y in rows if not y]
+    sizes = [len(t.split()) for _, t, y in rows if not y]
+    log_k = -np.mean(np.log(sizes)) - math.log(np.mean([math.exp(-model.lam * s) for s in best]))
+    assert model.log_k == pytest.approx(min(0, log_k))
+    got = by_id(toxicity.toxicity(table, labels))
+    for i, t, y in rows:
+        found = [s for *_, s in toxicity.segments(np.array([score[w] for w in t.split()]))]
+        excess = [e for s in found if (e := model.lam * s - model.log_k - math.log(len(t.split()))) > -math.log(toxicity.MAX_EXPECTED)]
+        assert got[i].evidence == pytest.approx(math.log1p(sum(excess)))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-model.slope * got[i].evidence - model.offset)))
+        assert got[i].predicted == y
