@@ -33,8 +33,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What stays is cut to the context and dealt to batches."""
-    return pack(docs)
+    """What stays is cut to the context, in tokens of the sentencepiece model, and dealt to batches."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [
