@@ -7,7 +7,8 @@ notices are only *presumed* boilerplate: boilerplate is what a site repeats.
 
 So the page token streams of a host, articles included, are concatenated and
 their suffixes sorted; neighbours in that order with ``RUN`` or more tokens in
-common, on pages of different content, are repeats. They decide twice:
+common are one class of windows, and a class that reaches outside articles on
+pages of different content is repeated. Repeats decide twice:
 
 * Outside articles, tokens that a repeat covers are removed and unique runs kept.
 * A presumed kind of furniture is removed, unique runs too, while the repeats
@@ -15,9 +16,9 @@ common, on pages of different content, are repeats. They decide twice:
   of the pages that have it a share of at least ``BORNE_OUT`` must be repeats.
 
 A host's pages are dealt by ranges of hosts to groups of bounded size, each with
-its own suffix array. Where a host is in several groups, the repeats
-that no group sees alone meet by content-chosen anchors and then by the 128-bit
-digests of their windows, so the result doesn't depend on the dealing.
+its own suffix array. Where a host is in several groups, the windows that reach
+outside articles and that no group sees repeated meet by 128-bit digests, so the
+result doesn't depend on the dealing.
 """
 
 from __future__ import annotations
@@ -35,14 +36,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, ragged, read_table, sized_slices, stage
+from .common import ragged, read_table, sized_slices, stage
 
 RUN = 8
-#: Tokens of an anchor; equal windows of ``RUN`` tokens hold an equal one.
-SEED = 4
 #: Text that shares a suffix array, and that one task holds.
 GROUP_BYTES = 8 << 20
-PART_BYTES = 64 << 20
+PART_BYTES = 16 << 20
+#: Text that one packed row holds, so that ranges of rows are ranges of bytes.
+PACK_BYTES = 128 << 10
 #: Pages that count for a kind of furniture from the start, and the share that must bear it out.
 PRIOR = 20
 BORNE_OUT = 0.1
@@ -279,18 +280,24 @@ def suffix_order(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return order, lcp
 
 
-def repeated(tokens: np.ndarray, ends: np.ndarray, content: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """(class, whether it is on streams of different content) of the ``run`` tokens from each place.
+def repeated(tokens: np.ndarray, ends: np.ndarray, content: np.ndarray, is_open: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(class, whether it is repeated) of the ``run`` tokens from each place.
 
-    ``content`` has a number for each stream. A place that has fewer tokens to
-    its stream's end is in a class of its own.
+    ``content`` has a number for each stream, and ``is_open`` says which windows
+    reach outside articles: such windows under two contents make a class
+    repeated. A place that has fewer tokens to its stream's end is in a class
+    with its equals, and never repeated.
     """
     order, lcp = suffix_order(tokens, ends)
+    if not len(order):
+        return order, np.zeros(0, dtype=bool)
     number = np.repeat(content, np.diff(ends, prepend=0))[order]
+    counts = is_open[order]
     heads = np.flatnonzero(lcp < run)
     kind = np.empty(len(order), dtype=np.int64)
     kind[order] = np.cumsum(lcp < run) - 1
-    many = np.minimum.reduceat(number, heads) != np.maximum.reduceat(number, heads) if len(heads) else np.zeros(0, dtype=bool)
+    least = np.minimum.reduceat(np.where(counts, number, len(ends)), heads)
+    many = least < np.maximum.reduceat(np.where(counts, number, -1), heads)
     return kind, many[kind]
 
 
@@ -301,23 +308,6 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64), coded.dictionary
 
 
-def _anchors(codes: np.ndarray, vocabulary: pa.Array, host: str) -> np.ndarray:
-    """For each place the least hash of ``SEED`` tokens among those of the window there."""
-    import xxhash
-
-    salt = xxhash.xxh3_64_intdigest(host)
-    each = np.array([xxhash.xxh3_64_intdigest(w, salt) for w in vocabulary.to_pylist()], dtype=np.uint64)[codes]
-    out = np.full(len(codes), np.iinfo(np.uint64).max, dtype=np.uint64)
-    if len(codes) >= RUN:
-        h = np.zeros(len(codes) - SEED + 1, dtype=np.uint64)
-        for k in range(SEED):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + each[k : k + len(h)]
-        h = mix64(h)
-        places = len(codes) - RUN + 1
-        out[:places] = np.min([h[k : k + places] for k in range(RUN - SEED + 1)], axis=0)
-    return out.view(np.int64)
-
-
 def _runs(places: np.ndarray) -> bytes:
     """Ascending places as packed (first, last) of each run."""
     if not len(places):
@@ -338,12 +328,10 @@ def _marks(text: str, codes: bytes) -> bytes:
 
 
 _FOUND = pa.schema(
-    [("key", pa.binary()), ("host", pa.string()), ("content", pa.binary()), ("marks", pa.binary()), ("again", pa.binary()),
-     ("anchors", pa.list_(pa.int64())), ("notes", pa.list_(pa.int64())), ("text", pa.string())]
+    [("id", pa.int64()), ("key", pa.binary()), ("host", pa.string()), ("content", pa.binary()), ("marks", pa.binary()), ("again", pa.binary()),
+     ("high", pa.list_(pa.int64())), ("low", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))]
 )
-_FOUND_DDL = "key binary, host string, content binary, marks binary, again binary, anchors array<bigint>, notes array<bigint>, text string"
-#: Bits of a note: the anchor has windows that may be removed; it has some that repeat in the group.
-_OPEN, _TOLD = 1, 2
+_FOUND_DDL = "id bigint, key binary, host string, content binary, marks binary, again binary, high array<bigint>, low array<bigint>, places array<int>"
 
 
 def _open_tokens(text: str, codes: bytes) -> np.ndarray:
@@ -352,37 +340,33 @@ def _open_tokens(text: str, codes: bytes) -> np.ndarray:
     return np.repeat(np.array([code != 1 for code in codes], dtype=bool), sizes)
 
 
-def _notes(least: np.ndarray, whole: np.ndarray, again: np.ndarray, told: np.ndarray, may_go: np.ndarray, content: bytes) -> tuple[list[int], list[int]]:
-    """(anchors, notes) of a stream: what the windows there are, with 61 bits of the content's digest."""
-    after = np.cumsum(np.concatenate(([0], may_go)))
-    at = np.arange(len(least))
-    is_open = after[np.minimum(at + RUN, len(least))] > after[at]
-    pick = whole & (~again | told)
-    anchors, back = np.unique(least[pick], return_inverse=True)
-    bits = np.zeros(len(anchors), dtype=np.int64)
-    np.bitwise_or.at(bits, back, np.where(again[pick], _TOLD, np.where(is_open[pick], _OPEN, 0)))
-    return anchors.tolist(), (bits | int.from_bytes(content[:8], "little") >> 3 << 2).tolist()
-
-
-def _group(host: str, rows: dict, split: bool) -> pa.RecordBatch:
-    """A group's streams, the windows that repeat in it and, if it isn't the whole host, anchors for the other groups."""
+def _group(host: str, rows: dict, split: bool, first_id: int) -> pa.RecordBatch:
+    """A group's streams, the windows that repeat in it and, if it isn't the whole host, what to look up in other groups."""
     keys, texts = list(rows), [r[1] for r in rows.values()]
     numbers: dict[bytes, int] = {}
     content = np.array([numbers.setdefault(r[0], len(numbers)) for r in rows.values()])
     codes, ends, vocabulary = _words(texts)
-    kind, again = repeated(codes, ends, content)
-    starts = np.concatenate(([0], ends[:-1]))
-    noted: list[tuple] = [(None, None)] * len(keys)
+    starts, at = np.concatenate(([0], ends[:-1])), np.arange(len(codes))
+    after = np.cumsum(np.concatenate(([0], np.concatenate([_open_tokens(*r[1:]) for r in rows.values()]))))
+    whole = np.repeat(ends, ends - starts) - at >= RUN
+    is_open = whole & (after[np.minimum(at + RUN, len(codes))] > after[:-1])
+    kind, again = repeated(codes, ends, content, is_open)
+    asked: list[tuple] = [(None, None, None)] * len(keys)
     if split:
-        whole = np.repeat(ends, ends - starts) - np.arange(len(codes)) >= RUN
-        least = _anchors(codes, vocabulary, host)
         # windows that repeat here are told of once a class
         first = np.zeros(len(codes), dtype=bool)
         first[np.unique(kind, return_index=True)[1]] = True
-        noted = [_notes(least[a:b], whole[a:b], again[a:b], again[a:b] & first[a:b], _open_tokens(*r[1:]), r[0]) for a, b, r in zip(starts, ends, rows.values())]
+        words = vocabulary.to_pylist()
+        asked = []
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            look, tell = (np.flatnonzero(x[a:b]) for x in (is_open & ~again, first & again))
+            some = np.concatenate((look, tell)) + a
+            digests = b"".join(_digest(host, *(words[c] for c in codes[k : k + RUN])) for k in some.tolist())
+            pairs = np.frombuffer(digests, "<i8").reshape(-1, 2)
+            asked.append((pairs[:, 0].tolist(), pairs[:, 1].tolist(), [*look.tolist(), *[-1] * len(tell)]))
     table = {
-        "key": keys, "host": [host] * len(keys), "content": [r[0] for r in rows.values()], "marks": [_marks(r[1], r[2]) for r in rows.values()],
-        "again": [_runs(np.flatnonzero(again[a:b])) for a, b in zip(starts, ends)], "anchors": [x[0] for x in noted], "notes": [x[1] for x in noted], "text": texts if split else [None] * len(keys),
+        "id": list(range(first_id, first_id + len(keys))), "key": keys, "host": [host] * len(keys), "content": [r[0] for r in rows.values()], "marks": [_marks(r[1], r[2]) for r in rows.values()],
+        "again": [_runs(np.flatnonzero(again[a:b])) for a, b in zip(starts, ends)], "high": [x[0] for x in asked], "low": [x[1] for x in asked], "places": [x[2] for x in asked],
     }
     return pa.RecordBatch.from_pydict(table, schema=_FOUND)
 
@@ -397,52 +381,47 @@ def _packs(batches):
                 hosts.setdefault(host, {})[key] = (key, *rest)
         rows = []
         for host, streams in hosts.items():
-            # a pack is dealt by the least key in it
-            rows.append((host, min(streams), zstandard.compress(pickle.dumps(list(streams.values())), 3)))
+            some, size = [], 0
+            for key, stream in sorted(streams.items()):
+                some.append(stream)
+                size += len(stream[2])
+                if size >= PACK_BYTES:
+                    rows.append((host, some[0][0], zstandard.compress(pickle.dumps(some), 3)))
+                    some, size = [], 0
+            if some:
+                rows.append((host, some[0][0], zstandard.compress(pickle.dumps(some), 3)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary()))], names=["host", "least", "pack"])
 
 
 def _arrays(group_bytes: int):
     def run(batches):
-        host, rows, size, split = None, {}, 0, True
+        from pyspark import TaskContext
+
+        host, rows, size, split, made = None, {}, 0, True, TaskContext.get().partitionId() << 36
         for batch in batches:
             for h, pack in zip(batch.column("host").to_pylist(), batch.column("pack").to_pylist()):
                 if h != host:
                     if rows:
-                        yield _group(host, rows, split)
+                        yield _group(host, rows, split, made)
+                        made += len(rows)
                     # the first host of a partition may have begun in the one before
                     host, rows, size, split = h, {}, 0, host is None
                 for key, content, text, codes in pickle.loads(zstandard.decompress(pack)):
                     if key in rows:
                         continue
                     if rows and size + len(text) > group_bytes:
-                        yield _group(host, rows, True)
+                        yield _group(host, rows, True, made)
+                        made += len(rows)
                         rows, size, split = {}, 0, True
                     rows[key] = (content, text, codes)
                     size += len(text)
         if rows:
-            yield _group(host, rows, True)  # and the last go on in the next
+            yield _group(host, rows, True, made)  # and the last go on in the next
 
     return run
 
 
-def _windows(batches):
-    """Windows at the anchors that other groups hold; place -1 for those that repeat in their own group."""
-    for batch in batches:
-        out = []
-        for row in batch.to_pylist():
-            codes, _, vocabulary = _words([row["text"]])
-            least = _anchors(codes, vocabulary, row["host"])
-            hit = np.flatnonzero(np.isin(least, np.array(row["hits"], dtype=np.int64)) & (np.arange(len(codes)) <= len(codes) - RUN))
-            runs = np.frombuffer(row["again"], "<i4").reshape(-1, 2).astype(np.int64)
-            known = set(ragged(runs[:, 0], runs[:, 1] - runs[:, 0] + 1).tolist())
-            words = row["text"].replace("\n", " ").split(" ")
-            out += [(row["key"], row["host"], row["content"], _digest(" ".join(words[k : k + RUN])), -1 if k in known else k) for k in hit.tolist()]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.string(), pa.binary(), pa.binary(), pa.int32()))], names=["key", "host", "content", "window", "place"])
-
-
 def _cover(batches):
     """Covered tokens of each stream, and the kinds of presumed furniture that it has and that repeats cover."""
     for batch in batches:
@@ -467,19 +446,12 @@ def repeats(parsed: DataFrame) -> DataFrame:
     packs = parsed.select("host", "key", "content", "text", "codes").mapInArrow(_packs, "host string, least binary, pack binary")
     dealt = packs.repartitionByRange(parts, "host", "least").sortWithinPartitions("host", "least").select("host", "pack")
     found = stage(dealt.mapInArrow(_arrays(GROUP_BYTES), _FOUND_DDL), "page-repeats")
-    # an anchor, which holds the host's hash, is looked up where a window that may be removed has it and another group knows it
-    split = found.where("text is not null")
-    asked = split.select(F.explode(F.arrays_zip("anchors", "notes")).alias("e")).select("e.anchors", "e.notes")
-    noted = asked.groupBy("anchors").agg(F.count("*").alias("n"), F.bit_or(F.col("notes").bitwiseAND(3)).alias("bits"), F.min(F.shiftright("notes", 2)).alias("lo"), F.max(F.shiftright("notes", 2)).alias("hi"))
-    common = stage(noted.where((F.col("bits").bitwiseAND(_OPEN) != 0) & ((F.col("lo") != F.col("hi")) | (F.col("bits").bitwiseAND(_TOLD) != 0) & (F.col("n") > 1))).select(F.col("anchors").alias("anchor")), "page-anchors")
-    hits = split.select("key", F.explode("anchors").alias("anchor")).join(common, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("hits"))
-    told = split.select("key", "host", "content", "again", "text").join(hits, "key")
-    windows = stage(told.mapInArrow(_windows, "key binary, host string, content binary, window binary, place int"), "page-windows")
-    shared = windows.groupBy("host", "window").agg(((F.min("content") != F.max("content")) | (F.min("place") < 0)).alias("many")).where("many").select("host", "window")
-    more = windows.where("place >= 0").join(shared, ["host", "window"], "left_semi").select("key", "place")
-    none = lambda *names: [F.lit(None).cast(t).alias(n) for n, t in names]
-    both = found.select("key", "host", "content", "marks", "again", *none(("place", "int"))).unionByName(more.select("key", "place", *none(("host", "string"), ("content", "binary"), ("marks", "binary"), ("again", "binary"))))
-    merged = both.groupBy("key").agg(F.max("host").alias("host"), F.max("content").alias("content"), F.max("marks").alias("marks"), F.collect_list("again").alias("runs"), F.collect_list("place").alias("places"))
+    # a window is named by 128 bits over host and tokens; contents are compared by 64 bits
+    asked = found.where("size(places) > 0").select("id", F.xxhash64("content").alias("c"), F.explode(F.arrays_zip("high", "low", "places")).alias("w")).select("id", "c", "w.*")
+    shared = asked.groupBy("high", "low").agg(((F.min("c") != F.max("c")) | (F.min("places") < 0) & (F.count("*") > 1)).alias("many")).where("many").select("high", "low")
+    more = asked.where("places >= 0").select("high", "low", "id", "places").join(stage(shared, "shared-windows"), ["high", "low"], "left_semi").groupBy("id").agg(F.collect_list("places").alias("place"))
+    both = found.select("id", "key", "host", "content", "marks", "again").join(more, "id", "left")
+    merged = both.groupBy("key").agg(F.max("host").alias("host"), F.max("content").alias("content"), F.max("marks").alias("marks"), F.collect_list("again").alias("runs"), F.flatten(F.collect_list("place")).alias("places"))
     return stage(merged.mapInArrow(_cover, "key binary, host string, content binary, spans binary, has int, borne int"), "page-cover")
 
 

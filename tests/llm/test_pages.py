@@ -100,11 +100,14 @@ def test_suffix_order():
         assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     content = np.array([0, 1, 2, 3, 4, 5, 6, 4, 4, 7])
     for run in (1, 5, 8):
-        kind, many = html_text.repeated(np.concatenate([np.array(s, dtype=np.int64) for s in streams]), ends, content, run)
+        is_open = rng.random(len(tails)) < 0.7
+        kind, many = html_text.repeated(np.concatenate([np.array(s, dtype=np.int64) for s in streams]), ends, content, is_open & np.concatenate([np.arange(len(s)) + run <= len(s) for s in streams]), run)
         owners, at = {}, 0
         for c, s in zip(content, streams):
             for k in range(len(s) - run + 1):
-                owners.setdefault(tuple(s[k : k + run]), set()).add(c)
+                owners.setdefault(tuple(s[k : k + run]), set()).update([c] * int(is_open[at + k]))
+            at += len(s)
+        at = 0
         for s in streams:
             assert many[at : at + len(s)].tolist() == [k + run <= len(s) and len(owners[tuple(s[k : k + run])]) > 1 for k in range(len(s))]
             at += len(s)
@@ -125,8 +128,9 @@ def brute_extract(rows):
         content = content or " ".join(t for t, _, _ in found)
         contents.setdefault(host, set()).add(content if found else None)
         words = [w for t, _, _ in found for w in t.split(" ")]
+        loose = [kind > 0 or not held for t, held, kind in found for _ in t.split(" ")]
         for k in range(len(words) - html_text.RUN + 1):
-            owners.setdefault((host, *words[k : k + html_text.RUN]), set()).add(content)
+            owners.setdefault((host, *words[k : k + html_text.RUN]), set()).update([content] * any(loose[k : k + html_text.RUN]))
     covers, has, borne = [], dict.fromkeys(range(1, 6), 0), dict.fromkeys(range(1, 6), 0)
     streams = set()
     for host, found in pages:
