@@ -23,32 +23,91 @@ _LINE = re.compile(r"\s*(gt_count|pred_count|matched)\s*:\s*(-?\d+)\s*$", re.I)
 
 def canonical(name: str) -> str:
     """Lower case, words by single spaces, slashes tight."""
-    return re.sub(r"\s*/\s*", "/", re.sub(r"[^a-z0-9/]+", " ", name.lower()).strip())
+    return "/".join(" ".join(re.findall("[a-z0-9]+", level)) for level in name.lower().split("/"))
 
 
-def resolve_item(item: str, vocabulary: list[str]) -> str | None:
-    """The entry of the same canonical name, or the only one whose words include the item's."""
-    words = set(re.split(r"[ /]+", canonical(item)))
-    same = [v for v in vocabulary if canonical(v) == canonical(item)]
-    near = [v for v in vocabulary if words and words <= set(re.split(r"[ /]+", canonical(v)))]
-    return same[0] if same else near[0] if len(near) == 1 else None
+def _words(name: str) -> frozenset[str]:
+    return frozenset(w for w in re.split(r"[ /]+", canonical(name)) if w)
 
 
-def split_items(payload: str, vocabulary: list[str], longest: int = 4) -> tuple[list[str], list[str]]:
-    """(entries, unresolved parts) of a comma list whose entries may hold commas themselves.
+@dataclass(frozen=True)
+class Vocabulary:
+    """Entries that items name, of one level or of ``level/name``, and the ways they may be misnamed.
+
+    ``aliases`` give entries for an item's words, ``synonyms`` an entry's name
+    below its level for other words, ``stop`` words that say nothing.
+    """
+
+    entries: tuple[str, ...]
+    aliases: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    synonyms: dict[str, str] = field(default_factory=dict)
+    stop: tuple[str, ...] = ()
+    ratio: float = 0.85
 
-    At each part the longest run of parts that names an entry is taken; an entry is listed once.
+    def _plain(self, item: str) -> str:
+        return " ".join(w for w in re.split(r"[ /]+", canonical(item)) if w and w not in self.stop)
+
+    def named(self, item: str) -> str | None:
+        """The entry of the same canonical name, or the only one whose words include the item's."""
+        words, same = _words(item), [v for v in self.entries if canonical(v) == canonical(item)]
+        near = [v for v in self.entries if words and not words <= set(self.stop) and words <= _words(v)]
+        return same[0] if same else near[0] if len(near) == 1 else None
+
+    def _below(self, item: str) -> tuple[list[str], str | None]:
+        """Entries by their name below a level: under the item's own level, or the only one, or all if it has no level."""
+        level, _, last = canonical(item).rpartition("/")
+        levels = {canonical(v.partition("/")[0]) for v in self.entries if "/" in v}
+        said = self.synonyms.get(self._plain(last), self.synonyms.get(last))
+        for name, tag in ((said, "item_synonym"), (last, "item_level"), (self._plain(last), "item_level")):
+            found = [v for v in self.entries if "/" in v and name and canonical(v).rpartition("/")[2] == name]
+            own = [v for v in found if canonical(v.partition("/")[0]) == level]
+            if own or len(found) == 1 or found and level not in levels:
+                return own or found, tag
+        return [], None
+
+    def _fuzzy(self, item: str) -> tuple[list[str], str | None]:
+        names = {self._plain(v): (v,) for v in self.entries} | self.aliases
+        names |= {canonical(v).rpartition("/")[2]: tuple(self._below(v.rpartition("/")[2])[0]) for v in self.entries if "/" in v}
+        words = self._plain(item)
+        near = difflib.get_close_matches(words, list(names), n=2, cutoff=self.ratio) if len(words) >= 5 else []
+        return (list(names[near[0]]), "item_fuzzy") if len(near) == 1 and names[near[0]] else ([], None)
+
+    def resolve(self, item: str) -> tuple[list[str], str | None]:
+        """(entries, the rule that found them): no rule for an entry's own name, no entries if none does."""
+        if entry := self.named(item):
+            return [entry], None
+        plain = self._plain(item)
+        if plain in self.aliases:
+            return list(self.aliases[plain]), "item_alias"
+        if plain and (entry := self.named(plain)):
+            return [entry], "item_stopword"
+        found = self._below(item)
+        if found[0]:
+            return found
+        halves = re.split(r"\band\b", canonical(item))
+        if len(halves) > 1:
+            each = [self.resolve(h)[0] if h.strip() else [] for h in halves]
+            if all(each):
+                return list(dict.fromkeys(e for x in each for e in x)), "item_split"
+        return self._fuzzy(item)
+
+
+def split_items(payload: str, vocabulary: Vocabulary, longest: int = 4) -> tuple[list[str], list[str], list[str]]:
+    """(entries, unresolved parts, rules used) of a comma list whose entries may hold commas themselves.
+
+    At each part the longest run of parts that names an entry is taken, else the
+    part alone by the vocabulary's rules; an entry is listed once.
     """
-    parts, found, lost, at = [p.strip() for p in payload.split(",") if p.strip()], [], [], 0
+    parts, found, lost, rules, at = [p.strip() for p in payload.split(",") if p.strip()], [], [], [], 0
     while at < len(parts):
-        runs = ((n, resolve_item(", ".join(parts[at : at + n]), vocabulary)) for n in range(min(longest, len(parts) - at), 0, -1))
+        runs = ((n, vocabulary.named(", ".join(parts[at : at + n]))) for n in range(min(longest, len(parts) - at), 1, -1))
         n, entry = next(((n, e) for n, e in runs if e), (1, None))
-        if entry is None:
-            lost.append(parts[at])
-        elif entry not in found:
-            found.append(entry)
+        entries, rule = ([entry], None) if entry else vocabulary.resolve(parts[at])
+        found += [e for e in entries if e not in found]
+        lost += [] if entries else [parts[at]]
+        rules += [rule] if rule and rule not in rules else []
         at += n
-    return found, lost
+    return found, lost, rules
 
 
 @dataclass(frozen=True)
@@ -57,8 +116,15 @@ class Grammar:
 
     verbs: tuple[str, ...]
     aliases: dict[str, str] = field(default_factory=dict)
-    lists: dict[str, list[str]] = field(default_factory=dict)
+    lists: dict[str, Vocabulary] = field(default_factory=dict)
     need_payload: tuple[str, ...] = ()
+    #: (pattern of a verb, verb, what the payload is without one of its own)
+    prefixes: tuple[tuple[str, str, str], ...] = ()
+    #: (pattern of a whole body, verb): the body is the payload
+    bare: tuple[tuple[str, str], ...] = ()
+    #: verb -> names that its payload may have, and other names for them
+    names: dict[str, dict[str, str]] = field(default_factory=dict)
+    quoted: tuple[str, ...] = ()
     ratio: float = 0.85
 
     def repairs(self) -> list[tuple[str, Callable[[str, str], tuple[str, str]]]]:
@@ -80,12 +146,42 @@ class Grammar:
         def alias(head, rest, _):
             return self.aliases.get(spelled(head, "", "")[0], ""), rest
 
+        def bare(head, rest, body):
+            return next(((v, body) for p, v in self.bare if re.match(p, body, re.I)), ("", rest))
+
+        def prefix(head, rest, _):
+            word = spelled(head, "", "")[0]
+            hits = ((re.match(p, word), v, t) for p, v, t in self.prefixes)
+            return next(((v, rest or m.expand(t).replace("_", " ")) for m, v, t in hits if m and (rest or t)), ("", rest))
+
+        def level(head, rest, _):
+            """A list's level in the verb's place."""
+            for verb, vocabulary in self.lists.items():
+                levels = {canonical(e.partition("/")[0]): e.partition("/")[0] for e in vocabulary.entries if "/" in e}
+                if (name := levels.get(canonical(head))) and rest:
+                    return verb, ", ".join(i.strip() if "/" in i else f"{name}/{i.strip()}" for i in rest.split(",") if i.strip())
+            return "", rest
+
         def close(head, rest, _):
             word = spelled(head, "", "")[0]
             near = difflib.get_close_matches(word, [*self.verbs, *self.aliases], n=2, cutoff=self.ratio) if len(word) >= 5 else []
             return (self.aliases.get(near[0], near[0]) if len(near) == 1 else ""), rest
 
-        return [("", lambda h, r, b: (h.strip(), r)), ("spelling", spelled), ("xml", unwrapped), ("alias", alias), ("dash", cut(r"([A-Za-z_ ]+?)\s+[-–—]\s*(.+)$")), ("glued", cut(r"([A-Za-z_]+)[=(>\[]+(.+?)[)\]>]*$")), ("no_colon", cut(r"([A-Za-z]+_[A-Za-z_]+)\s+(.+)$")), ("fuzzy", close)]
+        readings = [("", lambda h, r, b: (h.strip(), r)), ("spelling", spelled), ("xml", unwrapped), ("bare", bare), ("dash", cut(r"([A-Za-z_ ]+?)\s+[-–—]\s*(.+)$"))]
+        readings += [("alias", alias), ("prefix", prefix), ("level", level), ("glued", cut(r"([A-Za-z_]+)[=(>\[]+(.+?)[)\]>]*$")), ("no_colon", cut(r"([A-Za-z]+_[A-Za-z_]+)\s+(.+)$")), ("fuzzy", close)]
+        return readings
+
+    def payload(self, verb: str, payload: str) -> tuple[str, list[str]]:
+        """(the payload, tags): quotes around the whole of it dropped, a name's other spelling resolved."""
+        tags = []
+        if verb in self.quoted and len(payload) > 1 and payload[0] in "\"'" and payload[-1] == payload[0] and payload[0] not in payload[1:-1]:
+            payload, tags = payload[1:-1].strip(), ["quotes"]
+        known = self.names.get(verb)
+        if known and payload and (name := payload.strip().lower()) not in known.values():
+            near = difflib.get_close_matches(name, [*known.values()], n=2, cutoff=self.ratio)
+            other = known.get(name) or (near[0] if len(near) == 1 else None)
+            payload, tags = (other, [*tags, "name"]) if other else (payload, tags)
+        return payload, tags
 
     def parse(self, text: str | None) -> dict:
         """think, verb, payload, items, error, tags and dropped of one reply."""
@@ -101,14 +197,15 @@ class Grammar:
         for tag, read in self.repairs():
             verb, payload = read(head, rest.strip(), body)
             if verb in self.verbs:
-                out |= {"verb": verb, "payload": payload, "tags": [tag] if tag else []}
+                payload, more = self.payload(verb, payload)
+                out |= {"verb": verb, "payload": payload, "tags": [t for t in (tag, *more) if t]}
                 break
         else:
             return out | {"verb": head.strip().lower(), "error": "unknown action"}
         if verb in self.lists:
-            found, lost = split_items(payload, self.lists[verb])
+            found, lost, rules = split_items(payload, self.lists[verb])
             error = "empty list" if not found and not lost else "unknown item" if not found else None
-            return out | {"items": found, "dropped": lost, "error": error}
+            return out | {"items": found, "dropped": lost, "error": error, "tags": [*out["tags"], *rules]}
         return out | {"error": "no payload" if verb in self.need_payload and not payload else None}
 
     def column(self):

@@ -117,3 +117,10 @@ def score_by(name: str, gold: Column, answer: Column) -> Column:
     if name not in SCORERS:
         raise KeyError(f"no scorer {name!r}; there are {sorted(SCORERS)}")
     return SCORERS[name](gold, answer)
+
+
+def overridden(base: Column, override: Column) -> Column:
+    """A map with the entries of another over its own; either may be null."""
+    none = F.create_map().cast("map<string,string>")
+    over = F.coalesce(override, none)
+    return F.map_concat(F.map_filter(F.coalesce(base, none), lambda k, _: ~F.map_contains_key(over, k)), over)

@@ -103,8 +103,10 @@ def anchor_key(anchor: Column, row: Column) -> Column:
 
 
 def group_telemetry(turns: DataFrame, group: str, anchor: str, adv: str) -> DataFrame:
-    """Step groups of each group: distinct, collided, and the spread of advantages."""
-    per = turns.groupBy(group, anchor).agg(F.count("*").alias("n"), F.sum(adv).alias("s"), F.max(adv).alias("hi"), F.min(adv).alias("lo"), F.count_if(F.col(adv) != 0).alias("nz"))
+    """Step groups of each group: distinct, collided, and the spread of advantages (of a sample; null for one)."""
+    per = turns.groupBy(group, anchor).agg(F.count("*").alias("n"), F.sum(adv).alias("s"), F.sum(F.col(adv).cast("double") * F.col(adv)).alias("s2"), F.max(adv).alias("hi"), F.min(adv).alias("lo"), F.count_if(F.col(adv) != 0).alias("nz"))
+    mean = F.try_divide(F.sum("s"), F.sum("n"))
     return per.groupBy(group).agg(
-        F.count("*").alias("distinct_steps"), F.count_if(F.col("n") > 1).alias("collided"), F.try_divide(F.sum("s"), F.sum("n")).alias("adv_mean"), F.max("hi").alias("adv_max"), F.min("lo").alias("adv_min"), F.sum("nz").alias("nonzero")
-    )
+        F.count("*").alias("distinct_steps"), F.count_if(F.col("n") > 1).alias("collided"), mean.alias("adv_mean"), F.sqrt(F.try_divide(F.greatest(F.sum("s2") - mean * F.sum("s"), F.lit(0.0)), F.sum("n") - 1)).alias("adv_std"),
+        F.max("hi").alias("adv_max"), F.min("lo").alias("adv_min"), F.sum("nz").alias("nonzero"),
+    )

@@ -105,7 +105,7 @@ def by_ladder(rows: DataFrame, key: Column, rungs: list[tuple[DataFrame, str, st
 
 
 def total_lookup(rows: DataFrame, dim: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner lookup that fails if a row has no entry; the dimension is checked to be small."""
+    """Inner lookup that fails if a row has no entry."""
     missing = rows.join(dim, keys, "left_anti").limit(1).collect()
     if missing:
         raise KeyError(f"no entry for {missing[0].asDict()}")
@@ -122,6 +122,22 @@ def mixed_groups(rows: DataFrame, group: str, scorer: str) -> DataFrame:
     return rows.groupBy(group).agg(F.array_sort(F.collect_set(scorer)).alias("scorers")).where("size(scorers) > 1")
 
 
+def custom_id(key: Column) -> Column:
+    """A key as a batch service takes it: other characters than letters, digits, _ and - as _, 64 of them."""
+    return F.substring(F.regexp_replace(key, "[^A-Za-z0-9_-]", "_"), 1, 64)
+
+
+def by_custom_id(pairs: DataFrame, replies: DataFrame, key: str, order: str) -> DataFrame:
+    """Pairs with the reply of their custom id.
+
+    Keys that share an id share its reply, the last by ``order``, and are marked ``shared_id``.
+    """
+    last = replies.groupBy("custom_id").agg(F.max_by("reply", order).alias("reply"))
+    named = pairs.withColumn("custom_id", custom_id(F.col(key)))
+    keys = named.groupBy("custom_id").agg((F.min(key) != F.max(key)).alias("shared_id"))
+    return named.join(keys, "custom_id").join(last, "custom_id", "left")
+
+
 def replies_joined(pairs: DataFrame, replies: DataFrame, key: str, graders: list[str]) -> tuple[DataFrame, DataFrame]:
     """(every pair and grader with its reply or null, counts of parsed, failed and missing by grader)."""
     every = pairs.withColumn("grader", F.explode(F.array(*map(F.lit, graders))))

@@ -151,7 +151,7 @@ def verdict_ladder(cases: DataFrame, bar: float = 0.85, least: int = 3, veto_cap
     fewer than ``least`` read replies gives way to the ontology's score, and such
     a block is not to be cached.
     """
-    thin = F.size(F.filter("scores", lambda x: x.isNotNull())) < least
+    thin = F.coalesce(F.size(F.filter("scores", lambda x: x.isNotNull())), F.lit(0)) < least
     out = cases.withColumn("prefusion", _median(F.col("scores"))).withColumn("fused", F.when(thin | (F.col("prefusion") >= bar), F.col("prefusion")).otherwise(_median(F.col("lifted"))))
     full = F.col("fused") >= bar
     vetoed = ~thin & full & F.coalesce(F.col("veto"), F.lit(False))

@@ -57,6 +57,22 @@ def episode_summary(records: DataFrame) -> DataFrame:
     return records.select(F.explode("actions_by_verb").alias("verb", "n")).groupBy("verb").agg(F.sum("n").alias("n"))
 
 
+def episode_report(records: DataFrame, means: dict[str, int], sums: list[str], flags: dict[str, Column], outcome: str = "outcome", verbs: str = "actions_by_verb") -> DataFrame:
+    """(part, name, value): episodes, rounded means, sums, how many episodes meet each condition, outcomes and verbs.
+
+    One scan: every record gives a row a figure, which are added up before they
+    are shuffled. A missing number counts as 0, since a mean is over all episodes.
+    """
+    figure = lambda part, name, value: F.struct(F.lit(part).alias("part"), name.alias("name"), F.coalesce(value.cast("double"), F.lit(0.0)).alias("value"))
+    fixed = [figure("episodes", F.lit("all"), F.lit(1)), figure("outcome", F.col(outcome), F.lit(1))]
+    fixed += [figure("mean", F.lit(m), F.col(m)) for m in means] + [figure("sum", F.lit(s), F.col(s)) for s in sums] + [figure("count", F.lit(n), c.cast("int")) for n, c in flags.items()]
+    used = F.transform(F.map_entries(F.coalesce(F.col(verbs), F.create_map().cast("map<string,bigint>"))), lambda e: figure("verb", e["key"], e["value"]))
+    found = records.select(F.inline(F.concat(F.array(*fixed), used))).groupBy("part", "name").agg(F.sum("value").alias("total"), F.avg("value").alias("mean"))
+    digits = F.coalesce(F.create_map(*(F.lit(x) for m in means.items() for x in m))[F.col("name")], F.lit(0)) if means else F.lit(0)
+    scale = F.pow(F.lit(10.0), digits)
+    return found.select("part", "name", F.when(F.col("part") == "mean", F.round(F.col("mean") * scale) / scale).otherwise(F.col("total")).alias("value"))
+
+
 def markdown(rows: DataFrame, limit: int = 1000) -> str:
     """A table of a small aggregate; more rows than the limit raise an error."""
     found = rows.limit(limit + 1).collect()

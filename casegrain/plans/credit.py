@@ -136,10 +136,10 @@ def group_variance_filter(spark, d):
 
 
 @query(f"""with {_TURNS}, p as (select conv_id % 20 as grp, role, count(*) as n, sum(size - 100) as s, max(size - 100) as hi, min(size - 100) as lo, count(*) filter (where size <> 100) as nz from turns group by 1, 2)
-select grp, count(*) as distinct_steps, count(*) filter (where n > 1) as collided, round(sum(s) / sum(n), 6) as adv_mean, max(hi) as adv_max, min(lo) as adv_min, cast(sum(nz) as bigint) as nonzero from p group by grp""")
+select grp, count(*) as distinct_steps, count(*) filter (where n > 1) as collided, round(sum(s) / sum(n), 6) as adv_mean, (select round(stddev_samp(size - 100), 4) from turns where conv_id % 20 = grp) as adv_std, max(hi) as adv_max, min(lo) as adv_min, cast(sum(nz) as bigint) as nonzero from p group by grp""")
 def group_telemetry(spark, d):
     rows = turns(spark, d).withColumn("grp", F.col("conv_id") % 20).withColumn("adv", F.col("size") - 100)
-    return C.group_telemetry(rows, "grp", "role", "adv").withColumn("adv_mean", F.round("adv_mean", 6))
+    return C.group_telemetry(rows, "grp", "role", "adv").withColumn("adv_mean", F.round("adv_mean", 6)).withColumn("adv_std", F.round("adv_std", 4))
 
 
 @query("""select conv_id, turn, coalesce(case when role <> 'system' then role end, 'noanchor:' || cast(conv_id * 1000 + turn as varchar)) as anchor from conversations""")

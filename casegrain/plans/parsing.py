@@ -170,3 +170,23 @@ def verdict_service(spark, d):
     # greatest skips nulls, so an unread reply is lifted from nothing only after the panel's size is known
     cases = rows.groupBy("l_orderkey").agg(F.collect_list("s").alias("scores"), F.collect_list(F.when(F.col("s").isNotNull(), F.col("u"))).alias("lifted"), F.bool_or(F.col("l_tax") > 0.07).alias("veto"), F.max("l_tax").alias("fallback"))
     return verdict_ladder(cases).select("l_orderkey", F.round("prefusion", 6).alias("prefusion"), F.round("fused", 6).alias("fused"), "dx_score", "source", "cached")
+
+
+@query("""with m as (select user_id, round(avg(value), 2) as recall, count(*) as asks from events group by 1), n as (select *, case when exists (select 1 from events e where e.user_id = m.user_id and event_type = 'purchase') then 'bought' else 'left' end as outcome from m)
+select 'episodes' as part, 'all' as name, cast(count(*) as double) as value from n union all select 'outcome', outcome, count(*) from n group by 2 union all select 'mean', 'recall', round(avg(recall), 4) from n union all select 'mean', 'asks', round(avg(asks), 2) from n
+union all select 'sum', 'asks', sum(asks) from n union all select 'count', 'many', count(*) filter (where asks > 65) from n union all select 'verb', event_type, count(*) from events group by 2""")
+def episode_report(spark, d):
+    from ..operators.taxonomy import episode_report as report
+
+    each = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+    records = each.groupBy("user_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("actions_by_verb"), F.round(F.sum("v") / F.sum("n"), 2).alias("recall"), F.sum("n").alias("asks"), F.when(F.bool_or(F.col("event_type") == "purchase"), "bought").otherwise("left").alias("outcome")
+    )
+    return report(records, {"recall": 4, "asks": 2}, ["asks"], {"many": F.col("asks") > 65})
+
+
+@query("""select c_custkey, regexp_replace(c_name || '/' || c_mktsegment || ' é', '[^A-Za-z0-9_-]', '_', 'g')[1:64] as custom_id from customer""")
+def custom_ids(spark, d):
+    from ..operators.joins import custom_id
+
+    return table(spark, d, "customer").select("c_custkey", custom_id(F.concat("c_name", F.lit("/"), "c_mktsegment", F.lit(" é"))).alias("custom_id"))

@@ -11,11 +11,11 @@ ITEM = "struct<test_name:string,modality:string,findings:string,image_id:string,
 
 
 def rows(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Parquet by suffix, else JSON lines; blank lines are no rows."""
+    """Parquet by suffix, else JSON lines; blank lines are no rows, and a malformed one is an error when it is read."""
     reader = spark.read.schema(schema) if schema else spark.read
     if path.rstrip("/").endswith(".parquet"):
         return reader.parquet(path)
-    return reader.option("mode", "DROPMALFORMED").json(path)
+    return reader.option("mode", "FAILFAST").json(path)
 
 
 def records(spark: SparkSession, path: str, schema: str | None = None, array: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,8 +14,12 @@ def replace(df: DataFrame, path: str, expect: int | None = None) -> int:
     """Write beside ``path``, check the row count, then rename over it.
 
     ``df`` may read ``path``: nothing there changes before the new table is whole.
+    No store renames a folder over another, so there is a moment without a table
+    at ``path``; whoever finds it so, this function first of all, has the old
+    one moved back by ``recover``.
     """
     spark = df.sparkSession
+    recover(spark, path)
     fresh, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
     df.write.mode("overwrite").parquet(fresh)
     n = spark.read.schema(df.schema).parquet(fresh).count()
@@ -25,13 +29,23 @@ def replace(df: DataFrame, path: str, expect: int | None = None) -> int:
     p = [jvm.org.apache.hadoop.fs.Path(x) for x in (path, fresh, old)]
     fs = p[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.delete(p[2], True)
-    if fs.exists(p[0]):
-        fs.rename(p[0], p[2])
-    fs.rename(p[1], p[0])
+    if fs.exists(p[0]) and not fs.rename(p[0], p[2]):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(p[1], p[0]):
+        recover(spark, path)
+        raise OSError(f"{fresh} could not be moved to {path}")
     fs.delete(p[2], True)
     return n
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """Move the old table back if a publication stopped before the new one was in place; whether it did."""
+    jvm = spark.sparkContext._jvm
+    here, old = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old")
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return not fs.exists(here) and fs.exists(old) and fs.rename(old, here)
+
+
 def small_csv(df: DataFrame, path: str, order: list[str]) -> None:
     """One headed CSV file, for outputs of report size."""
     df.coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
