@@ -43,6 +43,13 @@ BATCH = 8 << 20
 BUCKET = 16 << 20
 #: Text bytes whose anchors are computed at a time.
 CHUNK = 1 << 20
+#: Messages that a batch sends at most; with more buckets, groups of buckets take them and send them on.
+GROUPS = 4096
+#: Anchors that are sent on together.
+REGROUP = 4 << 20
+#: Stretch bytes from which a bucket's equal stretches are reduced first, so many messages at a time.
+HOT_BYTES = 64 << 20
+FAN = 64
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -135,6 +142,36 @@ def _anchor_messages(n_buckets: int):
 _MESSAGE = pa.schema([("bucket", pa.int64()), ("known", pa.bool_()), ("h", pa.binary()), ("doc", pa.binary()), ("at", pa.binary()), ("reach", pa.binary()), ("twice", pa.binary())])
 
 
+def _regrouped(n_buckets: int):
+    """Messages to groups of buckets, put together and sent on to the buckets."""
+
+    def flush(parts):
+        h, doc, at, reach, twice = (np.concatenate(x) for x in zip(*parts))
+        bucket = (mix64(h) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        rows = []
+        for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
+            k = order[lo:hi]
+            rows.append((int(bucket[k[0]]), False, h[k].tobytes(), doc[k].astype("<i8").tobytes(), pack(at[k]), pack(reach[k]), np.packbits(twice[k]).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _MESSAGE.types)], schema=_MESSAGE)
+
+    def run(batches):
+        parts, size = [], 0
+        for batch in batches:
+            for h, doc, at, reach, twice in zip(*(batch.column(c).to_pylist() for c in ("h", "doc", "at", "reach", "twice"))):
+                h = np.frombuffer(h, "<u8")
+                parts.append((h, np.frombuffer(doc, "<i8"), unpack(at), unpack(reach), np.unpackbits(np.frombuffer(twice, np.uint8), count=len(h)).astype(bool)))
+                size += len(h)
+                if size >= REGROUP:
+                    yield flush(parts)
+                    parts, size = [], 0
+        if parts:
+            yield flush(parts)
+
+    return run
+
+
 def _repeated_anchors(table: pa.Table) -> pa.Table:
     known = np.array(table.column("known").to_pylist(), dtype=bool)
     h = [np.frombuffer(x, "<u8") for x in table.column("h").to_pylist()]
@@ -187,9 +224,52 @@ def _stretches(n_buckets: int):
     return run
 
 
+_STRETCH_DDL = "bucket bigint, uid bigint, start int, stop int, doc binary, at binary, reach binary, bytes binary"
 _STRETCH = pa.schema([("bucket", pa.int64()), ("uid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("doc", pa.binary()), ("at", pa.binary()), ("reach", pa.binary()), ("bytes", pa.binary())])
 
 
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(doc, at, reach, bytes) of a bucket's stretches."""
+    doc = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("doc").to_pylist()])
+    at = np.concatenate([unpack(x) for x in table.column("at").to_pylist()])
+    reach = np.concatenate([unpack(x) for x in table.column("reach").to_pylist()])
+    sizes = WIDTH + (reach >> 8) - (reach & 0xFF)
+    data, ends = b"".join(table.column("bytes").to_pylist()), np.cumsum(sizes)
+    return doc, at, reach, [data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+
+
+def _merged_stretches(table: pa.Table) -> pa.Table:
+    """A bucket's messages as one: of equal stretches the earliest stays, and the others are covered."""
+    doc, at, reach, stretches = _unpacked(table)
+    first: dict[tuple, int] = {}
+    covered = []
+    for k in np.lexsort((at, doc)).tolist():
+        if first.setdefault((int(reach[k]), stretches[k]), k) != k:
+            covered.append((None, int(doc[k]), int(at[k] - (reach[k] >> 8)), int(at[k] + WIDTH - (reach[k] & 0xFF)), None, None, None, None))
+    kept = np.array(sorted(first.values()), dtype=np.int64)
+    rows = [(table.column("bucket")[0].as_py(), None, None, None, doc[kept].astype("<i8").tobytes(), pack(at[kept]), pack(reach[kept]), b"".join(stretches[k] for k in kept)), *covered]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _STRETCH.types)], schema=_STRETCH)
+
+
+def _reduced(stretches: DataFrame) -> DataFrame:
+    """The same stretches with equal ones reduced, level by level, where one bucket holds very many bytes.
+
+    Such a bucket has a common line around its anchor; a level puts ``FAN``
+    messages together, until a bucket is small or has no equal stretches left.
+    """
+    sent, before = F.col("bucket").isNotNull(), None
+    while True:
+        sizes = stretches.where(sent).groupBy("bucket").agg(F.sum(F.octet_length("bytes")).alias("held"), F.count("*").alias("messages")).where((F.col("held") > HOT_BYTES) & (F.col("messages") > 1))
+        held = sizes.agg(F.sum("held"), F.sum("messages")).first()
+        if not held[0] or before and held[0] > 0.9 * before[0] and held[1] > 0.9 * before[1]:
+            return stretches
+        before = held
+        hot = stretches.join(sizes.select("bucket", F.ceil(F.col("messages") / FAN).alias("groups")), "bucket")
+        dealt = hot.withColumn("part", F.pmod(F.xxhash64("doc", "at"), "groups"))
+        merged = dealt.groupBy("bucket", "part").applyInArrow(_merged_stretches, _STRETCH_DDL)
+        stretches = stage(stretches.join(sizes.select("bucket"), "bucket", "left_anti").unionByName(merged), "stretches")
+
+
 def _lcp(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     x = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
@@ -305,14 +385,8 @@ def repeated_spans(doc: np.ndarray, at: np.ndarray, least: np.ndarray, most: np.
 
 
 def _sorted_bucket(table: pa.Table) -> pa.Table:
-    doc = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("doc").to_pylist()])
-    at = np.concatenate([unpack(x) for x in table.column("at").to_pylist()])
-    reach = np.concatenate([unpack(x) for x in table.column("reach").to_pylist()])
-    least, most = reach & 0xFF, reach >> 8
-    data = b"".join(table.column("bytes").to_pylist())
-    ends = np.cumsum(WIDTH + most - least)
-    stretches = [data[e - n : e] for e, n in zip(ends.tolist(), (WIDTH + most - least).tolist())]
-    uid, start, stop = repeated_spans(doc, at, least, most, stretches)
+    doc, at, reach, stretches = _unpacked(table)
+    uid, start, stop = repeated_spans(doc, at, reach & 0xFF, reach >> 8, stretches)
     return pa.table({"uid": uid, "start": start.astype(np.int32), "stop": stop.astype(np.int32)})
 
 
@@ -379,12 +453,18 @@ def remove_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     size = profile.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(4, -(-size // BUCKET))
     long = texts.where(F.octet_length("text") >= WIDTH)
-    asked = long.mapInArrow(_anchor_messages(n_buckets), "bucket bigint, known boolean, h binary, doc binary, at binary, reach binary, twice binary")
+    message = "bucket bigint, known boolean, h binary, doc binary, at binary, reach binary, twice binary"
+    n_groups = min(n_buckets, GROUPS)
+    n_buckets = -(-n_buckets // n_groups) * n_groups
+    asked = long.mapInArrow(_anchor_messages(n_groups), message)
+    if n_buckets > n_groups:
+        fresh = asked.where("not known").repartition(n_buckets, "bucket", F.pmod(F.xxhash64("h"), F.lit(n_buckets // n_groups)))
+        asked = fresh.mapInArrow(_regrouped(n_buckets), message).unionByName(asked.where("known"))
     repeated = asked.groupBy("bucket").applyInArrow(_repeated_anchors, "uid bigint, h bigint, at int, reach int")
     copies = profile.where("uid <> first").select("uid").distinct()
     lists = repeated.groupBy("uid").agg(F.collect_list(F.struct("h", "at", "reach")).alias("found")).join(copies, "uid", "left_anti")
     with_anchors = stage(long.join(lists, "uid"), "repeat-texts")
-    stretches = stage(with_anchors.mapInArrow(_stretches(n_buckets), "bucket bigint, uid bigint, start int, stop int, doc binary, at binary, reach binary, bytes binary"), "stretches")
+    stretches = _reduced(stage(with_anchors.mapInArrow(_stretches(n_buckets), _STRETCH_DDL), "stretches"))
     sorted_ = stretches.where("bucket is not null").select("bucket", "doc", "at", "reach", "bytes").groupBy("bucket").applyInArrow(_sorted_bucket, "uid bigint, start int, stop int")
     spans = sorted_.unionByName(stretches.where("bucket is null").select("uid", "start", "stop")).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return profile, with_anchors.select("uid", "text").join(spans, "uid").mapInArrow(_cut, _CUT_DDL)

@@ -205,6 +205,20 @@ def test_suffix_dedup_of_copies_out_of_order(spark, prose_of):
     assert {i: tuple(r)[1:] for i, r in got.items()} == {i: w[:4] for i, w in want.items()}
 
 
+def test_suffix_dedup_in_many_buckets(spark, docs, corpus, prose_of, monkeypatch):
+    """More buckets than a batch may send messages, and a line that stands in most documents."""
+    import random
+
+    rng = random.Random(9)
+    line = prose_of(rng, 40)
+    rows = [(i, t) for i, t in corpus] + [(1000 + k, f"{prose_of(rng, 12)} {line} {prose_of(rng, 12)}" if k % 2 else f"{line}{line}") for k in range(40)]
+    for name, value in {"BATCH": 3000, "BUCKET": 3000, "GROUPS": 3, "REGROUP": 50, "HOT_BYTES": 400, "FAN": 3}.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    want = brute_repeats(rows)
+    got = by_id(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)))
+    assert {i: tuple(r)[1:] for i, r in got.items()} == {i: w[:4] for i, w in want.items()}
+
+
 def test_deep_shallow_sorts():
     rng = np.random.default_rng(5)
     pool = [bytes(rng.integers(0, 3, size=rng.integers(0, 40), dtype=np.uint8)) for _ in range(300)]
