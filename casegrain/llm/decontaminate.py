@@ -39,7 +39,7 @@ THRESHOLD = 0.5
 SHINGLE = 5
 SIMILARITY = 0.8
 PART_SHINGLE, PART_SIMILARITY = 3, 0.5
-ITEMS_PER_BLOCK = 16
+ITEMS_PER_BLOCK = 2
 #: Block postings that are added up at a time.
 POSTINGS = 4 << 20
 EPSILON = 1e-9
