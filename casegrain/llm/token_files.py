@@ -40,8 +40,10 @@ MEMORY = 800_000
 #: Occurrences from which a pair's rule pays.
 LEAST_USES = 4
 #: A round replaces pairs with at least this part of the most frequent pair's occurrences.
-STEP = 4
-_SLOTS = 22
+STEP = 8
+#: Rounds after which pairs that have become rare are dropped, while frequent ones are left.
+DROP_EVERY = 4
+_SLOTS = 20
 #: Parts whose sizes are added up together.
 PARTS_TOGETHER = 1024
 
@@ -126,16 +128,18 @@ class Encoder:
         return out, ends
 
 
-def _counted(pos: np.ndarray, seq: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether each pair counts: of a run of one symbol, every second."""
-    same = seq[pos] == seq[pos + 1]
-    counts = np.ones(len(pos), dtype=bool)
-    at = np.flatnonzero(same)
-    if len(at):
-        starts = np.concatenate(([True], (np.diff(pos[at]) != 1) | (key[at[1:]] != key[at[:-1]])))
-        first = np.flatnonzero(starts)
-        counts[at] = (pos[at] - np.repeat(pos[at[first]], np.diff(np.append(first, len(at))))) % 2 == 0
-    return counts
+def _slots(key: np.ndarray) -> np.ndarray:
+    return key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)
+
+
+def _odd_in_run(pos: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Indices of the pairs that don't count: of a run of one symbol, every second."""
+    at = np.flatnonzero(a == b)
+    if not len(at):
+        return at
+    starts = np.concatenate(([True], (np.diff(pos[at]) != 1) | (a[at[1:]] != a[at[:-1]])))
+    first = np.flatnonzero(starts)
+    return at[(pos[at] - np.repeat(pos[at[first]], np.diff(np.append(first, len(at))))) % 2 == 1]
 
 
 def repair(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,38 +148,48 @@ def repair(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     Pairs are counted exactly. A round ranks the most frequent ones, and an
     occurrence is replaced where no overlapping one ranks higher; what loses is
     counted again in the next. A pair that has become too rare stays so, since
-    replacing only makes pairs with new symbols, and is not counted again.
+    replacing only makes pairs with new symbols; now and then such pairs are
+    dropped from what is counted.
     """
     seq, n_rules, rules = symbols.astype(np.uint32), 0, [np.zeros((0, 2), dtype=np.uint32)]
     alive = np.ones(len(seq), dtype=bool)
+    rounds, most = 0, len(seq)
     while len(seq) > 1:
-        alive[-1] = False
-        pos = np.flatnonzero(alive)
-        pos = pos[(seq[pos] != base) & (seq[pos + 1] != base)]
-        key = seq[pos].astype(np.uint64) << np.uint64(32) | seq[pos + 1]
-        counts_here = _counted(pos, seq, key)
-        # a slot's count is no less than that of any pair in it
-        slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        often = np.bincount(slot[counts_here], minlength=1 << _SLOTS)[slot] >= LEAST_USES
-        alive[:] = False
-        alive[pos[often]] = True
-        often &= counts_here
-        pos, key, slot = pos[often], key[often], slot[often]
+        pos = np.flatnonzero(alive[:-1])
+        a, b = seq[pos], seq[pos + 1]
+        inside = (a != base) & (b != base)
+        if not inside.all():
+            pos, a, b = pos[inside], a[inside], b[inside]
+        key = a.astype(np.uint64) << np.uint64(32) | b
+        odd = _odd_in_run(pos, a, b)
+        if rounds % DROP_EVERY == 0 or most < 64:
+            # a slot's count is no less than that of any pair in it
+            slot = _slots(key).astype(np.int64)
+            often = np.bincount(slot, minlength=1 << _SLOTS)[slot] >= LEAST_USES
+            alive[:] = False
+            alive[pos[often]] = True
+            often[odd] = False
+            pos, key = pos[often], key[often]
+        elif len(odd):
+            pos, key = np.delete(pos, odd), np.delete(key, odd)
+        rounds += 1
         ordered = np.sort(key)
         heads = np.flatnonzero(np.concatenate((ordered[:1] == ordered[:1], ordered[1:] != ordered[:-1])))
         times = np.diff(np.append(heads, len(ordered)))
-        if not len(times) or times.max() < LEAST_USES:
+        most = int(times.max(initial=0))
+        if most < LEAST_USES:
             break
-        top = times >= max(LEAST_USES, times.max() // STEP)
+        top = times >= max(LEAST_USES, most // STEP)
         pairs, times = ordered[heads[top]], times[top]
         rank_of = np.empty(len(pairs), dtype=np.int32)
         by_rank = np.lexsort((pairs, -times))
         rank_of[by_rank] = np.arange(len(pairs))
         mine = np.zeros(1 << _SLOTS, dtype=bool)
-        mine[(pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
-        hot = np.flatnonzero(mine[slot])
-        at = np.minimum(np.searchsorted(pairs, key[hot]), len(pairs) - 1)
-        hit = pairs[at] == key[hot]
+        mine[_slots(pairs)] = True
+        hot = np.flatnonzero(mine[_slots(key)])
+        asked = key[hot]
+        at = np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)
+        hit = pairs[at] == asked
         hot, rank = pos[hot[hit]], rank_of[at[hit]]
         best = np.ones(len(hot), dtype=bool)
         touch = np.diff(hot) == 1
