@@ -122,7 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     if len({r.y for r in ids}) < 2:
         return None
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id bigint, y int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sample_features, "doc_id bigint, y int, columns binary, shares binary").orderBy("doc_id").collect()
+    # of texts under one doc_id the least, so that the sample is no larger than its ids
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = texts.mapInArrow(_sample_features, "doc_id bigint, y int, columns binary, shares binary").orderBy("doc_id").collect()
     if len({r.y for r in rows}) < 2:
         return None
     y = np.array([r.y for r in rows], dtype=float)
@@ -172,7 +174,12 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the quality rules keep, with all their columns."""
+    """The rows that the quality rules keep, with all their columns.
+
+    Rows of null and empty texts fail the base rules and go; repeated rows go or
+    stay together; without labels of both classes the base rules alone decide;
+    an empty table stays empty.
+    """
     model = fit(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), labels)
 
     def run(batches):

@@ -193,7 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         return None
     chosen = spark.createDataFrame(ids, "doc_id bigint, y int")
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
-    texts = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("half", half), "toxic-sample")
+    # of texts under one doc_id the least, so that the sample is no larger than its ids
+    sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    texts = stage(sampled.withColumn("half", half), "toxic-sample")
     model = _odds(texts)
     if model is None:
         return None

@@ -27,8 +27,11 @@ from .common import new_path, read_table, stage
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 REVISIT_BYTES = 1000
-#: Records in one archive file.
+#: Records in one archive file, and bytes, so that a reader can hold one that needs it whole.
 FILE_RECORDS = 20_000
+FILE_BYTES = 1 << 30
+#: What a record's headers take at most, besides its address.
+HEADER_BYTES = 1 << 10
 _ZERO_TIME = "1970-01-01T00:00:00Z"
 
 
@@ -67,7 +70,9 @@ def write_warc(pages: DataFrame, path: str) -> None:
     of the largest page_id of a payload are all responses, and a row without a
     page_id is a response. Extra columns are not written.
     """
-    records(pages).select(F.col("record").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    longest = pages.agg(F.max(F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + 3 * F.coalesce(F.octet_length(F.col("url").cast("string")), F.lit(0)))).first()[0] or 0
+    fit = max(1, min(FILE_RECORDS, FILE_BYTES // (longest + HEADER_BYTES)))
+    records(pages).select(F.col("record").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", fit).text(path)
 
 
 def _field(name: str):

@@ -40,6 +40,15 @@ def test_warc_round_trip(spark, pages, tmp_path, split):
     assert {r[3] for r in got} == {"revisit", "response"}
 
 
+def test_warc_files_are_bounded(spark, pages, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 5000)
+    table = pages.selectExpr("*", "1 as record", "2 as digest", "'o' as owner", "'f' as file")  # names that the operator uses
+    path = tmp_path / "w"
+    warc.write_warc(table.coalesce(1), str(path))
+    assert max(f.stat().st_size for f in path.glob("part-*")) <= 5000 < sum(f.stat().st_size for f in path.glob("part-*"))
+    assert warc.read_warc(spark, str(path)).count() == pages.count()
+
+
 def test_warc_of_nothing(spark, pages, tmp_path):
     path = str(tmp_path / "w")
     warc.write_warc(pages.where("1 = 0"), path)

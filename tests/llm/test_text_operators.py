@@ -331,6 +331,34 @@ def test_quality(spark, docs, empty, corpus, prose_of):
     assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == {i for i, _ in corpus if got[i].kept}
 
 
+def test_quality_of_held_out_labels(spark):
+    """Fitted on half the labels, the rules agree with the other half."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    other = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    got = quality.quality(docs, labels.where(~other)).join(labels.where(other).select("doc_id", "quality"), "doc_id").where("not base_failed").select("kept", "quality").collect()
+    assert len(got) > 50 and sum(r.kept == (r.quality == 1) for r in got) >= 0.95 * len(got)
+
+
+def test_toxicity_of_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity(docs, labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").select("score", "predicted", "toxic").collect()
+    toxic = [r for r in got if r.toxic == 1]
+    assert sum(r.predicted for r in toxic) >= 0.8 * len(toxic) and sum(r.predicted for r in got if r.toxic == 0) <= 0.02 * len(got)
+    brier = sum((r.score - r.toxic) ** 2 for r in got) / len(got)
+    assert brier < 0.03
+
+
+def test_samples_are_bounded_by_ids(spark, docs, corpus):
+    """A labelled doc_id with very many rows is one document of the sample."""
+    labels = spark.createDataFrame([(i, int(i % 2), int(i % 2)) for i, _ in corpus], "doc_id bigint, quality int, toxic int")
+    rows = docs.select("doc_id", "text")
+    many = rows.union(rows.where("doc_id = 1").crossJoin(spark.range(300)).select("doc_id", "text"))
+    one, more = (quality.fit(x, labels) for x in (rows, many))
+    assert np.array_equal(one[0], more[0]) and one[1:] == more[1:]
+    one, more = (toxicity.fit(x, labels) for x in (rows, many))
+    assert np.array_equal(one.scores, more.scores) and (one.slope, one.offset) == pytest.approx((more.slope, more.offset))
+
+
 def test_decontamination(spark, docs, empty, corpus, prose_of):
     import random
 
