@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,6 +112,14 @@ def model_key(c) -> Column:
     return F.lower(F.element_at(F.split(text(c), "/"), -1))
 
 
+def assert_no_self_grading(records: DataFrame, model: str, graders: list[str]) -> None:
+    """Raise where a record's model is one of its graders."""
+    keys = [g.split("/")[-1].lower() for g in graders]
+    found = records.where(model_key(model).isin(*keys)).select(model).limit(1).collect()
+    if found:
+        raise ValueError(f"{found[0][0]} would grade itself")
+
+
 def pick_field(*names: str) -> Column:
     """The first of the columns that isn't blank, trimmed; empty if all are."""
     return F.coalesce(*[F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names], F.lit(""))
@@ -206,6 +214,28 @@ def first_object(s: pd.Series) -> pd.Series:
     return s.map(scan)
 
 
+# fixed values: levels of a grader's row that say it matches nothing
+NO_MATCH = ("none", "no match", "no_match", "nomatch", "unrelated", "different", "discrepant", "mismatch", "no-match", "not matched", "unmatched")
+
+
+def without_thoughts(c) -> Column:
+    """A reply without its closed think blocks, and without all that follows one left open."""
+    return F.regexp_replace(F.regexp_replace(text(c), r"(?is)<think>.*?</think>", ""), r"(?is)<think>.*", "")
+
+
+def reply_object(c) -> Column:
+    """The JSON object of a reply, thoughts apart: the fenced one, or else the first balanced one; null if there is none."""
+    said = without_thoughts(c)
+    fenced = F.nullif(F.regexp_extract(said, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
+    return F.coalesce(fenced, first_object(said))
+
+
+def reply_matches(c) -> Column:
+    """(level, gt, pred) rows of a grader's reply without those that match nothing; null if there is no object."""
+    found = F.from_json(reply_object(c), "matches array<struct<level:string,gt:string,pred:string>>")["matches"]
+    return F.filter(found, lambda m: ~F.coalesce(F.lower(F.trim(m["level"])), F.lit("")).isin(*NO_MATCH))
+
+
 @F.pandas_udf(T.StructType([T.StructField("sentences", T.IntegerType()), T.StructField("questions", T.IntegerType())]))
 def ask_shape(s: pd.Series) -> pd.DataFrame:
     """Sentences outside brackets, and question marks anywhere."""

@@ -95,10 +95,13 @@ def chapter_of(rows: DataFrame, code: str, chapters: DataFrame) -> DataFrame:
 
 
 def by_ladder(rows: DataFrame, key: Column, rungs: list[tuple[DataFrame, str, str]]) -> DataFrame:
-    """Adds ``code`` and ``method`` from the first rung (table, key column, method) that has the key."""
+    """Adds ``code`` and ``method`` from the first rung (table, key column, method) that has the key.
+
+    Of a key's rows the first by ``ord`` is taken, or without that column the least code.
+    """
     out, code, method = rows, [], []
     for i, (table, k, name) in enumerate(rungs):
-        out = out.join(table.select(F.col(k).alias(f"_k{i}"), F.col("code").alias(f"_c{i}")).dropDuplicates([f"_k{i}"]), key == F.col(f"_k{i}"), "left")
+        out = out.join(table.groupBy(F.col(k).alias(f"_k{i}")).agg((F.min_by("code", "ord") if "ord" in table.columns else F.min("code")).alias(f"_c{i}")), key == F.col(f"_k{i}"), "left")
         code.append(F.col(f"_c{i}"))
         method.append(F.when(F.col(f"_c{i}").isNotNull(), name))
     return out.withColumn("code", F.coalesce(*code)).withColumn("method", F.coalesce(*method)).drop(*[f"_{x}{i}" for i in range(len(rungs)) for x in "kc"])

@@ -195,3 +195,24 @@ def test_aborted_trajectories(spark):
     assert [tuple(r) for r in T.drop_aborted(rows, events, "traj", 1).collect()] == [("b", 1)]
     with pytest.raises(RuntimeError):
         T.drop_aborted(rows, events.union(events), "traj", 1)
+
+
+def test_reply_objects(spark):
+    from casegrain.functions import text as S
+
+    replies = ['<think>{"a": 1}</think> so {"b": {"c": "}"}} {"d": 2}', '<THINK>x</THINK>```json\n{"matches": [{"level": "Full", "gt": "g", "pred": "p"}, {"level": " no match "}, {}]}\n```', "{ never closed <think> {}", "<think> open {\"a\": 1}", None, ""]
+    got = spark.createDataFrame([(k, r) for k, r in enumerate(replies)], "k int, r string").select("k", S.reply_object("r").alias("o"), S.reply_matches("r").alias("m")).orderBy("k").collect()
+    assert [r.o for r in got][:1] == ['{"b": {"c": "}"}}'] and [r.o for r in got][2:] == [None] * 4
+    assert [tuple(x) for x in got[1].m] == [("Full", "g", "p"), (None, None, None)] and got[0].m is None
+    S.assert_no_self_grading(spark.createDataFrame([("org/Model-A",)], "m string"), "m", ["x/model-b"])
+    with pytest.raises(ValueError):
+        S.assert_no_self_grading(spark.createDataFrame([("org/Model-A",)], "m string"), "m", ["model-a"])
+
+
+def test_ladder_takes_the_first_of_a_key(spark):
+    from casegrain.operators import joins as J
+
+    codes = spark.createDataFrame([("a", "late", 2), ("a", "first", 1), ("b", "only", 1)], "k string, code string, ord int")
+    rows = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "x string")
+    found = {r.x: (r.code, r.method) for r in J.by_ladder(rows, F.col("x"), [(codes, "k", "one"), (codes.drop("ord"), "k", "two")]).collect()}
+    assert found == {"a": ("first", "one"), "b": ("only", "one"), "c": (None, None), None: (None, None)}
