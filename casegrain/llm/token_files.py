@@ -40,7 +40,7 @@ MEMORY = 800_000
 #: Occurrences from which a pair's rule pays.
 LEAST_USES = 4
 #: A round replaces pairs with at least this part of the most frequent pair's occurrences.
-STEP = 8
+STEP = 16
 #: Rounds after which pairs that have become rare are dropped, while frequent ones are left.
 DROP_EVERY = 4
 _SLOTS = 20
