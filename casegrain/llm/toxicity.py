@@ -25,6 +25,8 @@ from .logistic import platt, sigmoid
 BITS = 20
 #: Labelled documents that the odds are fitted on, those of least xxhash64(doc_id).
 SAMPLE = 20_000
+#: Parts of the sample whose evidence for the calibration comes from the odds of the others.
+FOLDS = 4
 #: Standard errors at which a token's log-odds count.
 SIGNIFICANT = 3.5
 NEUTRAL = -0.25
@@ -181,8 +183,8 @@ def gumbel_k(lam: float, n: np.ndarray, best: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The model, or None where the labels that may be used hold a single class.
 
-    Each half of the sample is judged by the odds of the other, and the
-    probability is calibrated on that evidence; the odds are then those of all.
+    Each of ``FOLDS`` parts of the sample is judged by the odds of the others, and
+    the probability is calibrated on that evidence; the odds are then those of all.
     """
     spark = docs.sparkSession
     ids = (
@@ -192,19 +194,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     if len({r.y for r in ids}) < 2:
         return None
     chosen = spark.createDataFrame(ids, "doc_id bigint, y int")
-    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))
     # of texts under one doc_id the least, so that the sample is no larger than its ids
     sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    texts = stage(sampled.withColumn("half", half), "toxic-sample")
+    texts = stage(sampled.withColumn("fold", fold), "toxic-sample")
     model = _odds(texts)
     if model is None:
         return None
-    parts = [(k, _odds(texts.where(F.col("half") != k))) for k in (0, 1)]
-    if any(other is None for _, other in parts):  # too few labels for halves
+    parts = [(k, _odds(texts.where(F.col("fold") != k))) for k in range(FOLDS)]
+    if any(other is None for _, other in parts):  # too few labels for folds
         parts = [(None, model)]
     x, y = [], []
     for k, other in parts:
-        mine = texts if k is None else texts.where(F.col("half") == k)
+        mine = texts if k is None else texts.where(F.col("fold") == k)
         judged = mine.select("doc_id", "text").mapInArrow(_score(other), _KINDS).select("doc_id", "evidence").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toArrow()
         x.append(judged.column("evidence").to_numpy())
         y.append(judged.column("y").to_numpy().astype(float))
