@@ -41,7 +41,9 @@ SIMILARITY = 0.8
 PART_SHINGLE, PART_SIMILARITY = 3, 0.5
 ITEMS_PER_BLOCK = 2
 #: Block postings that are added up at a time.
-POSTINGS = 4 << 20
+POSTINGS = 1 << 20
+#: Text whose passages are run at a time.
+TEXT_BYTES = 4 << 20
 EPSILON = 1e-9
 LEAST_STRIDE = 64
 #: Item text that one pass over the documents holds; statistics are those of all items in any case.
@@ -308,7 +310,7 @@ _PAIRS = "doc_id bigint, item_id bigint, bm25 double, overlap double, question_o
 
 def _pairs(index: Benchmark):
     def run(batches):
-        for batch in sized_slices(batches, "text"):
+        for batch in sized_slices(batches, "text", TEXT_BYTES):
             found = index.leaks(batch.column("text"))
             ids = batch.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
             columns = [ids, pa.array([f[1] for f in found], pa.int64()), *(pa.array([f[k] for f in found], pa.float64()) for k in (2, 3, 4, 5))]
@@ -342,7 +344,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def clean(index: Benchmark):
         def run(batches):
-            for batch in sized_slices(batches, "text"):
+            for batch in sized_slices(batches, "text", TEXT_BYTES):
                 keep = np.ones(batch.num_rows, dtype=bool)
                 keep[[f[0] for f in index.leaks(batch.column("text"))]] = False
                 yield batch.filter(pa.array(keep))
