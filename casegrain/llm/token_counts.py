@@ -3,11 +3,13 @@
 A sentencepiece BPE model whose pieces hold no space after another character
 never merges across the start of a run of spaces, so a text's token count is
 the sum over its pre-tokens (a run of spaces and what follows it). Each block
-of documents keeps per-document pre-token frequencies beside its distinct
-pre-tokens. The distinct pre-tokens of all blocks are aggregated, each is
-counted once, and the counts are joined to the blocks' pre-tokens; a block then
-sums frequency times pieces. Rows that meet under one pre-token are one a block
-that holds it, so what moves grows with the blocks' vocabularies alone.
+of documents keeps per-document pre-token frequencies and sends its distinct
+pre-tokens to the bucket of their hash; a bucket counts the pieces of each
+distinct pre-token once and answers every block; the block then sums
+frequency times pieces. A block sends ``MOST_BUCKETS`` messages at most, so
+messages grow with the text; blocks are dealt to sets of about ``SET_BLOCKS``,
+each with its own buckets, so what a bucket holds doesn't grow with it. A
+pre-token is counted once a set (12 GB of text).
 
 Defined results: null and empty texts count 0 tokens; repeated rows are
 counted each; extra columns are ignored; an empty table gives an empty result.
@@ -16,6 +18,7 @@ counted each; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,15 @@ from pyspark.sql import functions as F
 
 from .common import read_table, sized_slices, stage
 
-_BLOCK_SCHEMA = "block bigint, words array<string>, doc_ids array<bigint>, sizes array<bigint>, ends array<bigint>, codes binary, counts binary"
+_BLOCK_SCHEMA = (
+    "block string, bucket int, words binary, doc_ids array<bigint>, sizes array<bigint>, "
+    "ends array<bigint>, codes binary, counts binary"
+)
+#: Distinct pre-tokens are dealt to one bucket for so many blocks of text.
+BLOCKS_PER_BUCKET = 2
 BLOCK_BYTES = 12 << 20
+MOST_BUCKETS = 512
+SET_BLOCKS = 1024
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -68,11 +78,22 @@ def _sorted(vocabulary: list[str]) -> tuple[list[str], np.ndarray]:
     return [vocabulary[k] for k in order], back
 
 
-def _block_rows(block_bytes: int):
+def _pack_words(words: list[bytes]) -> bytes:
+    lengths = pack(np.array([len(w) for w in words]))
+    return len(lengths).to_bytes(4, "little") + lengths + zstandard.compress(b"".join(words), 3)
+
+
+def _unpack_words(data: bytes) -> pa.Array:
+    cut = 4 + int.from_bytes(data[:4], "little")
+    ends = np.concatenate(([0], np.cumsum(unpack(data[4:cut])))).astype("<i4")
+    return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(zstandard.decompress(data[cut:])))
+
+
+def _block_rows(n_buckets: int, block_bytes: int):
     def rows(batches):
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 32
+        part, seq = TaskContext.get().partitionId(), 0
         for batch in sized_slices(batches, "text", block_bytes):
             texts = pc.fill_null(batch.column("text"), "")
             odd = pc.match_substring_regex(texts, "  |^ | $|▁").to_numpy(zero_copy_only=False)
@@ -93,57 +114,79 @@ def _block_rows(block_bytes: int):
                 doc = np.concatenate((doc, np.array([x[0] for x in extra], dtype=np.int64)))
                 codes = np.concatenate((codes, np.array([x[1] for x in extra], dtype=np.int64)))
             vocabulary, back = _sorted(vocabulary)
-            keys, counts = np.unique(doc * max(1, len(vocabulary)) + back[codes], return_counts=True)
+            codes = back[codes]
+            bucket = np.array([zlib.crc32(w.encode()) % n_buckets for w in vocabulary], dtype=np.int64)
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            keys, counts = np.unique(doc * max(1, len(vocabulary)) + place[codes], return_counts=True)
             doc, codes = np.divmod(keys, max(1, len(vocabulary)))
+            ends = np.searchsorted(doc, np.arange(1, batch.num_rows + 1))
+            block = f"{part}-{seq}"
+            seq += 1
+            sizes = pc.binary_length(texts).to_pylist()
             steps = np.diff(codes, prepend=0)  # codes ascend in a document, so steps are small
-            columns = (block, vocabulary, batch.column("doc_id").to_pylist(), pc.binary_length(texts).to_pylist(), np.searchsorted(doc, np.arange(1, batch.num_rows + 1)).tolist(), pack(steps), pack(counts))
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, _ARROW.types)], schema=_ARROW)
-            block += 1
+            out = [(block, None, None, batch.column("doc_id").to_pylist(), sizes, ends.tolist(), pack(steps), pack(counts))]
+            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                some = [vocabulary[k].encode() for k in order[cuts[b] : cuts[b + 1]]]
+                out.append((block, b, _pack_words(some), *[None] * 5))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ARROW.types)], schema=_ARROW)
 
     return rows
 
 
 _ARROW = pa.schema(
-    [("block", pa.int64()), ("words", pa.list_(pa.string())), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
-     ("ends", pa.list_(pa.int64())), ("codes", pa.binary()), ("counts", pa.binary())]
+    [("block", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("doc_ids", pa.list_(pa.int64())),
+     ("sizes", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("codes", pa.binary()), ("counts", pa.binary())]
 )
 
 
-def _pieces(model: str):
-    """Pieces of each distinct pre-token; the empty one is the space before the next."""
-
-    def run(batches):
-        sp = _load(model)
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([len(x) if w else 1 for w, x in zip(words, sp.encode(words, num_threads=1))], pa.int32())], names=["word", "pieces"])
+def _answers(model: str):
+    def answers(table: pa.Table) -> pa.Table:
+        lists = [_unpack_words(w) for w in table.column("words").to_pylist()]
+        words = pa.concat_arrays(lists)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        sp, pieces = _load(model), np.zeros(len(distinct), dtype=np.int32)
+        for at in range(0, len(distinct), 10_000):
+            some = distinct[at : at + 10_000]
+            pieces[at : at + len(some)] = [len(x) if w else 1 for w, x in zip(some, sp.encode(some, num_threads=1))]
+        counts = pieces[coded.indices.to_numpy(zero_copy_only=False)]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        packed = [pack(counts[ends[i] : ends[i + 1]]) for i in range(len(lists))]
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "pieces": pa.array(packed, pa.binary())})
 
-    return run
+    return answers
 
 
 def _sums(batches):
     for batch in batches:
-        for k in range(batch.num_rows):
-            row = {c: batch.column(c)[k] for c in ("doc_ids", "sizes", "ends", "codes", "counts", "answers")}
-            answers = row["answers"].values
-            places, counted = (pc.struct_field(answers, f).to_numpy(zero_copy_only=False).astype(np.int64) if answers is not None else np.zeros(0, np.int64) for f in ("place", "pieces"))
-            pieces = np.zeros(len(places), dtype=np.int64)
-            pieces[places] = counted
-            codes, counts = np.cumsum(unpack(row["codes"].as_py())), unpack(row["counts"].as_py())
+        for row in batch.to_pylist():
+            parts = sorted(row["answers"] or [], key=lambda x: x["bucket"])
+            pieces = np.concatenate([np.zeros(0, np.int64), *(unpack(x["pieces"]) for x in parts)])
+            codes, counts = np.cumsum(unpack(row["codes"])), unpack(row["counts"])
             run = np.concatenate(([0], np.cumsum(pieces[codes] * counts)))
-            ends = np.concatenate(([0], row["ends"].values.to_numpy(zero_copy_only=False))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([row["doc_ids"].values, row["sizes"].values, pa.array(np.diff(run[ends]), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            ends = np.array([0, *row["ends"]], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["doc_ids"], pa.int64()), pa.array(row["sizes"], pa.int64()), pa.array(np.diff(run[ends]), pa.int64())],
+                names=["doc_id", "n_bytes", "n_tokens"],
+            )
 
 
 def count_tokens(docs: DataFrame, model: str, limit: int = 4096, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit)."""
     check_model(model)
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = stage(narrow.mapInArrow(_block_rows(block_bytes), _BLOCK_SCHEMA), "token-blocks")
-    asked = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    counted = asked.groupBy("word").agg(F.lit(1).alias("one")).select("word").mapInArrow(_pieces(model), "word string, pieces int")
-    replies = asked.join(counted, "word").groupBy("block").agg(F.collect_list(F.struct("place", "pieces")).alias("answers"))
-    summed = blocks.drop("words").join(replies, "block", "left").mapInArrow(_sums, "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_buckets = min(MOST_BUCKETS, max(4, -(-total // (block_bytes * BLOCKS_PER_BUCKET))))
+    n_sets = max(1, -(-total // (block_bytes * SET_BLOCKS)))
+    blocks = stage(narrow.mapInArrow(_block_rows(n_buckets, block_bytes), _BLOCK_SCHEMA), "token-blocks")
+    asked = blocks.where("bucket is not null").select("block", "bucket", "words").withColumn("part", F.pmod(F.xxhash64("block"), F.lit(n_sets)))
+    answered = asked.groupBy("bucket", "part").applyInArrow(_answers(model), "block string, bucket int, pieces binary")
+    replies = answered.groupBy("block").agg(F.collect_list(F.struct("bucket", "pieces")).alias("answers"))
+    payload = blocks.where("bucket is null").drop("bucket", "words")
+    summed = payload.join(replies, "block", "left").mapInArrow(_sums, "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return summed.withColumn("over_limit", F.col("n_tokens") > limit)
 
 

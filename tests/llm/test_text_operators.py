@@ -139,7 +139,7 @@ def test_repair():
         assert max(pair_counts(packed.tolist(), 50).values(), default=0) < token_files.LEAST_USES
 
 
-def test_token_counts(docs, empty, corpus):
+def test_token_counts(docs, empty, corpus, monkeypatch):
     import sentencepiece
 
     model = tokenizers.path("piece_bpe_32k.model")
@@ -149,6 +149,9 @@ def test_token_counts(docs, empty, corpus):
         n = len(sp.encode(t or ""))
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 100)
     assert token_counts.count_tokens(empty, model).count() == 0
+    monkeypatch.setattr(token_counts, "MOST_BUCKETS", 3)
+    monkeypatch.setattr(token_counts, "SET_BLOCKS", 2)
+    assert {i: tuple(r) for i, r in by_id(token_counts.count_tokens(docs, model, limit=100, block_bytes=2000)).items()} == {i: tuple(r) for i, r in got.items()}
     for odd in (" ", "a ", "  a", "<s> </s>", "▁▁x", "\n\n", "😀 ü"):
         assert sum(len(sp.encode(p)) if p else 1 for p in token_counts.pre_tokens(odd)) == len(sp.encode(odd))
 
