@@ -9,7 +9,6 @@ before changes nothing, however late or often it comes.
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,20 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.curriculum import STATE, Sampler, _row, fold_visits, new_state
+from ..sources.staging import shared_dir  # noqa: F401
 
 FEED = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Where checkpoints and state go: the cluster's folder, and on one machine alone a local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="casegrain-")
-
-
 def read_feed(spark: SparkSession, path: str, schema: str = FEED, files: int = 1) -> DataFrame:
     """New files of the feed, so many a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)

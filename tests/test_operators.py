@@ -318,6 +318,32 @@ def test_ratchet_and_shelving(spark):
         U.fold_pool(pool, frame, p, 3)
 
 
+def test_pool_of_any_size_is_folded_in_order(spark):
+    import random
+    import statistics
+
+    rng, p = random.Random(3), U.Sampler(shelve_window=2, shelve_mean=0.5, shelve_std=0.5, retire_window=2, retire_mean=0.7, retire_std=0.4, rung_gap=1)
+    pool = [(f"t{k:02d}", rng.randrange(-3, 9), 4, rng.choice([0.1, 0.5, 0.9])) for k in range(60)]
+    visits = [(t, step, rng.random(), rng.random() / 2, 4, rng.randrange(5)) for t, *_ in [*pool, ("strange",)] for step in range(12) if rng.random() < 0.7]
+    # one by one, the frontier from all states each time
+    want = {t: U.new_state(p.nu, m0, h) | {"rung": rung, "shelved": False} for t, rung, h, m0 in pool}
+    for t, *visit in sorted(visits, key=lambda v: (v[1], v[0])):
+        if t in want:
+            x, was = want[t], want[t]["retired"]
+            U.fold_visits(x, [tuple(visit)], p)
+            live = [y["rung"] for y in want.values() if not y["retired"] and not y["shelved"] and 0.2 <= y["s"] / (y["s"] + y["f"]) <= 0.8] or [y["rung"] for y in want.values()]
+            low = len(x["window"]) >= 2 and all(m < 0.5 and d < 0.5 for m, d in x["window"][-2:])
+            if low and not was and not x["retired"] and x["rung"] >= statistics.median(live) + 1:
+                x["shelved"] = True
+    # more tasks than were once folded in one place, all unvisited and beside the frontier
+    schema = "task string, rung int, horizon int, m0 double"
+    many = spark.range(200_000).select(F.format_string("u%06d", "id").alias("task"), F.lit(0).alias("rung"), F.lit(4).alias("horizon"), F.lit(0.95).cast("double").alias("m0"))
+    frame = spark.createDataFrame(visits, "task string, step int, mean_share double, std_share double, n int, successes int").repartition(3)
+    got = U.fold_pool(spark.createDataFrame(pool, schema).unionByName(many), frame, p).where("task < 'u'")
+    assert {r.task: (r.s, r.f, r.visits, r.retired, r.rung, r.shelved) for r in got.collect()} == {t: (x["s"], x["f"], x["visits"], x["retired"], x["rung"], x["shelved"]) for t, x in want.items()}
+    assert 5 < sum(x["shelved"] for x in want.values()) < 55
+
+
 def test_curriculum_plan_reaches_light_tasks(spark, tmp_path):
     import datetime
 
