@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staging import stage
 from .curriculum import Schedule, admitted, draw, quotas, rank_weights
 from .joins import phase_bounds
 
@@ -225,15 +226,19 @@ def candidates(tasks: DataFrame, course: Course, chunk: int) -> DataFrame:
     spread = tasks.withColumn("spread", F.coalesce("ema_std", F.sqrt(F.col("m0") * (1 - F.col("m0")))))
     live = rank_weights(admitted(spread, limit, s.sampler.max_visits).withColumn("none", F.lit(0)), "kind", "spread", "task", "none", s.sampler.beta_r, 0.0)
     by_kind = Window.partitionBy("kind")
-    live = live.withColumn("n", F.count("*").over(by_kind)).withColumn("seen", F.sum("last_visit").over(by_kind)).drop("none")
-    retired = tasks.where((F.col("horizon") <= limit) & F.col("retired"))
-    # a fixed value a (step, pool, by); null is all live tasks
-    each = lambda pools, ways: F.explode(F.array(*(F.struct(F.lit(x).alias("step"), p.alias("pool"), F.lit(w).alias("by")) for x in steps for p in pools for w in ways)))
-    rows = live.withColumn("e", each((F.col("kind"), F.lit(None).cast("string")), ("uniform", "weighted"))).select("*", "e.*").drop("e")
+    live = live.withColumn("n", F.count("*").over(by_kind)).withColumn("seen", F.sum("last_visit").over(by_kind)).withColumn("again", F.lit(False))
+    retired = tasks.where((F.col("horizon") <= limit) & F.col("retired")).withColumn("again", F.lit(True))
+    # what a visit and the order need; a case's tasks meet before each becomes a row a list
+    narrow = ["task", "case", "kind", "visits", "last_visit", "need_workup", "need_searches", "difficulty", "again"]
+    rows = live.select(*narrow, "weight", "n", "seen").unionByName(retired.select(narrow), allowMissingColumns=True).repartition("case")
+    # a fixed value a (step, pool, by); null is all live tasks, and kinds that the course has not are drawn from no other list
+    each = lambda pools, ways: F.array(*(F.struct(F.lit(x).alias("step"), p.alias("pool"), F.lit(w).alias("by")) for x in steps for p in pools for w in ways))
+    every, ways = F.lit(None).cast("string"), ("uniform", "weighted")
+    lists = F.when(F.col("again"), each((F.lit(REPLAY),), ("uniform",))).when(F.col("kind").isin(*course.kinds), each((F.col("kind"), every), ways)).otherwise(each((every,), ways))
+    rows = rows.withColumn("e", F.explode(lists)).select("*", "e.*").drop("e")
     stale = F.try_divide(F.col("step") - F.col("last_visit"), F.col("step") * F.col("n") - F.col("seen"))
-    rows = rows.withColumn("weight", (1 - s.sampler.rho) * F.col("weight") + s.sampler.rho * F.coalesce(stale, F.lit(0.0))).drop("n", "seen", "spread")
-    again = retired.withColumn("weight", F.lit(0.0)).withColumn("e", each((F.lit(REPLAY),), ("uniform",))).select("*", "e.*").drop("e")
-    rows = rows.unionByName(again)
+    weight = (1 - s.sampler.rho) * F.col("weight") + s.sampler.rho * F.coalesce(stale, F.lit(0.0))
+    rows = rows.withColumn("weight", F.when(F.col("again"), 0.0).otherwise(weight)).drop("n", "seen", "again")
     u = (F.pmod(F.xxhash64("task", F.lit(course.seed), "step", F.coalesce(F.concat(F.lit("pool "), "pool"), F.lit("all")), "by"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     rows = rows.withColumn("u", u).withColumn("key", F.when(F.col("by") == "uniform", 0.0).when(F.col("weight") > 0, F.log("u") / F.col("weight")))
     # tasks without weight come last and evenly, as in ``draw``
@@ -246,6 +251,7 @@ def plan_table(course: Course, chunk: int, tasks: DataFrame) -> tuple[dict, list
     """``plan`` of a table of tasks of any size: the same law as ``plan_pool``, with other draws."""
     s = course.schedule
     limit = course.phase(chunk * s.chunk_steps) + 1
+    tasks = stage(tasks, "tasks")  # read three times
     live = admitted(tasks, limit, s.sampler.max_visits)
     counts = {r.kind: (r.n, r.mastered) for r in live.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("mastery") >= course.mastery_bar).alias("mastered")).collect()}
     n_live = {k: n for k, (n, _) in counts.items()}

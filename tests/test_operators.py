@@ -276,6 +276,19 @@ def test_plan_tops_up(spark, way):
     assert header["short"] == header["topup"] >= 8 and header["quota_deviation"]["ook"] == 0.0
 
 
+def test_plan_makes_its_tasks_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    table = spark.createDataFrame(tasks_of(200), TASKS).mapInArrow(count, TASKS)
+    _, visits = N.plan_table(course_of(12, 5, replay=0.1, max_visits=2), 8, table)
+    assert len(visits) == 60 and made.value == 600
+
+
 @pytest.mark.parametrize("way", ["pool", "table"])
 def test_plan_explores(spark, way):
     """A tenth of a kind's draws, and no more, goes to tasks that weight alone would never take."""
