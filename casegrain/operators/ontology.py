@@ -49,30 +49,45 @@ def _query_tokens(terms: DataFrame) -> DataFrame:
     return terms.select("term", F.explode(F.array_distinct(F.transform(raw_tokens(F.col("term")), singular))).alias("tok"))
 
 
-def _by_rarity(terms: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(term, toks, rare): a term's distinct tokens, rarest first, and those of at most twice the least document frequency."""
-    df = tokens.select("cid", "tok").distinct().groupBy("tok").agg(F.count("*").alias("df"))
-    asked = _query_tokens(terms).join(df, "tok", "left").groupBy("term").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("t"))
+def _classes(tokens: DataFrame) -> DataFrame:
+    """(cid, held): the sorted tokens of every concept. Concepts of equal ``held`` are one class, and are looked up once."""
+    return tokens.groupBy("cid").agg(F.array_sort(F.collect_set("tok")).alias("held"))
+
+
+def _by_rarity(terms: DataFrame, classes: DataFrame) -> DataFrame:
+    """(term, toks, rare): a term's distinct tokens, rarest first, and those of at most twice the least document frequency.
+
+    ``classes`` has held and n, its number of concepts.
+    """
+    df = classes.select("n", F.explode("held").alias("tok")).groupBy("tok").agg(F.sum("n").alias("df"))
+    asked = _query_tokens(terms).join(df.hint("merge"), "tok", "left").groupBy("term").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "tok"))).alias("t"))
     known = F.filter("t", lambda x: x["df"] > 0)
     rare = F.filter(known, lambda x: x["df"] <= RARITY * F.get(known, F.lit(0))["df"])
     return asked.select("term", F.transform("t", lambda x: x["tok"]).alias("toks"), F.transform(rare, lambda x: x["tok"]).alias("rare"))
 
 
-def _candidates(asked: DataFrame, tokens: DataFrame, least: Column) -> DataFrame:
-    """(term, toks, rare, cid, held): the concepts that may hold ``least`` of a term's n tokens.
+def _candidates(asked: DataFrame, classes: DataFrame, least: Column) -> DataFrame:
+    """(term, toks, rare, held, ...): the classes that may hold ``least`` of a term's n tokens.
 
     They hold one of its n + 1 - least rarest tokens, and are found under the
     rarest of those alone; so common tokens are not joined and no pair comes twice.
     """
     first = asked.withColumn("first", F.slice("toks", F.lit(1), F.size("toks") + 1 - least)).withColumn("tok", F.explode("first"))
-    held = tokens.groupBy("cid").agg(F.collect_set("tok").alias("held")).withColumn("tok", F.explode("held"))
-    return first.join(held, "tok").where(F.get(F.array_intersect("first", "held"), F.lit(0)) == F.col("tok")).drop("tok", "first")
+    each = classes.withColumn("tok", F.explode("held"))
+    return first.join(each.hint("merge"), "tok").where(F.get(F.array_intersect("first", "held"), F.lit(0)) == F.col("tok")).drop("tok", "first")
+
+
+def _all_held(terms: DataFrame, classes: DataFrame) -> DataFrame:
+    """(term, held): classes that carry every token of the term."""
+    found = _candidates(_by_rarity(terms, classes), classes, F.size("toks"))
+    return found.where(F.size(F.array_except("toks", "held")) == 0).select("term", "held")
 
 
 def having_all(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     """(term, cid): concepts that carry every token of the term (relational division)."""
-    found = _candidates(_by_rarity(terms, tokens), tokens, F.size("toks"))
-    return found.where(F.size(F.array_except("toks", "held")) == 0).select("term", "cid")
+    members = _classes(tokens)
+    found = _all_held(terms, members.groupBy("held").agg(F.count("*").alias("n")))
+    return found.join(members.hint("merge"), "held").select("term", "cid")
 
 
 def best_covering(terms: DataFrame, tokens: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -81,10 +96,14 @@ def best_covering(terms: DataFrame, tokens: DataFrame, concepts: DataFrame) -> D
     At least half the tokens, rounded up; rare tokens have at most twice the
     least document frequency; ties go to the shortest label, then the least id.
     """
-    found = _candidates(_by_rarity(terms, tokens), tokens, F.expr("(size(toks) + 1) div 2").cast("int"))
-    rated = found.select("term", "cid", F.size(F.array_intersect("toks", "held")).alias("cov"), (F.size(F.array_except("rare", "held")) == 0).alias("all_rare"), ((F.size("toks") + 1) / 2).cast("int").alias("least"))
-    fit = rated.where("cov >= least").withColumn("top", F.max("cov").over(Window.partitionBy("term"))).where("cov = top and all_rare")
-    return fit.join(concepts.select("cid", "label"), "cid").groupBy("term").agg(F.min_by("cid", F.struct(F.length("label"), F.col("cid"))).alias("cid"))
+    # the least label of each concept that has one; a class without any is none's best, but may be the one that covers most
+    label = concepts.groupBy("cid").agg(F.min(F.length("label")).alias("size"), F.lit(True).alias("named"))
+    members = _classes(tokens).join(label.hint("merge"), "cid", "left")
+    classes = members.groupBy("held").agg(F.count("*").alias("n"), F.min(F.when(F.col("named"), F.struct("size", "cid"))).alias("best"))
+    found = _candidates(_by_rarity(terms, classes), classes, F.expr("(size(toks) + 1) div 2").cast("int"))
+    rated = found.select("term", "best", F.size(F.array_intersect("toks", "held")).alias("cov"), (F.size(F.array_except("rare", "held")) == 0).alias("all_rare"), ((F.size("toks") + 1) / 2).cast("int").alias("least"))
+    fit = rated.where("cov >= least").withColumn("top", F.max("cov").over(Window.partitionBy("term"))).where("cov = top and all_rare and best is not null")
+    return fit.groupBy("term").agg(F.min("best").alias("b")).select("term", F.col("b.cid").alias("cid"))
 
 
 def resolve(terms: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -98,14 +117,18 @@ def resolve(terms: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     names, concepts = tables["names"], tables["concepts"]
     pref = names.where("kind = 'pref'")
     t = terms.withColumn("low", F.lower(F.trim("term"))).withColumn("norm", possessive_fold("term")).withColumn("phrase", F.concat(F.lit(" "), F.array_join(raw_tokens(F.col("term")), " "), F.lit(" ")))
-    exact = t.join(pref, F.col("low") == F.col("name_lower")).groupBy("term").agg(F.min("cid").alias("cid")).withColumn("rung", F.lit(1)).withColumn("match", F.lit("exact_title"))
-    normal = t.join(pref, F.col("norm") == F.col("name_norm")).groupBy("term").agg(F.min("cid").alias("cid")).withColumn("rung", F.lit(2)).withColumn("match", F.lit("normalized_title"))
-    phrased = having_all(terms, tables["tokens"]).join(t, "term").join(names.where("kind <> 'id'").select("cid", "name_tok"), "cid").where(F.contains("name_tok", "phrase")).groupBy("term").agg(F.min("cid").alias("cid"), F.max("cid").alias("other")).where("cid = other").drop("other")
+    # names that concepts share are joined once
+    titles = lambda key: pref.groupBy(key).agg(F.min("cid").alias("cid")).hint("merge")
+    exact = t.join(titles("name_lower"), F.col("low") == F.col("name_lower")).select("term", "cid").withColumn("rung", F.lit(1)).withColumn("match", F.lit("exact_title"))
+    normal = t.join(titles("name_norm"), F.col("norm") == F.col("name_norm")).select("term", "cid").withColumn("rung", F.lit(2)).withColumn("match", F.lit("normalized_title"))
+    members = _classes(tables["tokens"])
+    named = names.where("kind <> 'id'").select("cid", "name_tok").join(members.hint("merge"), "cid").groupBy("held", "name_tok").agg(F.min("cid").alias("cid"), F.max("cid").alias("other")).hint("merge")
+    phrased = _all_held(terms, members.groupBy("held").agg(F.count("*").alias("n"))).join(t.hint("merge"), "term").join(named, "held").where(F.contains("name_tok", "phrase")).groupBy("term").agg(F.min("cid").alias("cid"), F.max("other").alias("other")).where("cid = other").drop("other")
     synonym = phrased.withColumn("rung", F.lit(3)).withColumn("match", F.lit("synonym_title"))
     fuzzy = best_covering(terms, tables["tokens"], concepts).withColumn("rung", F.lit(4)).withColumn("match", F.lit("top_hit_fuzzy"))
     defs = names.where("kind = 'def'").select("cid", "name_tok", F.explode(F.array_distinct(raw_tokens(F.col("name")))).alias("tok"))
     first = t.where(F.length(F.replace("phrase", F.lit(" "))) >= 6).withColumn("tok", F.element_at(raw_tokens(F.col("term")), 1))
-    mention = first.join(defs, "tok").where(F.contains("name_tok", "phrase")).join(concepts.select("cid", "label"), "cid").groupBy("term").agg(F.min_by("cid", F.struct(F.length("label"), F.col("cid"))).alias("cid")).withColumn("rung", F.lit(5)).withColumn("match", F.lit("def_mention"))
+    mention = first.join(defs.hint("merge"), "tok").where(F.contains("name_tok", "phrase")).join(concepts.select("cid", "label").hint("merge"), "cid").groupBy("term").agg(F.min_by("cid", F.struct(F.length("label"), F.col("cid"))).alias("cid")).withColumn("rung", F.lit(5)).withColumn("match", F.lit("def_mention"))
     rungs = exact.unionByName(normal).unionByName(synonym).unionByName(fuzzy).unionByName(mention)
     return rungs.groupBy("term").agg(F.min_by(F.struct("cid", "match"), F.struct("rung", "cid")).alias("m")).select("term", "m.cid", "m.match")
 

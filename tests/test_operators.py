@@ -331,6 +331,21 @@ def test_ratchet_and_shelving(spark):
         U.fold_pool(pool, frame, p, 3)
 
 
+def test_concepts_of_equal_tokens_are_looked_up_once(spark):
+    names = ["red bolt", "blue bolt", "red rings"]
+    raw = [("x", f"c{k:03d}", names[k % 3] + ("!" if k == 5 else ""), "pref", 0) for k in range(300)] + [("x", "lone", "odd green nut", "pref", 0)]
+    tables = O.build(spark.createDataFrame(raw, "src string, cid string, name string, kind string, ord int"), spark.createDataFrame([], "src string, child string, parent string"))
+    terms = spark.createDataFrame([("RED BOLT",), ("green nut",), ("bolt blue big",), ("bolt",), ("ring",), ("none",)], "term string")
+    found = O.resolve(terms, tables)
+    # the shortest label with all rare tokens, then the least id
+    assert {r.term: (r.cid, r.match) for r in found.collect()} == {
+        "RED BOLT": ("c000", "exact_title"), "green nut": ("lone", "synonym_title"), "bolt blue big": ("c001", "top_hit_fuzzy"), "bolt": ("c000", "top_hit_fuzzy"), "ring": ("c002", "top_hit_fuzzy"),
+    }
+    # what grows with the table is not sent to every task
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert O.having_all(terms.where("term = 'RED BOLT'"), tables["tokens"]).count() == 100
+
+
 def test_pool_of_any_size_is_folded_in_order(spark):
     import random
     import statistics
