@@ -7,6 +7,7 @@ executor costs a re-read and never a recomputation of the plan above it.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -87,8 +88,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Free memory goes back to the system, which the allocators would keep: workers that live on share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # not glibc
+        pass
+
+
 def sized_slices(batches, column: str, limit: int = BLOCK_BYTES):
-    """Record batches cut so that ``column`` holds about ``limit`` bytes in each."""
+    """Record batches cut so that ``column`` holds about ``limit`` bytes in each; what a slice took is given back after it."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -99,6 +109,7 @@ def sized_slices(batches, column: str, limit: int = BLOCK_BYTES):
             base = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
+            give_back()
             start = stop
 
 

@@ -48,3 +48,13 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         common.shared_dir(Session())
+
+
+def test_slices_give_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 30, "c"]})
+    found = [(b.num_rows, len(given)) for b in common.sized_slices([batch], "text", 10)]
+    assert [n for n, _ in found] == [2, 1, 1] and [k for _, k in found] == [0, 1, 2] and len(given) == 3
