@@ -22,6 +22,7 @@ in three words (its pair and its length) and each use saves one.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +36,14 @@ from .common import new_path, ragged, read_table, sized_slices, split_words
 END_ID = 1
 #: Text that one part of the files is made from.
 PART_BYTES = 24 << 20
-#: Pieces whose ids a task remembers.
-MEMORY = 800_000
+#: Pieces whose ids a worker remembers.
+MEMORY = 400_000
 #: Occurrences from which a pair's rule pays.
 LEAST_USES = 4
 #: A round replaces pairs with at least this part of the most frequent pair's occurrences.
 STEP = 16
-#: Rounds after which pairs that have become rare are dropped, while frequent ones are left.
-DROP_EVERY = 4
+#: A sweep takes as candidates the pairs with at least this part of the occurrences that its first round asks for.
+DEPTH = 3
 _SLOTS = 20
 #: Parts whose sizes are added up together.
 PARTS_TOGETHER = 1024
@@ -83,29 +84,33 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.pieces: dict[str, int] = {}
+        self.pieces = pa.array([], pa.string())
         self.flat, self.starts = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        parts, ends = [self.flat], [self.starts]
+    def _learn(self, new: pa.Array) -> None:
+        parts, ends, pieces = [self.flat], [self.starts], new.to_pylist()
         for at in range(0, len(pieces), 4096):
             some = pieces[at : at + 4096]
-            joined = [" ".join(some[k : k + 64]) for k in range(0, len(some), 64)]
+            joined = [" ".join(some[k : k + 256]) for k in range(0, len(some), 256)]
             ids = np.concatenate([np.array(e.ids, dtype=np.uint32) for e in self.model.encode_batch_fast(joined, add_special_tokens=False)])
             parts.append(ids)
             ends.append(ends[-1][-1] + np.flatnonzero(self.last[ids]) + 1)
-        for p in pieces:
-            self.pieces[p] = len(self.pieces)
+        self.pieces = pa.concat_arrays([self.pieces, new])
         self.flat, self.starts = np.concatenate(parts), np.concatenate(ends)
         assert len(self.starts) == len(self.pieces) + 1
 
     def _numbers(self, pieces: pa.Array) -> np.ndarray:
-        """Number of each piece; -1 for none."""
+        """Number of each piece; -1 for an empty one."""
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self._learn([p for p in distinct if p and p not in self.pieces])
-        number = np.array([*(self.pieces[p] if p else -1 for p in distinct), -1], dtype=np.int64)
-        return number[pc.fill_null(coded.indices, len(distinct)).to_numpy(zero_copy_only=False)]
+        distinct = coded.dictionary
+        found = pc.index_in(distinct, value_set=self.pieces)
+        filled = pc.greater(pc.binary_length(distinct), 0)
+        new = pc.and_(filled, pc.is_null(found))
+        number = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = np.flatnonzero(new.to_numpy(zero_copy_only=False))
+        number[fresh] = len(self.pieces) + np.arange(len(fresh))
+        self._learn(distinct.filter(new))
+        return number[coded.indices.to_numpy(zero_copy_only=False)]
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all the words in order, where each word's ids end)."""
@@ -114,8 +119,7 @@ class Encoder:
         found = pc.extract_regex(words, _PLAIN)
         plain = found.is_valid().to_numpy(zero_copy_only=False)
         letters, marks = (pc.struct_field(found.filter(pa.array(plain)), k) for k in ("letters", "marks"))
-        a, b = self._numbers(pc.utf8_lower(letters)), self._numbers(marks)
-        pieces = np.stack([a, b], axis=1).ravel()
+        pieces = self._numbers(pa.concat_arrays([pc.utf8_lower(letters), marks])).reshape(2, -1).T.ravel()
         sizes = np.where(pieces < 0, 0, self.starts[pieces + 1] - self.starts[pieces])
         ids = [self.flat[ragged(self.starts[pieces], sizes)]]
         lengths = np.zeros(len(words), dtype=np.int64)
@@ -128,18 +132,24 @@ class Encoder:
         return out, ends
 
 
-def _slots(key: np.ndarray) -> np.ndarray:
-    return key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder, which it keeps from task to task."""
+    return Encoder(path)
 
 
-def _odd_in_run(pos: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _slots(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _odd_in_run(a: np.ndarray, b: np.ndarray, pos: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Indices of the pairs that don't count: of a run of one symbol, every second."""
     at = np.flatnonzero(a == b)
     if not len(at):
         return at
-    starts = np.concatenate(([True], (np.diff(pos[at]) != 1) | (a[at[1:]] != a[at[:-1]])))
+    starts = np.concatenate(([True], (after[pos[at[:-1]]] != pos[at[1:]]) | (a[at[1:]] != a[at[:-1]])))
     first = np.flatnonzero(starts)
-    return at[(pos[at] - np.repeat(pos[at[first]], np.diff(np.append(first, len(at))))) % 2 == 1]
+    return at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 1]
 
 
 def repair(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,52 +157,63 @@ def repair(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
 
     Pairs are counted exactly. A round ranks the most frequent ones, and an
     occurrence is replaced where no overlapping one ranks higher; what loses is
-    counted again in the next. A pair that has become too rare stays so, since
-    replacing only makes pairs with new symbols; now and then such pairs are
-    dropped from what is counted.
+    counted again in the next.
+
+    A sweep looks at every pair that may still be frequent and takes those with
+    ``floor`` occurrences or more as candidates; rounds look at candidates
+    alone, while they ask for no fewer. Nothing is missed by that: replacing only makes
+    pairs with new symbols, which become candidates at once, and any other pair
+    becomes rarer. For the same reason a pair under ``LEAST_USES`` is never looked at
+    again, nor one under ``floor`` until the next sweep.
     """
-    seq, n_rules, rules = symbols.astype(np.uint32), 0, [np.zeros((0, 2), dtype=np.uint32)]
-    alive = np.ones(len(seq), dtype=bool)
-    rounds, most = 0, len(seq)
-    while len(seq) > 1:
-        pos = np.flatnonzero(alive[:-1])
-        a, b = seq[pos], seq[pos + 1]
-        inside = (a != base) & (b != base)
-        if not inside.all():
-            pos, a, b = pos[inside], a[inside], b[inside]
+    seq, n_rules, rules = np.append(symbols, base).astype(np.uint32), 0, [np.zeros((0, 2), dtype=np.uint32)]
+    live, gone = (seq[:-1] != base) & (seq[1:] != base), np.zeros(len(seq), dtype=bool)
+    floor, sweep = len(seq), True
+    while True:
+        if sweep:
+            seq, live = seq[~gone], live[~gone[:-1]]
+            gone = np.zeros(len(seq), dtype=bool)
+            after, before = np.arange(1, len(seq) + 1, dtype=np.int32), np.arange(-1, len(seq) - 1, dtype=np.int32)
+            pos = np.flatnonzero(live)
+        a, b = seq[pos], seq[after[pos]]
         key = a.astype(np.uint64) << np.uint64(32) | b
-        odd = _odd_in_run(pos, a, b)
-        if rounds % DROP_EVERY == 0 or most < 64:
-            # a slot's count is no less than that of any pair in it
-            slot = _slots(key).astype(np.int64)
-            often = np.bincount(slot, minlength=1 << _SLOTS)[slot] >= LEAST_USES
-            alive[:] = False
-            alive[pos[often]] = True
-            often[odd] = False
-            pos, key = pos[often], key[often]
-        elif len(odd):
-            pos, key = np.delete(pos, odd), np.delete(key, odd)
-        rounds += 1
-        ordered = np.sort(key)
+        # a slot's count is no less than that of any pair in it
+        bits = min(_SLOTS, len(key).bit_length() + 1)
+        slot = _slots(key, bits)
+        held = np.bincount(slot, minlength=1 << bits).astype(np.int32)[slot]
+        live[pos[held < LEAST_USES]] = False
+        if sweep:
+            floor = max(LEAST_USES, min(floor // 2, int(held.max(initial=0)) // (DEPTH * STEP)))
+        often = np.flatnonzero(held >= floor)
+        pos, key, slot = pos[often], key[often], slot[often]
+        counts = np.ones(len(pos), dtype=bool)
+        counts[_odd_in_run(a[often], b[often], pos, after)] = False
+        ordered = np.sort(key[counts])
         heads = np.flatnonzero(np.concatenate((ordered[:1] == ordered[:1], ordered[1:] != ordered[:-1])))
         times = np.diff(np.append(heads, len(ordered)))
         most = int(times.max(initial=0))
+        enough = max(LEAST_USES, most // STEP)
+        sweep = enough < floor
+        if sweep:
+            continue
         if most < LEAST_USES:
             break
-        top = times >= max(LEAST_USES, most // STEP)
+        top = times >= enough
         pairs, times = ordered[heads[top]], times[top]
         rank_of = np.empty(len(pairs), dtype=np.int32)
         by_rank = np.lexsort((pairs, -times))
         rank_of[by_rank] = np.arange(len(pairs))
-        mine = np.zeros(1 << _SLOTS, dtype=bool)
-        mine[_slots(pairs)] = True
-        hot = np.flatnonzero(mine[_slots(key)])
-        asked = key[hot]
-        at = np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)
-        hit = pairs[at] == asked
-        hot, rank = pos[hot[hit]], rank_of[at[hit]]
+        in_slot = np.full(1 << bits, -1, dtype=np.int32)
+        in_slot[_slots(pairs, bits)] = np.arange(len(pairs))
+        at = in_slot[slot]
+        asked = np.flatnonzero((at >= 0) & counts)
+        at, key, hot = at[asked], key[asked], pos[asked]
+        other = np.flatnonzero(pairs[at] != key)
+        at[other] = np.minimum(np.searchsorted(pairs, key[other]), len(pairs) - 1)
+        hit = pairs[at] == key
+        hot, rank = hot[hit], rank_of[at[hit]]
         best = np.ones(len(hot), dtype=bool)
-        touch = np.diff(hot) == 1
+        touch = after[hot[:-1]] == hot[1:]
         best[1:] &= ~touch | (rank[1:] < rank[:-1])
         best[:-1] &= ~touch | (rank[:-1] < rank[1:])
         hot, rank = hot[best], rank[best]
@@ -206,43 +227,49 @@ def repair(symbols: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         use = uses[rank] >= LEAST_USES
         hot, rank = hot[use], rank[use]
         seq[hot] = number[rank]
-        alive[hot] = True
-        alive[hot[hot > 0] - 1] = True
-        left = np.ones(len(seq), dtype=bool)
-        left[hot + 1] = False
-        seq, alive = seq[left], alive[left]
-    return np.concatenate(rules), seq
+        second = after[hot]
+        third = after[second]
+        after[hot], before[third] = third, hot
+        gone[second] = True
+        first = before[hot]
+        first = first[first >= 0]
+        again = np.zeros(len(live), dtype=bool)
+        again[pos] = True
+        again[second] = live[second] = False
+        again[hot] = live[hot] = seq[third] != base
+        again[first] = live[first] = seq[first] != base
+        pos = np.flatnonzero(again)
+    return np.concatenate(rules), seq[~gone][:-1]
+
+
+def _lengths(rules: np.ndarray, base: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(ids that each symbol stands for, ranges of rules that name only symbols before the range)."""
+    lengths, ranges, start = np.ones(base + 1 + len(rules), dtype=np.int64), [], 0
+    newest = np.maximum.accumulate(rules.max(axis=1, initial=0).astype(np.int64)) - base - 1
+    while start < len(rules):
+        stop = int(np.searchsorted(newest, start))
+        lengths[base + 1 + start : base + 1 + stop] = lengths[rules[start:stop]].sum(axis=1)
+        ranges.append((start, stop))
+        start = stop
+    return lengths, ranges
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    out: list[int] = []
-    for left, right in rules.tolist():
-        out.append(sum(1 if s <= base else out[s - base - 1] for s in (left, right)))
-    return np.array(out, dtype=np.uint32)
+    return _lengths(rules, base)[0][base + 1 :].astype(np.uint32)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The ids that symbols stand for; ``base`` becomes the end id."""
-    def terminal(s: int) -> bytes:
-        return (END_ID if s == base else s).to_bytes(4, "little")
-
-    texts: list[bytes] = []
-    for left, right in rules.tolist():
-        texts.append(b"".join(terminal(s) if s <= base else texts[s - base - 1] for s in (left, right)))
-    table = np.frombuffer(b"".join(texts), dtype="<u4")
-    sizes = np.array([len(t) // 4 for t in texts], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
-    symbols = symbols.astype(np.int64)
-    low = symbols <= base
-    rule = np.where(low, 0, symbols - base - 1)
-    lengths = np.where(low, 1, sizes[rule] if len(sizes) else 1)
-    out = np.zeros(int(lengths.sum()), dtype="<u4")
+    lengths, ranges = _lengths(rules, base)
     ends = np.cumsum(lengths)
-    out[ends[low] - 1] = np.where(symbols[low] == base, END_ID, symbols[low])
-    if len(sizes):
-        high = ~low
-        out[ragged(ends[high] - lengths[high], lengths[high])] = table[ragged(starts[rule[high]], lengths[high])]
-    return out
+    starts = ends - lengths
+    table = np.empty(int(ends[-1]), dtype="<u4")
+    table[: base + 1] = np.arange(base + 1)
+    table[base] = END_ID
+    for start, stop in ranges:
+        parts = rules[start:stop].ravel()
+        table[starts[base + 1 + start] : ends[base + stop]] = table[ragged(starts[parts], lengths[parts])]
+    return table[ragged(starts[symbols], lengths[symbols])]
 
 
 def unfold(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
@@ -261,7 +288,7 @@ def _shards(tokenizer: str):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part, shard, first = Encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
+        encoder, part, shard, first = _encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
         base = encoder.base
         for batch in sized_slices(batches, "text"):
             codes, offsets, words = split_words(batch.column("text"), as_list=False)
@@ -305,23 +332,29 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     ordered.mapInArrow(_shards(tokenizer), _SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def _documents(batches):
-    for batch in batches:
-        for row in batch.to_pylist():
-            kind = f"<u{row['width']}"
-            ids = expand(np.frombuffer(row["symbols"], kind), np.frombuffer(row["rules"], kind).astype(np.uint32).reshape(-1, 2), row["base"])
-            n = np.frombuffer(row["doc_ids_n"], "<u4").astype(np.int64)
-            ends = np.cumsum(n)
-            packs = [ids[e - k : e].tobytes() for e, k in zip(ends, n)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["part"]] * len(n), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + ends - n, pa.int64()), pa.array(n, pa.int64()),
-                 pa.array([zlib.crc32(p) for p in packs], pa.int64()), pa.array(packs, pa.binary())],
-                names=["part", "doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-            )
+def _documents(with_ids: bool):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                kind = f"<u{row['width']}"
+                ids = expand(np.frombuffer(row["symbols"], kind), np.frombuffer(row["rules"], kind).astype(np.uint32).reshape(-1, 2), row["base"])
+                n = np.frombuffer(row["doc_ids_n"], "<u4").astype(np.int64)
+                ends = np.cumsum(n)
+                packs = [ids[e - k : e].tobytes() for e, k in zip(ends, n)]
+                columns = {
+                    "part": pa.array([row["part"]] * len(n), pa.int32()), "doc_id": pa.array(row["doc_ids"], pa.int64()), "start": pa.array(row["first"] + ends - n, pa.int64()),
+                    "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array([zlib.crc32(p) for p in packs], pa.int64()),
+                }
+                yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(packs, pa.binary())} if with_ids else {}))
 
+    return run
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files: doc_id, start, n_tokens, ids_crc32 and ids (packed 32-bit)."""
+
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Per document of the files: doc_id, start, n_tokens, ids_crc32 and ids (packed 32-bit), if they are asked for.
+
+    The ids are decoded in any case.
+    """
     shards = spark.read.schema(_SCHEMA).parquet(path)
     sizes = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("together", F.expr(f"part div {PARTS_TOGETHER}"))
     bases, run = [], 0
@@ -330,8 +363,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         run += row.n
     before = F.coalesce(F.sum("n").over(Window.partitionBy("together").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = sizes.withColumn("before", before).join(spark.createDataFrame(bases, "together bigint, base bigint"), "together").select("part", (F.col("base") + F.col("before")).alias("base"))
-    found = shards.mapInArrow(_documents, "part int, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
-    return found.join(base, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    found = shards.mapInArrow(_documents(with_ids), "part int, doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
+    return found.join(base, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
@@ -352,4 +385,4 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = new_path(spark, "tokens")
     write_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path)
-    return read_tokens(spark, path).drop("ids")
+    return read_tokens(spark, path, with_ids=False)

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,67 @@ def test_repair():
         assert max(pair_counts(packed.tolist(), 50).values(), default=0) < token_files.LEAST_USES
 
 
+def plain_rounds(seq, base):
+    """Re-Pair by rounds that count every pair anew."""
+    seq, rules = list(seq), []
+    while (found := pair_counts(seq, base)) and max(found.values()) >= token_files.LEAST_USES:
+        enough = max(token_files.LEAST_USES, max(found.values()) // token_files.STEP)
+        rank = {p: r for r, p in enumerate(sorted((p for p in found if found[p] >= enough), key=lambda p: (-found[p], p)))}
+        at, last = {}, None
+        for k in range(len(seq) - 1):
+            pair = (seq[k], seq[k + 1])
+            last = None if last == (k - 1, pair) else (k, pair) if pair[0] == pair[1] else None
+            if pair in rank and (pair[0] != pair[1] or last):
+                at[k] = rank[pair]
+        at = {k: r for k, r in at.items() if r < at.get(k - 1, len(rank)) and r < at.get(k + 1, len(rank))}
+        uses = collections.Counter(at.values())
+        number = {}
+        for pair, r in rank.items():
+            if uses[r] >= token_files.LEAST_USES:
+                number[r] = base + 1 + len(rules)
+                rules.append(pair)
+        at = {k: number[r] for k, r in at.items() if r in number}
+        seq = [at.get(k, s) for k, s in enumerate(seq) if k - 1 not in at]
+    return rules, seq
+
+
+def test_repair_by_rounds():
+    rng = np.random.default_rng(4)
+    for n, symbols, length, runs in ((300, 6, 40, 1), (2000, 40, 30, 1), (3000, 200, 12, 1), (1000, 5, 8, 6)):
+        words = rng.integers(0, symbols, size=(40, length))
+        seq = words[np.minimum(rng.zipf(1.5, n // 5), 40) - 1].ravel().astype(np.uint32)
+        seq = np.repeat(seq, rng.integers(1, runs + 1, len(seq)))
+        seq[rng.random(len(seq)) < 0.02] = 200
+        rules, packed = token_files.repair(seq, 200)
+        plain, left = plain_rounds(seq.tolist(), 200)
+        assert list(map(tuple, rules.tolist())) == plain and packed.tolist() == left
+
+
+def test_rounds_look_at_candidates(monkeypatch):
+    rng, sort, looked_at = np.random.default_rng(4), np.sort, []
+    monkeypatch.setattr(np, "sort", lambda x: looked_at.append(len(x)) or sort(x))
+    phrase, rest = rng.permutation(200)[:48], rng.integers(0, 80, 30_000)
+    seq = np.concatenate((np.tile(phrase, 800), rest)).astype(np.uint32)
+    rules, packed = token_files.repair(seq, 200)
+    assert sum(looked_at) <= 4 * len(seq)
+    monkeypatch.undo()
+    plain, left = plain_rounds(seq.tolist(), 200)
+    assert list(map(tuple, rules.tolist())) == plain and packed.tolist() == left
+
+
+def test_encoder_is_kept_and_ids_stay(spark, docs, tmp_path):
+    path = tokenizers.path("word_bpe_49k.json")
+    encoder = token_files._encoder(path)
+    assert token_files._encoder(path) is encoder
+    for words in (["one,", "two", "one"], ["two", "three!?", "\u00e4", "4,5", "one"]):
+        ids, ends = encoder.words(pa.array(words))
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids for e in encoder.tokenizer.encode_batch(words, add_special_tokens=False)]
+    token_files.write_tokens(docs, path, str(tmp_path / "t"))
+    lean, full = (token_files.read_tokens(spark, str(tmp_path / "t"), with_ids=x) for x in (False, True))
+    assert lean.columns == full.drop("ids").columns
+    assert sorted(map(tuple, lean.collect())) == sorted(map(tuple, full.drop("ids").collect()))
+
+
 def test_token_counts(docs, empty, corpus, monkeypatch):
     import sentencepiece
 
