@@ -36,8 +36,8 @@ from .common import new_path, ragged, read_table, sized_slices, split_words
 END_ID = 1
 #: Text that one part of the files is made from.
 PART_BYTES = 24 << 20
-#: Pieces whose ids a worker remembers.
-MEMORY = 400_000
+#: Bytes of pieces and their ids that a worker remembers, about 400,000 words.
+MEMORY = 16 << 20
 #: Occurrences from which a pair's rule pays.
 LEAST_USES = 4
 #: A round replaces pairs with at least this part of the most frequent pair's occurrences.
@@ -102,7 +102,7 @@ class Encoder:
     def _numbers(self, pieces: pa.Array) -> np.ndarray:
         """Number of each piece; -1 for an empty one."""
         coded = pieces.dictionary_encode()
-        distinct = coded.dictionary
+        distinct = coded.dictionary.cast(pa.string())
         found = pc.index_in(distinct, value_set=self.pieces)
         filled = pc.greater(pc.binary_length(distinct), 0)
         new = pc.and_(filled, pc.is_null(found))
@@ -114,7 +114,7 @@ class Encoder:
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all the words in order, where each word's ids end)."""
-        if len(self.pieces) > MEMORY:
+        if self.pieces.nbytes + self.flat.nbytes + self.starts.nbytes > MEMORY:
             self._forget()
         found = pc.extract_regex(words, _PLAIN)
         plain = found.is_valid().to_numpy(zero_copy_only=False)

@@ -188,13 +188,22 @@ def test_rounds_look_at_candidates(monkeypatch):
     assert list(map(tuple, rules.tolist())) == plain and packed.tolist() == left
 
 
+@pytest.mark.parametrize("memory", [0, 2000, 16 << 20])
+def test_encoder_remembers_a_bounded_amount(monkeypatch, memory):
+    monkeypatch.setattr(token_files, "MEMORY", memory)
+    encoder = token_files.Encoder(tokenizers.path("word_bpe_49k.json"))
+    for words in (["one,", "two", "one"], ["two", "three!?", "\u00e4", "4,5", "one"], ["4", "5.5"], ["acgt" * 400], ["five", "\u00c4;"], ["one", "five"]):
+        for kind in (pa.string(), pa.large_string()):
+            before = encoder.pieces.nbytes + encoder.flat.nbytes + encoder.starts.nbytes
+            ids, ends = encoder.words(pa.array(words, kind))
+            assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids for e in encoder.tokenizer.encode_batch(words, add_special_tokens=False)]
+            assert before <= memory or len(encoder.pieces) <= 2 * len(words)
+    assert encoder.words(pa.array([], pa.string()))[0].tolist() == []
+
+
 def test_encoder_is_kept_and_ids_stay(spark, docs, tmp_path):
     path = tokenizers.path("word_bpe_49k.json")
-    encoder = token_files._encoder(path)
-    assert token_files._encoder(path) is encoder
-    for words in (["one,", "two", "one"], ["two", "three!?", "\u00e4", "4,5", "one"]):
-        ids, ends = encoder.words(pa.array(words))
-        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids for e in encoder.tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert token_files._encoder(path) is token_files._encoder(path)
     token_files.write_tokens(docs, path, str(tmp_path / "t"))
     lean, full = (token_files.read_tokens(spark, str(tmp_path / "t"), with_ids=x) for x in (False, True))
     assert lean.columns == full.drop("ids").columns
